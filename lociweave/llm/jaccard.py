@@ -22,7 +22,7 @@ shingle sets.
 
 Null and empty texts and texts without words have an empty set and no links.
 Rows without key get no component and link with nothing; rows that share a key
-are one document in the components.  Repeated rows get equal results.  An empty
+are rows of their own.  Repeated rows get equal results.  An empty
 table gives an empty result.  Only the key and the text are read.
 """
 
@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import blocks, column_texts
-from .store import stored
+from .store import BROADCAST_KEYS, having, stored
 
 GROUPS = 256
 COARSE = 64
 #: Blocks up to this size compare all points at once.
-SMALL_BLOCK = 64
+SMALL_BLOCK = 16
 #: Points outside the largest component that one task holds.
 SLICE = 1024
 LEAF = 16
@@ -80,11 +80,17 @@ def point(shingles: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4").tobytes()
 
 
-def points(column: list[bytes]) -> np.ndarray:
+def points(column: list[bytes], groups: int = GROUPS) -> np.ndarray:
     """A row for each point."""
-    if all(len(x) == GROUPS for x in column):
-        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS).astype(np.uint16)
-    return np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else "<u4").astype(np.uint32) for x in column])
+    if all(len(x) == groups for x in column):
+        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, groups).astype(np.uint16)
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == groups else "<u4").astype(np.uint32) for x in column])
+
+
+def coarse_point(p: bytes) -> bytes:
+    """The same for COARSE groups."""
+    counts = coarse(points([p]))[0]
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
 
 
 def coarse(p: np.ndarray) -> np.ndarray:
@@ -110,22 +116,33 @@ def _order(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
     return np.sort(seen.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
-PROFILE = "n_shingles long, digest binary, point binary, prefix array<long>"
+PROFILE = "n_shingles long, node long, point binary, prefix array<long>"
 
 
 def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(key, n_shingles, digest, point, prefix) of each whole text."""
+    """(key, n_shingles, node, point, prefix) of each whole text; node is 64 bits of a digest of its set.
+
+    A task gives point and prefix with a node's first row only (null with the others), and not for rows without key."""
     frequent = docs.sparkSession.sparkContext.broadcast(_order(docs, key, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
+        met: set[int] = set()
+        none = np.zeros(0, np.int64)
         for batch in batches:
+            keyed = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j, texts in blocks(column_texts(batch.column(1))):
-                sizes, digests, places, prefixes = [], [], [], []
-                for s in shingle_sets(texts, words):
+                sizes, nodes, places, prefixes = [], [], [], []
+                for k, s in enumerate(shingle_sets(texts, words)):
                     n = len(s)
+                    node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                     sizes.append(n)
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    nodes.append(node)
+                    if node in met or not n or not keyed[i + k]:
+                        places.append(None)
+                        prefixes.append(none)
+                        continue
+                    met.add(node)
                     places.append(point(s))
                     if len(late) and n:
                         at = np.minimum(np.searchsorted(late, s), len(late) - 1)
@@ -135,7 +152,7 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
                     prefixes.append(s[: prefix_length(n, percent)].view(np.int64))
                 offsets = np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(places, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n_shingles", "digest", "point", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n_shingles", "node", "point", "prefix"])
 
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, " + PROFILE)
 
@@ -171,7 +188,7 @@ def small_block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _block_rows(batches, 4000):
             token, node, n = (t.column(k).to_numpy() for k in range(3))
-            p = coarse(points(t.column(3).to_pylist()))
+            p = points(t.column(3).to_pylist(), COARSE)
             a, b = [], []
             for d in range(1, SMALL_BLOCK):
                 i = np.flatnonzero(token[:-d] == token[d:])
@@ -187,24 +204,13 @@ def small_block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, _PAIR)
 
 
-def central_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """In each larger block, pairs of its hub with the others, where their points could link.
-
-    The hub is the class with the most company over all its blocks (ties: the smallest key), found by an aggregate."""
-    hub = rows.groupBy("token").agg(F.max(F.struct("degree", (-F.col("node")).alias("m"))).alias("h")).select("token", (-F.col("h")["m"]).alias("hub"))
-    hubs = rows.join(hub, "token").filter("node = hub").select("token", "hub", F.col("n").alias("hub_n"), F.col("point").alias("hub_point"))
-    pairs = rows.select("token", "node", "n", "point").join(hubs, "token").filter("node != hub").filter((100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-            p, q = points(batch.column(2).to_pylist()), points(batch.column(5).to_pylist())
-            ok = can_link(np.minimum(p, q).sum(axis=1), n, m, percent)
-            yield _emit([batch.column(0).to_numpy()[ok]], [batch.column(3).to_numpy()[ok]])
+def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """In each larger block, pairs of its hub with the others of like size.
 
-    return pairs.select("node", "n", "point", "hub", "hub_n", "hub_point").mapInArrow(run, _PAIR)
+    The hub is the class with the most company over all its blocks (ties: the smallest), found by an aggregate."""
+    hub = rows.groupBy("token").agg(F.max(F.struct("degree", "node", "n")).alias("h")).select("token", F.col("h")["node"].alias("hub"), F.col("h")["n"].alias("hub_n"))
+    pairs = rows.join(hub, "token").filter("node != hub").filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 class RTree:
@@ -279,30 +285,53 @@ def outside_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, _PAIR)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, rep: DataFrame) -> DataFrame:
-    """Those of the pairs whose shingle sets are similar enough; sets are made again from the whole texts."""
-    pairs = stored(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    mine = docs.select(F.col(key).cast("long").alias("key"), text).join(wanted, "key", "left_semi")
+def finer(pairs: DataFrame, place: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs whose full points could link."""
+    both = pairs.distinct().join(place.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("point").alias("p")), "a").join(place.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, texts in blocks(column_texts(batch.column(1))):
-                each = [x.view(np.int64) for x in shingle_sets(texts, words)]
-                offsets = np.append(0, np.cumsum([len(x) for x in each])).astype(np.int32)
-                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))], ["key", "digest", "set"])
+            if batch.num_rows:
+                p, q = points(batch.column(3).to_pylist()), points(batch.column(5).to_pylist())
+                ok = can_link(np.minimum(p, q).sum(axis=1), batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)
+                yield _emit([batch.column(0).to_numpy()[ok]], [batch.column(1).to_numpy()[ok]])
+
+    return both.select("a", "b", "n", "p", "m", "q").mapInArrow(run, _PAIR)
 
-    found = mine.mapInArrow(sets, "key long, digest binary, set array<long>").join(rep.select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["key"]).select("key", "set")
-    found = stored(found, "sets")
-    both = pairs.join(found.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+
+def packed_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, set) for nodes (node, key), made again from the whole text of the class's smallest key.
+
+    A set is the sorted upper 40 bits of its hashes, five bytes each."""
+    mine = having(docs, nodes.select("key").distinct(), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in blocks(column_texts(batch.column(1))):
+                found, sets = [], []
+                for s in shingle_sets(texts, words):
+                    found.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    sets.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return mine.mapInArrow(run, "node long, set binary").join(F.broadcast(nodes.select("node")) if nodes.count() <= BROADCAST_KEYS else nodes.select("node"), "node", "left_semi")
+
+
+def unpacked(s: bytes) -> np.ndarray:
+    out = np.zeros((len(s) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
+    return out.view("<u8")[:, 0]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose shingle sets are similar enough (a pair may come twice)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
             ok = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                u, v = x[k].values.to_numpy(), y[k].values.to_numpy()
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                u, v = unpacked(x.as_py()), unpacked(y.as_py())
                 ok[k] = can_link(np.array(len(np.intersect1d(u, v, assume_unique=True))), len(u), len(v), percent)
             yield _emit([batch.column(0).to_numpy()[ok]], [batch.column(1).to_numpy()[ok]])
 
@@ -311,20 +340,33 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the smallest key that links reach, by similarity of at least percent."""
-    profile = stored(profiles(docs, key, text, words, percent), "profiles")
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    profile = stored(profiles(docs, "key", "text", words, percent), "profiles")
     with_set = profile.filter("key is not null and n_shingles > 0")
-    rep = with_set.groupBy("digest").agg(F.min("key").alias("key"))
-    classes = with_set.join(rep, ["key", "digest"], "left_semi").dropDuplicates(["key"])
-    token_rows = classes.select(F.explode("prefix").alias("token"), F.col("key").alias("node"), F.col("n_shingles").alias("n"))
-    token_rows = token_rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("size > 1")
-    shared = stored(token_rows, "blocks")
-    place = classes.select(F.col("key").alias("node"), "point")
-    small = small_block_pairs(shared.filter(F.col("size") <= SMALL_BLOCK).join(place, "node").select("token", "node", "n", "point"), percent)
+    rep = stored(with_set.groupBy("node").agg(F.min("key").alias("key")), "classes")
+    fresh = profile.filter("point is not null")
+    token_rows = fresh.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n"))
+    by_token = Window.partitionBy("token")
+    token_rows = token_rows.withColumn("shared", F.min("node").over(by_token) != F.max("node").over(by_token)).filter("shared").select("token", "node", "n")
+    # a class that several tasks met comes several times
+    shared = stored(token_rows.distinct(), "shared")
+    size = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    shared = stored(shared.join(size, "token"), "blocks")
+    place = stored(fresh.select("node", F.col("n_shingles").alias("n"), "point", "prefix").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "points")
+
+    def coarsened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coarse_point(x) for x in batch.column(1).to_pylist()], pa.binary())], ["node", "point"])
+
+    near = place.select("node", "point").mapInArrow(coarsened, "node long, point binary")
+    small = small_block_pairs(shared.filter(F.col("size") <= SMALL_BLOCK).join(near, "node").select("token", "node", "n", "point"), percent)
     large = shared.filter(F.col("size") > SMALL_BLOCK)
     degree = large.groupBy("node").agg(F.sum("size").alias("degree"))
-    large = stored(large.join(degree, "node").join(place, "node").select("token", "node", "n", "degree", "point"), "large")
-    links = stored(verified(small.unionByName(central_pairs(large, percent)), docs, key, text, words, percent, rep), "verified")
-    roots = components(links)
+    large = stored(large.join(degree, "node").select("token", "node", "n", "degree"), "large")
+    pairs = stored(finer(small.unionByName(hub_pairs(large, percent)), place.select("node", "n", "point"), percent), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
+    sets = stored(packed_sets(docs, stored(wanted.join(rep, "node"), "wanted"), words), "sets")
+    roots = components(stored(verified(pairs, sets, percent), "links"))
     rooted = stored(large.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     by_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
     main = by_root.groupBy("token").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("total")).select("token", F.col("main")["root"].alias("main"), (F.col("total") - F.col("main")["m"]).alias("outside")).filter("outside > 0")
@@ -333,12 +375,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     to = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     rows = rows.select("token", "node", "n", "root", "own", to)
     rows = rows.select("token", "node", "n", "root", "slice", F.lit(False).alias("first")).unionByName(rows.filter("own = slice").select("token", "node", "n", "root", "slice", F.lit(True).alias("first")))
-    rows = rows.join(classes.select(F.col("key").alias("node"), "prefix", "point"), "node")
+    rows = rows.join(place.select("node", "prefix", "point"), "node")
     rows = rows.withColumn("block", F.xxhash64("token", "slice")).repartition("block").sortWithinPartitions("block", F.col("first").desc())
-    rest = outside_pairs(rows.select("block", "token", "first", "node", "n", "root", "prefix", "point"), percent)
-    more = verified(rest, docs, key, text, words, percent, rep)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    of_class = rep.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("digest", F.coalesce("root", "key").alias("component_id"))
-    linked = profile.filter("n_shingles > 0").join(of_class, "digest", "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))
+    rest = stored(outside_pairs(rows.select("block", "token", "first", "node", "n", "root", "prefix", "point"), percent).distinct(), "pairs")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, sets, percent)))
+    of_class = rep.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = of_class.groupBy("root").agg(F.min("key").alias("component_id"))
+    of_class = of_class.join(smallest, "root").select("node", "component_id")
+    linked = profile.filter("n_shingles > 0").join(of_class, "node", "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = profile.filter("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("key", key)

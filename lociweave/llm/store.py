@@ -23,3 +23,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lociweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that are sent to all executors at most; beyond, both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the keys (stored, distinct): by broadcast if they are few, else by a shuffled semi join."""
+    from pyspark.sql import functions as F
+
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
