@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
     if len(_POWERS["up"]) < n:
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
@@ -109,7 +109,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_byte
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + max_bytes, side="right")))
         a, b = int(starts[i]), int(ends[j - 1])
-        up, down = _powers(max(b - a, 1, 1 << 16))
+        up, down = powers(max(b - a, 1, 1 << 16))
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[data[a:b]] * up[: b - a], out=total[1:])
         s, e = starts[i:j] - a, ends[i:j] - a

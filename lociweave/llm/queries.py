@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, media, mixing, packing, rules
+from . import chat, jaccard, media, mixing, packing, rules, substrings
 from .store import stored
 
 
@@ -47,5 +47,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_jaccard_join, op4_chat_formatting, op5_quality_rules, op7_source_mixing, op8_best_fit_packing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_jaccard_join, op4_chat_formatting, op5_quality_rules, op7_source_mixing, op8_best_fit_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
