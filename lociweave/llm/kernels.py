@@ -91,12 +91,12 @@ def column_texts(column: pa.Array) -> Texts:
     return Texts(buffer, o[:-1], o[1:])
 
 
-def blocks(texts: Texts, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of rows [i, j) whose texts take about max_bytes, or one longer text."""
+def blocks(texts: Texts, max_bytes: int = BLOCK_BYTES, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of rows [i, j), max_rows at most, whose texts take about max_bytes, or one longer text."""
     i, n = 0, len(texts)
     while i < n:
         j = max(i + 1, int(np.searchsorted(texts.ends, texts.starts[i] + max_bytes, side="right")))
-        j = min(j, n)
+        j = min(j, n, i + max_rows)
         a, b = texts.starts[i], texts.ends[j - 1]
         yield i, j, Texts(texts.data[a:b], texts.starts[i:j] - a, texts.ends[i:j] - a)
         i = j
