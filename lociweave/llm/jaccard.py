@@ -242,43 +242,59 @@ class RTree:
         at = at[(100 * self.n[at] >= percent * m) & (100 * m >= percent * self.n[at])]
         return self.order[at[can_link(np.minimum(self.p[at], q).sum(axis=1), self.n[at], m, percent)]]
 
+    def join(self, q: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) pairs that could link, for many queries; a tree of few leaves is read leaf by leaf for all at once."""
+        if len(self.n) > 8 * LEAF:
+            hits = [self.search(x, int(k), percent) for x, k in zip(q, m, strict=True)]
+            return np.repeat(np.arange(len(q)), [len(x) for x in hits]), np.concatenate(hits)
+        i, j = np.nonzero((100 * np.minimum(m[:, None], self.n) >= percent * np.maximum(m[:, None], self.n)))
+        half, own = coarse(q), coarse(self.p)
+        for a, b in ((half, own), (q, self.p)):
+            keep = np.concatenate([can_link(np.minimum(a[i[k : k + 8192]], b[j[k : k + 8192]]).sum(axis=1), m[i[k : k + 8192]], self.n[j[k : k + 8192]], percent) for k in range(0, len(i), 8192)] or [np.zeros(0, bool)])
+            i, j = i[keep], j[keep]
+        return i, self.order[j]
+
+
+#: Pairs that a task remembers having given, to give them once.
+REMEMBERED = 1 << 18
+
 
 def outside_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """In larger blocks, pairs of a point outside the block's largest component with one of another component.
 
-    rows: (block, token, first, node, n, root, prefix, point), where block numbers a token's slice and
-    ``first`` marks the slice's own points, which form its R-tree; a pair is left to the first prefix
-    shingle that both share."""
+    rows: (block, first, node, n, root, point), where a block is a slice of a token's block and ``first``
+    marks the slice's own points, which form its R-tree.  A pair can come from several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, tree = None, None
-        own: dict = {}
+        tree, block, own, given = None, None, [], set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            blocks_, tokens, first, node, n, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            prefix, p = batch.column(6), points(batch.column(7).to_pylist())
+            of, first, node, n, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            p = points(batch.column(5).to_pylist()).astype(np.uint32)
+            edges = np.flatnonzero((of[1:] != of[:-1]) | (first[1:] != first[:-1])) + 1
             a, b = [], []
-            for k in range(len(node)):
-                if blocks_[k] != block:
-                    block, tree, own = blocks_[k], None, {"p": [], "n": [], "node": [], "root": [], "prefix": []}
-                if first[k]:
-                    for name, value in (("p", p[k].astype(np.uint32)), ("n", n[k]), ("node", node[k]), ("root", root[k]), ("prefix", np.sort(prefix[k].values.to_numpy()))):
-                        own[name].append(value)
-                    tree = None
+            for lo, hi in zip(np.append(0, edges).tolist(), np.append(edges, len(of)).tolist(), strict=True):
+                if of[lo] != block:
+                    block, tree, own = of[lo], None, []
+                if first[lo]:
+                    own.append((p[lo:hi], n[lo:hi], node[lo:hi], root[lo:hi]))
                     continue
                 if tree is None:
-                    if not own["n"]:
+                    own_p, own_n, own_node, own_root = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (p[:0], n[:0], node[:0], root[:0])
+                    tree = RTree(own_p, own_n) if len(own_n) else None
+                    if tree is None:
                         continue
-                    tree = RTree(np.stack(own["p"]), np.array(own["n"], np.int64))
-                    own["roots"] = np.array(own["root"])
-                hits = tree.search(p[k].astype(np.uint32), int(n[k]), percent)
-                hits = hits[own["roots"][hits] != root[k]]
-                if len(hits):
-                    mine = np.sort(prefix[k].values.to_numpy())
-                    hits = [h for h in hits if np.intersect1d(mine, own["prefix"][h], assume_unique=True)[0] == tokens[k]]
-                    b.extend(own["node"][h] for h in hits)
-                    a.extend([node[k]] * len(hits))
+                i, j = tree.join(p[lo:hi], n[lo:hi], percent)
+                i, j = i[own_root[j] != root[lo:hi][i]], j[own_root[j] != root[lo:hi][i]]
+                for x, y in zip(node[lo:hi][i].tolist(), own_node[j].tolist(), strict=True):
+                    pair = (x, y) if x < y else (y, x)
+                    if pair not in given:
+                        given.add(pair)
+                        a.append(pair[0])
+                        b.append(pair[1])
+            if len(given) > REMEMBERED:
+                given.clear()
             if a:
                 yield _emit([np.array(a, np.int64)], [np.array(b, np.int64)])
 
@@ -323,8 +339,10 @@ def unpacked(s: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs whose shingle sets are similar enough (a pair may come twice)."""
+def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (stored) whose shingle sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stored(packed_sets(docs, stored(wanted.join(rep, "node"), "wanted"), words), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,9 +368,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     token_rows = token_rows.withColumn("shared", F.min("node").over(by_token) != F.max("node").over(by_token)).filter("shared").select("token", "node", "n")
     # a class that several tasks met comes several times
     shared = stored(token_rows.distinct(), "shared")
-    size = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    shared = stored(shared.join(size, "token"), "blocks")
-    place = stored(fresh.select("node", F.col("n_shingles").alias("n"), "point", "prefix").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "points")
+    # of blocks with the same members one is enough; it is the first, as pairs are left to their first block
+    members = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    kept = members.groupBy("size", "s", "x").agg(F.min("token").alias("token")).select("token", "size")
+    shared = stored(shared.join(kept, "token"), "blocks")
+    place = stored(fresh.select("node", F.col("n_shingles").alias("n"), "point").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "points")
 
     def coarsened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,9 +384,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     degree = large.groupBy("node").agg(F.sum("size").alias("degree"))
     large = stored(large.join(degree, "node").select("token", "node", "n", "degree"), "large")
     pairs = stored(finer(small.unionByName(hub_pairs(large, percent)), place.select("node", "n", "point"), percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    sets = stored(packed_sets(docs, stored(wanted.join(rep, "node"), "wanted"), words), "sets")
-    roots = components(stored(verified(pairs, sets, percent), "links"))
+    roots = components(stored(verified(pairs, docs, rep, words, percent), "links"))
     rooted = stored(large.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     by_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
     main = by_root.groupBy("token").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("total")).select("token", F.col("main")["root"].alias("main"), (F.col("total") - F.col("main")["m"]).alias("outside")).filter("outside > 0")
@@ -375,10 +393,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     to = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     rows = rows.select("token", "node", "n", "root", "own", to)
     rows = rows.select("token", "node", "n", "root", "slice", F.lit(False).alias("first")).unionByName(rows.filter("own = slice").select("token", "node", "n", "root", "slice", F.lit(True).alias("first")))
-    rows = rows.join(place.select("node", "prefix", "point"), "node")
+    rows = rows.join(place.select("node", "point"), "node")
     rows = rows.withColumn("block", F.xxhash64("token", "slice")).repartition("block").sortWithinPartitions("block", F.col("first").desc())
-    rest = stored(outside_pairs(rows.select("block", "token", "first", "node", "n", "root", "prefix", "point"), percent).distinct(), "pairs")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, sets, percent)))
+    rest = stored(outside_pairs(rows.select("block", "first", "node", "n", "root", "point"), percent).distinct(), "pairs")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, docs, rep, words, percent)))
     of_class = rep.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of_class.groupBy("root").agg(F.min("key").alias("component_id"))
     of_class = of_class.join(smallest, "root").select("node", "component_id")
