@@ -1,11 +1,67 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what the next one works on;
+what a stage gets has been written and read again.  All stages but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociweave.llm import jaccard, mixing, packing, rules, secrets
+from lociweave.llm.store import BROADCAST_KEYS, stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_columns(df: DataFrame) -> DataFrame:
+    return df.select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood ratio."""
+    target = rules.trusted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _own_columns(rules.apply_rules(_own_columns(docs), target).filter("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group that shares five-word shingles to 0.8 or more.
+
+    Rows without doc_id stay; of rows that repeat a doc_id one stays."""
+    groups = jaccard.similar_documents(docs.select("doc_id", "text"), words=5, percent=80)
+    gone = stored(groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("doc_id is not null and (first != doc_id or n > 1)"), "gone")
+    send = F.broadcast if gone.count() <= BROADCAST_KEYS else lambda df: df
+    kept = docs.join(send(gone.select("doc_id")), "doc_id", "left_anti")
+    again = gone.filter("first = doc_id").select("doc_id")
+    if again.limit(1).count():
+        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return _own_columns(kept)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return _own_columns(secrets.redact(_own_columns(docs)))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their source takes them."""
+    return mixing.take(_own_columns(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("source_mixing", source_mixing), ("best_fit_packing", best_fit_packing)]
+#: No stage but the mixing can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Words the mix takes, and the most that a source gives, per 100 and as a multiple.
@@ -97,6 +99,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return mix_sized(sized(docs, text), key, source)
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """Each row once for each of its copies."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its own columns.
+
+    Copies are counted on keys and sizes alone; whole rows are shuffled once.  Rows that agree in key and text
+    are taken together, as often as each of them is."""
+    numbered = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
+    narrow = numbered.select("_row", F.col(key), F.col(source), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_tie"))
+    copies = mix_sized(stored(narrow, "sizes"), key, source).groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    taken = numbered.dropDuplicates(["_row"]).join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, media, mixing, nbsvm, packing, rules, substrings, toxicity
+from . import chat, jaccard, media, mixing, nbsvm, packing, rules, secrets, substrings, toxicity
 from .store import stored
 
 
@@ -55,6 +55,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -69,6 +73,7 @@ _ALL = (
     op6_quality_classifier,
     op7_source_mixing,
     op8_best_fit_packing,
+    op9_secret_scan,
     op10_substring_dedup,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
