@@ -9,7 +9,7 @@ integer once for each copy; as documents of like size follow each other, the
 words taken come near the target.
 
 Prefix sums are ranks times the rate, and ranks come in two levels: counts by
-(source, size), then a row number in salted slices of at most SLICE rows, so a
+(source, size), then a row number in salted slices of about SLICE rows, so a
 source or a size that holds a third of all rows is no single task.
 
 Null texts have size 0 and are taken like others (they add no words); the null
@@ -30,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Words the mix takes, and the most that a source gives, per 100 and as a multiple.
 SHARE_PERCENT, CAP = 150, 2
-SLICE = 20_000
+SLICE = 1_000
 SEED = "mix-1"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, jaccard, media, mixing, nbsvm, packing, rules, secrets, substrings, toxicity
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .store import stored
 
 
@@ -77,4 +78,3 @@ _ALL = (
     op10_substring_dedup,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
