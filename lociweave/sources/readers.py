@@ -16,10 +16,6 @@ def lenient_int(token: Column) -> Column:
     return F.when(token.rlike(_INT), F.replace(token, F.lit("_"), F.lit("")).try_cast("bigint"))
 
 
-def lenient_float(token: Column) -> Column:
-    return F.when(token.rlike(_FLOAT), F.replace(token, F.lit("_"), F.lit("")).try_cast("double"))
-
-
 def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
     """(ord, value) of one text file; ord rises with the place in the file.
 
@@ -30,23 +26,28 @@ def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None)
     return rows.select((F.col("_metadata.file_block_start") + number).alias("ord"), "value")
 
 
-def coords_columns(line: Column) -> list[Column]:
-    """The fields of a show-coords line in either layout; a field that doesn't parse is null."""
-    tokens = F.regexp_extract_all(line, F.lit(r"(\S+)"), 1)
-    piped = F.array_contains(tokens, "|")
-    at = lambda i, j: F.when(piped, F.get(tokens, F.lit(i))).otherwise(F.get(tokens, F.lit(j)))
-    ints = {n: lenient_int(at(i, j)) for n, i, j in (("ref_start", 0, 0), ("ref_end", 1, 1), ("query_start", 3, 2), ("query_end", 4, 3), ("len_ref", 6, 4), ("len_query", 7, 5), ("ref_length", 11, 7), ("query_length", 12, 8))}
-    size = F.size(tokens)
-    names = [F.get(tokens, size - 2).alias("ref"), F.get(tokens, size - 1).alias("query")]
-    return [*names, *(c.alias(n) for n, c in ints.items()), lenient_float(at(9, 6)).alias("identity")]
+# Places of the fields in the piped and in the tabular layout.
+_FIELDS = {"ref_start": (0, 0), "ref_end": (1, 1), "query_start": (3, 2), "query_end": (4, 3), "len_ref": (6, 4), "len_query": (7, 5), "identity": (9, 6), "ref_length": (11, 7), "query_length": (12, 8)}
 
 
 def parse_coords(lines: DataFrame) -> DataFrame:
-    """Segments from (ord, value); lines that don't parse, headers among them, are dropped."""
-    fields = lines.select("ord", *coords_columns(F.col("value"))).dropna()
+    """Segments from show-coords lines (value, and other columns, which stay) in either layout.
+
+    Lines in which a field doesn't parse, headers among them, are dropped."""
+    rest = [c for c in lines.columns if c != "value"]
+    # one row in, one row out: keeps filters from being pushed below, where each would split the line again
+    t = lines.select(*rest, F.explode(F.array(F.regexp_extract_all("value", F.lit(r"(\S+)"), 1))).alias("t"))
+    t = t.select(*rest, "t", F.array_contains("t", "|").alias("piped"), F.size("t").alias("n"))
+    at = [F.get("t", F.when(F.col("piped"), F.lit(i)).otherwise(F.lit(j))).alias(name) for name, (i, j) in _FIELDS.items()]
+    t = t.select(*rest, F.get("t", F.col("n") - 2).alias("ref"), F.get("t", F.col("n") - 1).alias("query"), *at)
+    good = F.lit(True)
+    for name in _FIELDS:
+        good = good & F.coalesce(F.col(name).rlike(_FLOAT if name == "identity" else _INT), F.lit(False))
+    value = lambda name: F.replace(F.col(name), F.lit("_"), F.lit("")).try_cast("double" if name == "identity" else "bigint").alias(name)
+    fields = t.filter(good).select(*rest, "ref", "query", *[value(name) for name in _FIELDS]).dropna(subset=["ref", "query", *_FIELDS])
     strand = orientation(F.col("ref_start"), F.col("ref_end"), F.col("query_start"), F.col("query_end"))
-    order = ["ord", "ref", "query", "ref_start", "ref_end", "query_start", "query_end", "len_ref", "len_query", "identity", "ref_length", "query_length", "orientation"]
-    return fields.withColumn("orientation", strand).select(*order)
+    order = ["ref", "query", "ref_start", "ref_end", "query_start", "query_end", "len_ref", "len_query", "identity", "ref_length", "query_length", "orientation"]
+    return fields.withColumn("orientation", strand).select(*rest, *order)
 
 
 def at_least_identity(segments: DataFrame, least: float) -> DataFrame:

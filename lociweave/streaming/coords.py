@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import match_metrics
-from ..sources.readers import at_least_identity, coords_columns
-from ..functions.sequence import orientation
+from ..sources.readers import at_least_identity, parse_coords
 
 
 def stream_segments(spark: SparkSession, folder: str, min_identity: float = 0.0) -> DataFrame:
-    """Segments of all coords files that appear in a folder, with their file; ord is the row's number in its batch."""
+    """Segments of all coords files that appear in a folder, with their file."""
     lines = spark.readStream.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    fields = lines.select("file", *coords_columns(F.col("value"))).dropna()
-    strand = orientation(F.col("ref_start"), F.col("ref_end"), F.col("query_start"), F.col("query_end"))
-    return at_least_identity(fields.withColumn("orientation", strand), min_identity)
+    return at_least_identity(parse_coords(lines), min_identity)
 
 
 def stream_metrics(segments: DataFrame, contigs: DataFrame, refs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
