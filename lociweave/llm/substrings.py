@@ -41,6 +41,8 @@ from .kernels import Words, blocks, column_texts, mix, powers
 from .store import BROADCAST_KEYS, having, stored
 
 WINDOW, ANCHOR = 13, 4
+#: Windows of a segment at most (one byte holds their number).
+LONGEST = 128
 #: Segments of a shard, about.
 SHARD = 20_000
 #: Distinct segments of one anchor from which its windows are dealt one by one.
@@ -163,7 +165,7 @@ def repeated(words: np.ndarray, sizes: np.ndarray, documents: np.ndarray, window
 
 
 def anchored(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first word, windows) of each segment: maximal runs of windows of a text with one anchor place."""
+    """(anchor, first word, windows) of each segment: runs of windows of a text with one anchor, LONGEST windows at most."""
     h, at = w.ngrams(anchor)
     span = window - anchor + 1
     if len(h) < span:
@@ -174,8 +176,11 @@ def anchored(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray
     if not len(good):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.concatenate([good[i : i + 65536] + views[good[i : i + 65536]].argmin(axis=1) for i in range(0, len(good), 65536)])
-    new = np.append(True, (place[1:] != place[:-1]) | (good[1:] != good[:-1] + 1))
+    value = h[place]
+    new = np.append(True, (value[1:] != value[:-1]) | (good[1:] != good[:-1] + 1))
     start = np.flatnonzero(new)
+    in_run = np.arange(len(good)) - np.repeat(start, np.diff(np.append(start, len(good))))
+    start = np.flatnonzero(in_run % LONGEST == 0)
     return h[place[start]], at[good[start]], np.diff(np.append(start, len(good)))
 
 
@@ -345,10 +350,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     low = stored(low, "lowest")
     by_anchor = Window.partitionBy("anchor")
     found = segments(docs, window, anchor).withColumn("shared", F.min("class").over(by_anchor) != F.max("class").over(by_anchor)).filter("shared").select("anchor", "class", "place")
-    # a class that several tasks met comes several times
-    found = stored(found.distinct().join(low, "class").select("anchor", "low", "place"), "anchors")
-    spans = found.groupBy("low").agg(F.collect_list(F.struct("anchor", "place")).alias("spans"))
-    spans = stored(spans.withColumnRenamed("low", "key"), "spans")
+    # a set, as a class that several tasks met comes several times
+    spans = found.groupBy("class").agg(F.collect_set(F.struct("anchor", "place")).alias("spans"))
+    spans = stored(spans.join(low, "class").select(F.col("low").alias("key"), "spans"), "spans")
     texts = having(docs, spans.select("key"), "key")
     cuts = stored(cut(spans, texts, window), "cuts")
     per_anchor = cuts.groupBy("anchor", "segment").agg(F.min("low").alias("low"), F.first("words").alias("words"))
