@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.llm import jaccard, mixing, packing, rules, secrets
-from lociweave.llm.store import BROADCAST_KEYS, stored
+from lociweave.llm.store import BROADCAST_KEYS, small_batches, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _own_columns(df: DataFrame) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.select(*COLUMNS)
 
 
@@ -30,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest doc_id of each group that shares five-word shingles to 0.8 or more.
 
     Rows without doc_id stay; of rows that repeat a doc_id one stays."""
+    docs = _own_columns(docs)
     groups = jaccard.similar_documents(docs.select("doc_id", "text"), words=5, percent=80)
     gone = stored(groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("doc_id is not null and (first != doc_id or n > 1)"), "gone")
     send = F.broadcast if gone.count() <= BROADCAST_KEYS else lambda df: df
@@ -52,7 +54,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
-    return packing.pack_documents(docs.select("doc_id", "text"))
+    return packing.pack_documents(_own_columns(docs).select("doc_id", "text"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("source_mixing", source_mixing), ("best_fit_packing", best_fit_packing)]

@@ -34,7 +34,9 @@ from .store import stored
 CAPACITY, END_ID = 1024, 2
 SLICE = 1_000
 #: Entries of a worker's dictionary of encoded chunks; it starts again beyond.
-DICTIONARY = 3_000_000
+DICTIONARY = 500_000
+#: Chunks that are encoded at once.
+CHUNKS_AT_ONCE = 10_000
 
 
 def default_tokenizer() -> str:
@@ -87,7 +89,9 @@ class ChunkEncoder:
         return slot
 
     def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        encoded = []
+        for i in range(0, len(chunks), CHUNKS_AT_ONCE):
+            encoded += [x.ids for x in self.tokenizer.encode_batch_fast(chunks[i : i + CHUNKS_AT_ONCE], add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
         slots = len(self.offsets) - 1 + np.arange(len(keys))

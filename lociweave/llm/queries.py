@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from . import chat, jaccard, media, mixing, nbsvm, packing, rules, secrets, substrings, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
-from .store import stored
+from .store import small_batches, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

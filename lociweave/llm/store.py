@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of one Arrow batch; rows hold whole texts, so the default of 10,000 would be tens of MB in each Python worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets smaller Arrow batches, unless the session has its own size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where it is unset, a local folder (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -187,7 +187,7 @@ class LabelModel:
             d = x - mean
             cov = (d * weight[:, None]).T @ d / max(weight.sum(), 1e-9)
             sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-            total += weight.sum() / (a.sum() + b.sum()) * cov / np.outer(sd, sd)
+            total += weight.sum() / max(a.sum() + b.sum(), 1e-9) * cov / np.outer(sd, sd)
         np.fill_diagonal(total, 0)
         return np.maximum(total, 0).sum(axis=1)
 
