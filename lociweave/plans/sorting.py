@@ -62,7 +62,7 @@ def ordered_header(simple: bool):
 
 
 def _run_summary(path: Path, args, o: SortOptions, outputs: dict, counts: dict) -> None:
-    lines = ["fasta_mummer_reference_order.py", "", "Inputs", *(f"{k}\t{getattr(args, k)}" for k in ("ref_fasta", "assembly_fasta", "coords")), "", "Thresholds"]
+    lines = ["lociweave sort", "", "Inputs", *(f"{k}\t{getattr(args, k)}" for k in ("ref_fasta", "assembly_fasta", "coords")), "", "Thresholds"]
     lines += [f"{k}\t{getattr(o, k)}" for k in ("min_aligned_bp", "min_query_cov", "min_best_ref_share", "min_segment_idy")]
     lines += [f"overlap_filter_enabled\t{not o.no_overlap_filter}", f"min_novel_ref_bp\t{o.min_novel_ref_bp}", f"min_novel_ref_frac\t{o.min_novel_ref_frac}", f"orient_to_reference\t{o.orient_to_reference}", "", "Outputs", *(f"{k}\t{v}" for k, v in outputs.items()), "", "Summary"]
     lines += [f"reference_sequences\t{counts['refs']}", f"assembly_contigs\t{counts['records']}", f"kept_contigs\t{counts['kept']}", f"discarded_contigs\t{counts['records'] - counts['kept']}", f"coords_rows_skipped_unknown_query\t{counts['skipped']}"]
