@@ -238,17 +238,42 @@ def status_counts(spark, sf_dir):
     return _chosen(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("contigs"))
 
 
-@query()
-def greedy_overlap_filter(spark, sf_dir):
-    a = assign.resolve_overlaps(_chosen(spark, sf_dir), OPTIONS)
-    return a.filter("novel_ref_bp is not null").select("query", "status", "novel_ref_bp", "novel_ref_frac", "overlap_best_contig", "overlap_best_bp")
-
-
 _RANKED = """kept as (select *, row_number() over (partition by ref order by merged_ref_bp desc, merged_query_bp desc, query_cov desc, avg_identity desc, ord) as rank from chosen where status = 'kept'),
 spans as (select k.query, k.ref, k.rank, u.s, u.e from kept k join runion u on k.query = u.query and k.ref = u.ref),
 pairs as (select c.query, k.query as other, k.rank, sum(least(c.e, k.e) - greatest(c.s, k.s)) as bp from spans c join spans k on c.ref = k.ref and k.rank < c.rank and c.s < k.e and k.s < c.e group by c.query, k.query, k.rank)"""
 
 
+# A contig's reference positions as bits; contigs of a reference claim theirs in order of rank.
+_GREEDY = f"""kb as (
+  select query, ref, rank, merged_ref_bp, bitstring_agg(p, 0, 21000) as bits
+  from (select k.query, k.ref, k.rank, k.merged_ref_bp, unnest(generate_series(u.s, u.e - 1)) as p from kept k join runion u on k.query = u.query and k.ref = u.ref)
+  group by query, ref, rank, merged_ref_bp),
+walk as (
+  select ref, rank, query, bits, bits as covered, merged_ref_bp, cast(merged_ref_bp as bigint) as novel, true as accepted from kb where rank = 1
+  union all
+  select ref, rank, query, bits, case when ok then covered | bits else covered end, merged_ref_bp, novel, ok
+  from (select *, novel > 0 and (novel >= {OPTIONS.min_novel_ref_bp} or novel / cast(merged_ref_bp as double) >= {OPTIONS.min_novel_ref_frac}) as ok
+    from (select k.ref, k.rank, k.query, k.bits, w.covered, k.merged_ref_bp, cast(bit_count(k.bits & ~w.covered) as bigint) as novel from walk w join kb k on k.ref = w.ref and k.rank = w.rank + 1))),
+over as (
+  select a.query, b.query as other, cast(bit_count(a.bits & b.bits) as bigint) as bp, row_number() over (partition by a.query order by bit_count(a.bits & b.bits) desc, b.rank) as n
+  from walk a join walk b on a.ref = b.ref and b.rank < a.rank and b.accepted where bit_count(a.bits & b.bits) > 0)"""
+
+
+@query(
+    _sql(
+        UNION,
+        METRICS,
+        CHOICE,
+        _RANKED,
+        _GREEDY,
+        select="select w.query, case when accepted then 'kept' else 'duplicate_overlap' end as status, novel as novel_ref_bp, novel / cast(merged_ref_bp as double) as novel_ref_frac, coalesce(other, '.') as overlap_best_contig, coalesce(bp, 0) as overlap_best_bp from walk w left join over o on w.query = o.query and o.n = 1",
+    ).replace("with ", "with recursive ", 1)
+)
+def greedy_overlap_filter(spark, sf_dir):
+    a = assign.resolve_overlaps(_chosen(spark, sf_dir), OPTIONS)
+    return a.filter("novel_ref_bp is not null").select("query", "status", "novel_ref_bp", "novel_ref_frac", "overlap_best_contig", "overlap_best_bp")
+
+
 @query(_sql(UNION, METRICS, CHOICE, _RANKED, select="select query, other as overlap_best_contig, cast(bp as bigint) as overlap_best_bp from (select *, row_number() over (partition by query order by bp desc, rank) as n from pairs) where n = 1"))
 def best_overlap_contig(spark, sf_dir):
     """Among all stronger candidates, accepted or not."""
