@@ -22,8 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,8 +176,11 @@ def example_findings(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int
     return out
 
 
-def train(spark: SparkSession, findings: list[tuple[str, int, int, int]] | DataFrame | None = None) -> RandomForestClassificationModel:
-    """A forest from labelled findings (text, start, end, label); a DataFrame's spans are code points of its text."""
+def train(spark: SparkSession, findings: list[tuple[str, int, int, int]] | DataFrame | None = None):
+    """A RandomForestClassificationModel from labelled findings (text, start, end, label); a DataFrame's spans are code points of its text."""
+    from pyspark.ml.classification import RandomForestClassifier  # not at the top: Python workers don't need it
+    from pyspark.ml.functions import array_to_vector
+
     if isinstance(findings, DataFrame):
         findings = [tuple(r) for r in findings.select("text", "start", "end", "label").orderBy("text", "start").limit(20 * EXAMPLES).collect()]
     rows = [(describe(t[a:z], t[max(0, a - CONTEXT) : a], t[z : z + CONTEXT]), float(label)) for t, a, z, label in (findings or example_findings())]
@@ -189,6 +190,8 @@ def train(spark: SparkSession, findings: list[tuple[str, int, int, int]] | DataF
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", findings=None) -> DataFrame:
     """(row, key, start, n_chars, secret_sha256, score, is_secret) of every candidate of every row."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     model = train(docs.sparkSession, findings)
     found = candidates(docs, key, text).withColumn("features", array_to_vector("features"))
     judged = model.transform(found).withColumn("score", vector_to_array("probability")[1])
