@@ -262,16 +262,17 @@ REMEMBERED = 1 << 18
 def outside_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """In larger blocks, pairs of a point outside the block's largest component with one of another component.
 
-    rows: (block, first, node, n, root, point), where a block is a slice of a token's block and ``first``
-    marks the slice's own points, which form its R-tree.  A pair can come from several blocks."""
+    rows: (block, first, outside, node, n, root, point), where a block is a slice of a token's block and ``first``
+    marks the slice's own points, which form its R-tree; ``outside`` marks all points outside.  Of two such points
+    the smaller one's slice gives the pair.  A task gives a pair once; slices of like blocks share a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, block, own, given = None, None, [], set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            of, first, node, n, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            p = points(batch.column(5).to_pylist()).astype(np.uint32)
+            of, first, outside, node, n, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            p = points(batch.column(6).to_pylist()).astype(np.uint32)
             edges = np.flatnonzero((of[1:] != of[:-1]) | (first[1:] != first[:-1])) + 1
             a, b = [], []
             for lo, hi in zip(np.append(0, edges).tolist(), np.append(edges, len(of)).tolist(), strict=True):
@@ -286,7 +287,8 @@ def outside_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     if tree is None:
                         continue
                 i, j = tree.join(p[lo:hi], n[lo:hi], percent)
-                i, j = i[own_root[j] != root[lo:hi][i]], j[own_root[j] != root[lo:hi][i]]
+                good = (own_root[j] != root[lo:hi][i]) & (~outside[lo:hi][i] | (own_node[j] < node[lo:hi][i]))
+                i, j = i[good], j[good]
                 for x, y in zip(node[lo:hi][i].tolist(), own_node[j].tolist(), strict=True):
                     pair = (x, y) if x < y else (y, x)
                     if pair not in given:
@@ -391,11 +393,12 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = rooted.join(main, "token").withColumn("slices", F.ceil(F.col("outside") / SLICE).cast("int"))
     rows = rows.withColumn("own", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))
     to = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    rows = rows.select("token", "node", "n", "root", "own", to)
-    rows = rows.select("token", "node", "n", "root", "slice", F.lit(False).alias("first")).unionByName(rows.filter("own = slice").select("token", "node", "n", "root", "slice", F.lit(True).alias("first")))
-    rows = rows.join(place.select("node", "point"), "node")
-    rows = rows.withColumn("block", F.xxhash64("token", "slice")).repartition("block").sortWithinPartitions("block", F.col("first").desc())
-    rest = stored(outside_pairs(rows.select("block", "first", "node", "n", "root", "point"), percent).distinct(), "pairs")
+    rows = rows.select("token", "node", "n", "root", "main", "own", F.col("own").isNotNull().alias("outside"), to)
+    rows = rows.select("*", F.explode(F.when(F.col("own") == F.col("slice"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("first"))
+    rows = rows.join(place.select("node", "point"), "node").withColumn("block", F.xxhash64("token", "slice"))
+    # the blocks of a group of near copies have its component in common
+    rows = rows.repartition("main", "slice").sortWithinPartitions("block", F.col("first").desc())
+    rest = stored(outside_pairs(rows.select("block", "first", "outside", "node", "n", "root", "point"), percent).distinct(), "pairs")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, docs, rep, words, percent)))
     of_class = rep.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of_class.groupBy("root").agg(F.min("key").alias("component_id"))
