@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, blocks, column_texts, keyed, lines, span_hashes
+from .store import BROADCAST_KEYS, stored
 
 NGRAM = 4
 BUCKETS = 1 << 16
@@ -33,8 +34,6 @@ THRESHOLD = -0.75
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SCALE = 1 << 16
-#: Labelled documents that the target is counted on, at most.
-TRUSTED = 20_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -120,9 +119,10 @@ RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def apply_rules(docs: DataFrame, target: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the base counts, the ratio and the verdict; target: trusted documents with the same text column."""
-    raw, trusted = _table(bucket_counts(docs, text)), _table(bucket_counts(target, text))
+def apply_rules(docs: DataFrame, target: DataFrame | list[DataFrame], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with the base counts, the ratio and the verdict; target: trusted documents with the same text column, or blocks of them."""
+    parts = [target] if isinstance(target, DataFrame) else target
+    raw, trusted = _table(bucket_counts(docs, text)), sum((_table(bucket_counts(part, text)) for part in parts), np.zeros(BUCKETS))
     weights = docs.sparkSession.sparkContext.broadcast(bucket_weights(raw, trusted))  # BUCKETS integers
     names = [x.split()[0] for x in RULES.split(", ")]
     passed = [c for c in docs.columns if c not in names]
@@ -147,7 +147,11 @@ def apply_rules(docs: DataFrame, target: DataFrame, text: str = "text", threshol
     return docs.select(*[f"`{c}`" for c in passed]).mapInArrow(judge, schema)
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """The target: documents that the labels call good, at most ``most`` of them, the first by a hash of doc_id."""
-    good = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi")  # at most ``most`` keys
+def trusted_documents(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_KEYS) -> list[DataFrame]:
+    """The target: all documents that the labels call good, in blocks of at most ``most`` distinct keys; their texts are read once a block and never shuffled."""
+    good = stored(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "good")
+    n = max(1, -(-good.count() // most))
+    block = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(n))
+    while n > 1 and good.groupBy(block().alias("block")).count().agg(F.max("count")).first()[0] > most:
+        n += 1
+    return [docs.select("doc_id", "text").join(F.broadcast(good.filter(block() == k)), "doc_id", "left_semi") for k in range(n)]

@@ -131,6 +131,20 @@ def test_components_of_a_chain(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_rules_count_every_trusted_document(spark):
+    rows = [(k, ("common words here " if k % 700 else "sjælden tekst ") + str(k)) for k in range(21_000)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "no key"), (21_000, "not labelled"), (21_001, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(k, 1) for k in range(21_000)], (5, 1), (None, 1), (21_001, 0)], "doc_id long, quality int")
+    want = sorted(k for k, _ in [*rows, rows[0]])
+    for most, n in ((100_000, 1), (9_000, 3)):
+        parts = rules.trusted_documents(docs, labels, most)
+        found = [[r["doc_id"] for r in part.select("doc_id").collect()] for part in parts]
+        assert sorted(k for f in found for k in f) == want and len(found) == n and max(len(set(f)) for f in found) <= most
+    by_hand = rules.apply_rules(docs, docs.filter("doc_id < 21000"))
+    for target in (rules.trusted_documents(docs, labels), parts):
+        assert rules.apply_rules(docs, target).select("doc_id", "llr").exceptAll(by_hand.select("doc_id", "llr")).count() == 0
+
+
 def test_rules(spark, docs, rows, empty):
     target = docs.filter("doc_id % 2 = 0").select("text")
     got = {r["doc_id"]: r for r in rules.apply_rules(docs, target).collect()}
