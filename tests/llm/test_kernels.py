@@ -190,6 +190,23 @@ def test_candidates_and_examples():
     assert secrets.example_findings(50) == secrets.example_findings(50)
 
 
+def found_candidates(text):
+    spans = secrets.candidate_spans(kernels.column_texts(pa.array([text])))
+    return [text.encode()[a:z].decode() for _, a, z in zip(*(x.tolist() for x in spans), strict=True)]
+
+
+def test_candidates_of_assignments():
+    value = "Ab3xYz9QwErTy12345Kk"
+    for form in ("api_key={}", "export TOKEN={} ", "a\nSECRET={}\nb=1", "https://x.com/a?access_token={}&b=1", "see {}. Then", "API_KEY==={}"):
+        assert found_candidates(form.format(value)) == [value]
+    assert found_candidates(f"token={value}==") == [f"{value}=="]
+    short = {'password = "hunter2!x" ok': "hunter2!x", "pwd=S3cr3t!, then": "S3cr3t!", "dbPassword: pässwört1 é": "pässwört1", '{"apiKey":"abc!1234"}': "abc!1234", "Authorization: Bearer abc12345": "abc12345"}
+    assert {text: found_candidates(text) for text in short} == {text: [value] for text, value in short.items()}
+    assert not any(map(found_candidates, ("password: required now", "password=", "====", "a=b", "name = hunter2!x")))
+    for text, a, z, _ in secrets.example_findings(200):
+        assert text[a:z] in found_candidates(text)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(9)
     rows = [np.unique(np.append(rng.integers(100, 200, 5), 1 if k % 2 else 2)) for k in range(200)]

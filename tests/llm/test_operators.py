@@ -251,6 +251,27 @@ def test_secrets(spark, empty):
     assert secrets.train(spark, own).numFeatures == len(secrets.FEATURES)
 
 
+def test_secrets_in_all_forms(spark):
+    rng = random.Random(3)
+    value = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=36))
+    upper = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+    bare = [f"we saw ghp_{value} in the log", f"it is AKIA{upper}."]
+    texts = [f"api_key={value}", f"export TOKEN={value}", f"x\nSECRET={value}\ny", f"go https://a.com/b?access_token={value}&c=1", *bare, 'é password = "hunter2!x" ok', "set pwd=S3cr3t!x9 now"]
+    plain = [f"commit={hashlib.sha1(b'y').hexdigest()}", "password: required here", "key: chapter12 of it", "id=01234567-89ab-4cde-8f01-23456789abcd", "key: required, not /usr/local/share/file12.png"]
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts + plain)], "doc_id long, text string, n_chars int")
+    clean = [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert clean == ["api_key=[SECRET]", "export TOKEN=[SECRET]", "x\nSECRET=[SECRET]\ny", "go https://a.com/b?access_token=[SECRET]&c=1", "we saw [SECRET] in the log", "it is [SECRET].", 'é password = "[SECRET]" ok', "set pwd=[SECRET] now", *plain]
+
+
+def test_overlapping_secrets_are_masked_once(spark, monkeypatch):
+    text = "secret: !a1b2c3d4e5f6g7h8i9! end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    everything = secrets.scan(df).withColumn("is_secret", F.lit(1))
+    assert everything.count() == 2
+    monkeypatch.setattr(secrets, "scan", lambda *a, **k: everything)
+    assert secrets.redact(df).first()["text"] == "secret: [SECRET] end"
+
+
 def plain_strip(rows, window=13):
     first, out = {}, {}
     for k, t, *_ in sorted(rows, key=lambda r: r[0]):
