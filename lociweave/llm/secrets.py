@@ -250,14 +250,16 @@ def example_findings(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int
 
 
 def train(spark: SparkSession, findings: list[tuple[str, int, int, int]] | DataFrame | None = None):
-    """A RandomForestClassificationModel from labelled findings (text, start, end, label); a DataFrame's spans are code points of its text."""
+    """A RandomForestClassificationModel from labelled findings (text, start, end, label); a DataFrame's spans are code points of its text, and all its rows are learnt from, where they are."""
     from pyspark.ml.classification import RandomForestClassifier  # not at the top: Python workers don't need it
     from pyspark.ml.functions import array_to_vector
 
+    features = lambda t, a, z: describe(t[a:z], t[max(0, a - CONTEXT) : a], t[z : z + CONTEXT])
     if isinstance(findings, DataFrame):
-        findings = [tuple(r) for r in findings.select("text", "start", "end", "label").orderBy("text", "start").limit(20 * EXAMPLES).collect()]
-    rows = [(describe(t[a:z], t[max(0, a - CONTEXT) : a], t[z : z + CONTEXT]), float(label)) for t, a, z, label in (findings or example_findings())]
-    data = spark.createDataFrame(rows, "f array<double>, label double").coalesce(1).select(array_to_vector("f").alias("features"), "label")
+        rows = findings.select(F.udf(features, "array<double>")("text", "start", "end").alias("f"), F.col("label").cast("double").alias("label"))
+    else:
+        rows = spark.createDataFrame([(features(t, a, z), float(label)) for t, a, z, label in (findings or example_findings())], "f array<double>, label double").coalesce(1)
+    data = rows.select(array_to_vector("f").alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(data)
 
 

@@ -272,6 +272,16 @@ def test_overlapping_secrets_are_masked_once(spark, monkeypatch):
     assert secrets.redact(df).first()["text"] == "secret: [SECRET] end"
 
 
+def test_forest_learns_from_all_findings(spark):
+    early = spark.range(75_000).selectExpr("concat('a 1234567812345678 ', id) text", "2 start", "18 end", "0 label")
+    late = spark.range(800).selectExpr("concat('z x1y2z3x1y2z3x1y2z3 ', id) text", "2 start", "20 end", "1 label")
+    model = secrets.train(spark, early.unionByName(late))
+    assert model.numClasses == 2
+    from pyspark.ml.linalg import Vectors
+
+    assert model.predict(Vectors.dense(secrets.describe("x1y2z3x1y2z3x1y2z3", "z ", " 1"))) == 1
+
+
 def plain_strip(rows, window=13):
     first, out = {}, {}
     for k, t, *_ in sorted(rows, key=lambda r: r[0]):
