@@ -13,8 +13,9 @@ the corpus; each document then finds its place by its length and rank, where
 ranks are counts of salted slices plus a row number within a slice.
 
 Null and empty texts are one piece with the end token.  Repeated rows are
-packed as often as they occur.  Ties go by key and piece.  An empty table gives
-an empty result.  Columns other than key and text are not passed on.
+packed as often as they occur.  Ties go by a hash slice of key and piece, then by
+key and piece; which of them gets which sequence changes no count.  An empty
+table gives an empty result.  Columns other than key and text are not passed on.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from .store import stored
 
 CAPACITY, END_ID = 1024, 2
 SLICE = 1_000
-#: Entries of a worker's dictionary of encoded chunks; it starts again beyond.
-DICTIONARY = 500_000
+#: Chunks in a generation of a worker's dictionary, and bits of its slots (14 bytes each).
+ENTRIES, SLOT_BITS = 650_000, 20
+_SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
 #: Chunks that are encoded at once.
 CHUNKS_AT_ONCE = 10_000
 
@@ -66,67 +68,112 @@ def chunk_starts(texts: Texts) -> np.ndarray:
     return at[np.diff(at, prepend=-1) > 0]
 
 
+class ChunkTable:
+    """Token ids by hash of a chunk: an open hash table of at most ENTRIES chunks over one buffer of ids."""
+
+    def __init__(self, id_type: type):
+        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)  # 0: free
+        self.at = np.zeros(1 << SLOT_BITS, np.int32)
+        self.size = np.zeros(1 << SLOT_BITS, np.int32)
+        self.ids = np.zeros(1 << 16, id_type)
+        self.entries = self.used = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for those that aren't here."""
+        slot = (keys & _SLOT_MASK).astype(np.int64)
+        there = self.keys[slot]
+        open_ = np.flatnonzero((there != keys) & (there != 0))
+        slot[there == 0] = -1
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(_SLOT_MASK)
+            there = self.keys[slot[open_]]
+            slot[open_[there == 0]] = -1
+            open_ = open_[(there != keys[open_]) & (there != 0)]
+        return slot
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Puts in distinct keys that aren't here, with their ids one after another."""
+        ends = self.used + np.cumsum(sizes)
+        need = int(ends[-1]) if len(ends) else 0
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need - len(self.ids), len(self.ids)), self.ids.dtype)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        slot, left = (keys & _SLOT_MASK).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            mine = free[np.unique(slot[free], return_index=True)[1]]  # of keys that want one slot the first gets it
+            self.keys[slot[mine]], self.at[slot[mine]], self.size[slot[mine]] = keys[mine], (ends - sizes)[mine], sizes[mine]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & int(_SLOT_MASK)
+        self.entries, self.used = self.entries + len(keys), self.used + len(flat)
+
+    def of(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slots one after another, and how many each has."""
+        size = self.size[slot].astype(np.int64)
+        place = np.cumsum(size) - size
+        return self.ids[np.repeat(self.at[slot] - place, size) + np.arange(int(size.sum()))], size
+
+
 class ChunkEncoder:
-    """Token ids of texts, by a dictionary from chunks to ids that grows as chunks are met."""
+    """Token ids of texts, by a dictionary from chunks to ids that grows as chunks are met.
+
+    The dictionary has two generations.  When the young one is full it becomes the old one, whose chunks
+    move on when they are met again; so what is frequent stays, and memory is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # old and recent, sorted
-        self.slots = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = np.full(len(keys), -1, np.int64)
-        for known, at in zip(self.keys, self.slots, strict=True):
-            if len(known):
-                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                slot = np.where(known[i] == keys, at[i], slot)
-        return slot
+        self.id_type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.young, self.old = ChunkTable(self.id_type), ChunkTable(self.id_type)
 
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        encoded = []
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and how many each has."""
+        flat, sizes = [np.zeros(0, self.id_type)], [np.zeros(0, np.int64)]
         for i in range(0, len(chunks), CHUNKS_AT_ONCE):
-            encoded += [x.ids for x in self.tokenizer.encode_batch_fast(chunks[i : i + CHUNKS_AT_ONCE], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
-        slots = len(self.offsets) - 1 + np.arange(len(keys))
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
-        k, s = np.concatenate([self.keys[1], keys]), np.concatenate([self.slots[1], slots])
-        if len(k) > 50_000 + len(self.keys[0]) // 4:
-            k, s = np.concatenate([self.keys[0], k]), np.concatenate([self.slots[0], s])
-            order = np.argsort(k, kind="stable")
-            self.keys, self.slots = [k[order], self.keys[1][:0]], [s[order], self.slots[1][:0]]
-        else:
-            order = np.argsort(k, kind="stable")
-            self.keys[1], self.slots[1] = k[order], s[order]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(chunks[i : i + CHUNKS_AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), self.id_type, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The slot of each chunk in the young generation, into which missing ones are put."""
+        slot = self.young.find(keys)
+        missing = np.flatnonzero(slot < 0)
+        if not len(missing):
+            return slot
+        new, first = np.unique(keys[missing], return_index=True)
+        if self.young.entries + len(new) > ENTRIES:
+            self.young, self.old = ChunkTable(self.id_type), self.young
+            return self.slots(data, starts, ends, keys)
+        before = self.old.find(new)
+        known = before >= 0
+        self.young.add(new[known], *self.old.of(before[known]))
+        at = missing[first[~known]]
+        raw = data.tobytes()
+        chunks = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        self.young.add(new[~known], *self.encode_chunks(chunks))
+        slot[missing] = self.young.find(keys[missing])
+        return slot
 
     def encode(self, texts: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order with end_id after each text, and how many each text has."""
         starts = chunk_starts(texts)
         counts, owner = texts.per_text(starts)
         ends = np.append(starts[1:], len(texts.data))[: len(starts)]
-        keys, first, inverse = np.unique(span_hashes(texts.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.offsets) + len(keys) > DICTIONARY:
-            self.clear()
-        slot = self.find(keys)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            raw = texts.data.tobytes()
-            at = first[new]
-            self.learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            slot = self.find(keys)
-        slot = slot[inverse]
-        sizes = self.offsets[slot + 1] - self.offsets[slot]
-        place = np.cumsum(sizes) - sizes
-        ids = self.ids[np.repeat(self.offsets[slot] - place, sizes) + np.arange(int(sizes.sum()))]
-        total = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
-        return np.insert(ids, np.cumsum(total), end_id), total + 1
+        keys = np.maximum(span_hashes(texts.data, starts, ends), 1)
+        total = np.zeros(len(texts), np.int64)
+        parts = [np.zeros(0, np.uint32)]
+        for i in range(0, len(keys), ENTRIES // 2):  # a very long text has more chunks than a generation
+            j = i + ENTRIES // 2
+            ids, sizes = self.young_ids(texts.data, starts[i:j], ends[i:j], keys[i:j])
+            parts.append(ids.astype(np.uint32))
+            total += np.bincount(owner[i:j], weights=sizes, minlength=len(texts)).astype(np.int64)
+        return np.insert(np.concatenate(parts), np.cumsum(total), end_id), total + 1
+
+    def young_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = self.slots(data, starts, ends, keys)
+        return self.young.of(slot)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -84,6 +84,20 @@ def test_tokens_equal_the_whole_text():
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_generations_of_the_dictionary(monkeypatch):
+    monkeypatch.setattr(packing, "ENTRIES", 40)
+    monkeypatch.setattr(packing, "SLOT_BITS", 6)
+    monkeypatch.setattr(packing, "_SLOT_MASK", np.uint64(63))
+    rng = random.Random(5)
+    coder = packing.ChunkEncoder(packing.default_tokenizer())
+    for k in range(30):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(0, 90))) for _ in range(4)]
+        ids, counts = coder.encode(kernels.column_texts(pa.array(texts)), 2)
+        want = [x.ids + [2] for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert coder.young.entries <= 40 and coder.old.entries <= 40
+
+
 def test_sweep_packs_as_best_fit_decreasing():
     import bisect
 
