@@ -8,15 +8,17 @@ size, the prefix sum of expected copies plus one random offset crosses an
 integer once for each copy; as documents of like size follow each other, the
 words taken come near the target.
 
-Prefix sums are ranks times the rate, and ranks come in two levels: counts by
-(source, size), then a row number in salted slices of about SLICE rows, so a
-source or a size that holds a third of all rows is no single task.
+Prefix sums are ranks times the rate.  Ranks come from one range sort by
+(source, size, key): a row's place in its partition, and the counts of its
+source in the partitions before.  Partitions are cut by key too, so a source or
+a size that holds a third of all rows is no single task, and the order is the
+same at every size.
 
 Null texts have size 0 and are taken like others (they add no words); the null
-source is a source of its own.  Ties in size go by doc_id, then by a hash of
-the text; repeated rows count as often as they occur.  Input columns are passed
-on; a clashing one is replaced by the result's.  An empty table gives an empty
-result.
+source is a source of its own.  Ties in size go by key (null first), then by a
+hash of the text; rows equal in all of these are interchangeable, and repeated
+rows count as often as they occur.  Input columns are passed on; a clashing one
+is replaced by the result's.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import BROADCAST_KEYS, IDENTITY, identity, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Words the mix takes, and the most that a source gives, per 100 and as a multiple.
 SHARE_PERCENT, CAP = 150, 2
-SLICE = 1_000
+#: Sources whose sums one task adds up.
+ONE_TASK = 100_000
+#: Copies of one row that a task writes; beyond, they are dealt again.
+COPIES_AT_ONCE = 1_000
 SEED = "mix-1"
 
 
@@ -44,23 +49,50 @@ def offset(source: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), name)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+_PLACE = (1 << 33) - 1  # low bits of a monotonically increasing id: the row's place in its partition
+
+
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """df range-sorted and stored, with _part and _place: where each row is."""
+    salted = df.withColumn("_salt", F.rand(1))  # rows equal in the order may part
+    rows = salted.repartitionByRange(*order, F.col("_salt")).sortWithinPartitions(*order).drop("_salt").withColumn("_id", F.monotonically_increasing_id())
+    return stored(rows, "sorted").withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit(_PLACE))).drop("_id")
+
+
+def running(df: DataFrame, sums: dict[str, str], *order: Column, rows_at_most: int) -> DataFrame:
+    """df with prefix sums: for each new name the sum of a column over all rows before.
+
+    Up to ONE_TASK rows one task adds them up; beyond, partitions of a range sort do, each from the sums before it."""
+    if rows_at_most <= ONE_TASK:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()])
+    rows = in_order(df, *order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = rows.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(parts), "_part")  # at most as many rows as partitions
+    return rows.select(*df.columns, *[(F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()])
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, target) from (source, size, n) counts; one row for each source."""
-    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
-    all_rows = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """(source, source_size, target) from (source, size, n) counts; one row for each source.
+
+    There may be as many sources as there are hosts."""
+    totals = stored(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).withColumn("one", F.lit(1).cast("long")), "sources")
+    many = totals.count()
+    t = running(totals, {"number": "one"}, F.col("source").asc_nulls_last(), rows_at_most=many)
+    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int")).cast("long"))
     # sources in the order in which a rising level fills them: cap / weight
-    fill = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    t = totals.withColumn("weight", weight)
-    t = t.withColumn("total", F.sum("source_size").over(all_rows)).withColumn("weights", F.sum("weight").over(all_rows))
-    t = t.withColumn("filled", F.coalesce(F.sum("source_size").over(fill), F.lit(0))).withColumn("filled_weight", F.coalesce(F.sum("weight").over(fill), F.lit(0)))
+    t = running(t, {"filled": "source_size", "filled_weight": "weight"}, (F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last(), rows_at_most=many)
+    t = stored(t, "levels")
+    all_ = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
     # 100 x the words left for this source and those after it
-    left = F.lit(SHARE_PERCENT) * F.col("total") - F.lit(100 * CAP) * F.col("filled")
-    level = left / (F.lit(100.0) * (F.col("weights") - F.col("filled_weight")))
+    left = F.lit(SHARE_PERCENT * all_["size"]) - F.lit(100 * CAP) * F.col("filled")
+    level = left / (F.lit(100.0) * (F.lit(all_["weight"]) - F.col("filled_weight")))
     t = t.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") > CAP * F.col("source_size"))
-    open_level = F.min(F.when(~F.col("full"), F.struct("filled_weight", "level"))).over(all_rows)["level"]
-    target = F.when(F.col("full"), CAP * F.col("source_size").cast("double")).otherwise(F.least(F.col("weight") * open_level, CAP * F.col("source_size").cast("double")))
+    open_level = t.agg(F.min(F.when(~F.col("full"), F.struct("filled_weight", "level")))["level"]).first()[0]
+    target = F.when(F.col("full"), CAP * F.col("source_size").cast("double")).otherwise(F.least(F.col("weight") * F.lit(open_level).cast("double"), CAP * F.col("source_size").cast("double")))
     return t.select("source", "source_size", target.alias("target"))
 
 
@@ -74,24 +106,19 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def mix_sized(d: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """d (from ``sized``) with source_size, target, copies and taken (copies times size)."""
-    src = F.col(source)
-    counts = d.groupBy(src.alias("c_source"), F.col("size").alias("c_size")).agg(F.count(F.lit(1)).alias("_n"))
-    targets = source_targets(counts.select(F.col("c_source").alias("source"), F.col("c_size").alias("size"), F.col("_n").alias("n"))).withColumnRenamed("source", "t_source")
-    ahead = Window.partitionBy("c_source").orderBy("c_size").rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    places = places.join(targets, F.col("c_source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    d = d.join(places, src.eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).drop("c_source", "c_size")
-    d = d.withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.ceil(F.col("_n") / SLICE)))
-    slices = d.groupBy(src.alias("c_source"), F.col("size").alias("c_size"), F.col("_slice").alias("c_slice")).agg(F.count(F.lit(1)).alias("_m"))
-    ahead = Window.partitionBy("c_source", "c_size").orderBy("c_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_ahead", F.coalesce(F.sum("_m").over(ahead), F.lit(0))).filter("_ahead > 0").drop("_m")
-    d = d.join(slices, src.eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("_slice") == F.col("c_slice")), "left").drop("c_source", "c_size", "c_slice")
-    order = Window.partitionBy(src, "size", "_slice").orderBy(F.col(key).asc_nulls_first(), "_tie")
-    d = d.withColumn("_rank", F.col("_before") + F.coalesce("_ahead", F.lit(0)) + F.row_number().over(order))
-    d = d.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("_shift", offset(src))
-    copies = F.floor(F.col("_rank") * F.col("_rate") + F.col("_shift")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_shift"))
-    d = d.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return d.drop("_n", "_before", "_slice", "_ahead", "_rank", "_rate", "_shift", "_tie")
+    rows = in_order(d.withColumn("_source", F.col(source)).withColumn("_key", F.col(key)), F.col("_source"), F.col("size"), F.col("_key").asc_nulls_first(), F.col("_tie"))
+    parts = stored(rows.groupBy(F.col("_source").alias("source"), "_part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("_place").alias("first")), "parts")
+    targets = source_targets(parts.select("source", "size", F.lit(1).alias("n")))
+    ahead = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row's rank in its source is its place, plus shift
+    places = parts.withColumn("_shift", F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first") + 1).select("source", "_part", "_shift")
+    places = places.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("p_source"), F.col("_part").alias("p_part"), "_shift", "source_size", "target", offset(F.col("source")).alias("_offset"))
+    few = parts.count() <= BROADCAST_KEYS  # sources and partitions
+    r = rows.join(F.broadcast(places) if few else places, F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_part") == F.col("p_part")))
+    r = r.withColumn("_rank", F.col("_place") + F.col("_shift")).withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    copies = F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_offset"))
+    r = r.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return r.select(*[F.col(f"`{c}`") for c in d.columns if c != "_tie"], "source_size", "target", "copies", "taken")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -102,10 +129,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns.
 
-    Copies are counted on keys and sizes alone; whole rows are shuffled once.  Rows that agree in key and text
-    are taken together, as often as each of them is."""
-    numbered = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
-    narrow = numbered.select("_row", F.col(key), F.col(source), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_tie"))
-    copies = mix_sized(stored(narrow, "sizes"), key, source).groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    taken = numbered.dropDuplicates(["_row"]).join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    Copies are counted on keys and sizes alone; whole rows are shuffled once.  Rows that agree in all columns
+    are interchangeable, and taken together as often as each of them is; other rows are told apart."""
+    numbered = docs.select("*", *identity(docs))
+    narrow = numbered.select(*IDENTITY, F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_tie"))
+    copies = mix_sized(stored(narrow, "sizes"), "key", "source").groupBy(*IDENTITY).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    taken = stored(numbered.dropDuplicates(list(IDENTITY)).join(copies, list(IDENTITY)).withColumn("_parts", F.ceil(F.col("_copies") / COPIES_AT_ONCE)), "taken")
+    each = F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES_AT_ONCE), F.col("_copies") - (F.col("_nth") - 1) * COPIES_AT_ONCE).cast("int")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = taken.filter("_parts = 1").withColumn("_nth", F.lit(1)).withColumn("_copy", each).select(*columns)
+    if not taken.filter("_parts > 1").limit(1).count():
+        return once
+    often = taken.filter("_parts > 1").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_parts").cast("int")))).repartition(*IDENTITY, "_nth")
+    return once.unionByName(often.withColumn("_copy", each).select(*columns))

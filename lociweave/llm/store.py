@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of one Arrow batch; rows hold whole texts, so the default of 10,000 would be tens of MB in each Python worker.
@@ -20,9 +21,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset, a local folder (tests)."""
+    """The cluster's spark.checkpoint.dir; only where it is unset, and the session is local, a local folder (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lociweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,7 +45,16 @@ BROADCAST_KEYS = 1_000_000
 
 def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among the keys (stored, distinct): by broadcast if they are few, else by a shuffled semi join."""
-    from pyspark.sql import functions as F
-
     few = keys.count() <= BROADCAST_KEYS
     return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
+#: Names of the columns of ``identity``.
+IDENTITY = ("_identity_1", "_identity_2")
+
+
+def identity(df: DataFrame) -> list[Column]:
+    """128 bits that tell rows apart by all their columns (rows equal in all of them agree)."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns += [c.isNull() for c in columns]  # a hash passes over nulls
+    return [F.xxhash64(*([F.lit(k)] * k), *columns).alias(name) for k, name in enumerate(IDENTITY)]

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.llm import chat, components, jaccard, media, mixing, nbsvm, packing, rules, secrets, substrings, toxicity
+from lociweave.llm import chat, components, jaccard, media, mixing, nbsvm, oracle, packing, rules, secrets, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -206,6 +206,28 @@ def test_mixing(spark, docs, rows, empty):
     assert m.count() == 8 and dict(m.dtypes)["size"] == "bigint" and mixing.take(odd(spark)).columns == odd(spark).columns
 
 
+def test_mixing_of_many_ties_equals_its_sql(spark, monkeypatch):
+    import duckdb
+
+    rows = [(k, ("w " * (5 if k % 4 else k % 7)).strip(), f"s{k % 3}" if k % 5 else None) for k in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    want = sorted(c.execute(oracle.MIXING).fetchall())
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(tuple, mixing.mix(df).select(*columns).collect())) == want
+    monkeypatch.setattr(mixing, "ONE_TASK", 0)
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 2)
+    monkeypatch.setattr(mixing, "BROADCAST_KEYS", 0)
+    assert sorted(map(tuple, mixing.mix(df).select(*columns).collect())) == want
+    same = [(1, "a b c", "x")] * 40 + [(1, "a b c", "y")] * 40 + [(2, None, None)] * 3
+    df = spark.createDataFrame(same, "doc_id long, text string, source string")
+    copies = Counter()
+    for r in mixing.mix(df).collect():
+        copies[r["doc_id"], r["source"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.take(df).collect()) == +copies and copies[1, "y"] > 0
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
