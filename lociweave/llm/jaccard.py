@@ -13,6 +13,8 @@ shingle sets.
    The order is by hash, with shingles that are frequent in a sample last; the
    sample moves work, never results.
 2. Documents with equal sets become one class, so copies never meet in pairs.
+   A class is 64 bits of a digest; where other 64 bits of it differ within a
+   class, the class is split by them.
 3. Classes that share a prefix shingle form a block.  In small blocks all
    points are compared.  In larger ones each point is first compared with a
    hub, the one with the most company; verified links make components; then only points outside
@@ -22,7 +24,7 @@ shingle sets.
 
 Null and empty texts and texts without words have an empty set and no links.
 Rows without key get no component and link with nothing; rows that share a key
-are rows of their own.  Repeated rows get equal results.  An empty
+are rows of their own.  A key may have any type that has an order, a struct too.  Repeated rows get equal results.  An empty
 table gives an empty result.  Only the key and the text are read.
 """
 
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -47,8 +49,10 @@ SMALL_BLOCK = 16
 #: Points outside the largest component that one task holds.
 SLICE = 1024
 LEAF = 16
-#: One document in so many counts for the order of shingles.
-ORDER_SAMPLE = 16
+#: Rows of large blocks that one task works on, about; a block has no fewer.
+TASK_ROWS = 8192
+#: One document in so many counts for the order of shingles, and so many shingles at most are put last.
+ORDER_SAMPLE, FREQUENT = 16, 1_000_000
 
 
 def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
@@ -102,7 +106,7 @@ def can_link(shared: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -
 
 
 def _order(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
-    """Hashes of shingles that many documents of a sample have, sorted: at most 2000 times the mean set size."""
+    """Hashes of shingles that many documents of a sample have, sorted: at most 2000 times the mean set size, and FREQUENT."""
     sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(ORDER_SAMPLE)) == 0).select(text)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,31 +117,37 @@ def _order(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
 
     least = max(8, sample.count() // 2000)
     seen = sample.mapInArrow(spread, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    seen = seen.orderBy(F.desc("n"), "token").limit(FREQUENT)
     return np.sort(seen.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
-PROFILE = "n_shingles long, node long, point binary, prefix array<long>"
+PROFILE = "n_shingles long, node long, more long, point binary, prefix array<long>"
+
+
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two columns of 64 bits each of a digest of each set."""
+    return np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
 
 
 def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(key, n_shingles, node, point, prefix) of each whole text; node is 64 bits of a digest of its set.
+    """(key, n_shingles, node, more, point, prefix) of each whole text; node and more are 64 bits each of a digest of its set.
 
     A task gives point and prefix with a node's first row only (null with the others), and not for rows without key."""
     frequent = docs.sparkSession.sparkContext.broadcast(_order(docs, key, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         none = np.zeros(0, np.int64)
         for batch in batches:
             keyed = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j, texts in blocks(column_texts(batch.column(1))):
-                sizes, nodes, places, prefixes = [], [], [], []
-                for k, s in enumerate(shingle_sets(texts, words)):
-                    n = len(s)
-                    node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                sizes, places, prefixes = [], [], []
+                sets = list(shingle_sets(texts, words))
+                nodes = digests(sets)
+                for k, s in enumerate(sets):
+                    n, node = len(s), (int(nodes[k, 0]), int(nodes[k, 1]))
                     sizes.append(n)
-                    nodes.append(node)
                     if node in met or not n or not keyed[i + k]:
                         places.append(None)
                         prefixes.append(none)
@@ -152,9 +162,25 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
                     prefixes.append(s[: prefix_length(n, percent)].view(np.int64))
                 offsets = np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n_shingles", "node", "point", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(nodes[:, 0].copy()), pa.array(nodes[:, 1].copy()), pa.array(places, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n_shingles", "node", "more", "point", "prefix"])
+
+    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, " + PROFILE)
+
+
+def split_classes(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """rows (with node and more) in which a class in clash (node) is split by its further bits."""
+    if clash is None:
+        return rows
+    split = rows.join(F.broadcast(clash.select(F.col("node").alias("_clash"))), F.col("node") == F.col("_clash"), "left")  # a handful of 10 billion sets
+    return split.withColumn("node", F.when(F.col("_clash").isNotNull(), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("_clash")
 
-    return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, " + PROFILE)
+
+def sharing(rows: DataFrame) -> DataFrame:
+    """Those rows (token, node, n) whose token several classes have: tokens by an aggregate, then their rows by a join.
+
+    Unlike a window on the token this brings no token's rows together in one task."""
+    ends = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    return having(rows, stored(ends.filter("a != b").select("token"), "tokens"), "token")
 
 
 _PAIR = "a long, b long"
@@ -317,41 +343,35 @@ def finer(pairs: DataFrame, place: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "p", "m", "q").mapInArrow(run, _PAIR)
 
 
-def packed_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, set) for nodes (node, key), made again from the whole text of the class's smallest key.
-
-    A set is the sorted upper 40 bits of its hashes, five bytes each."""
+def packed_sets(docs: DataFrame, nodes: DataFrame, words: int, clash: DataFrame | None) -> DataFrame:
+    """(node, set) for nodes (node, key), made again from the whole text of the class's smallest key; a set is its sorted hashes."""
     mine = having(docs, nodes.select("key").distinct(), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, texts in blocks(column_texts(batch.column(1))):
-                found, sets = [], []
-                for s in shingle_sets(texts, words):
-                    found.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    sets.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
-
-    return mine.mapInArrow(run, "node long, set binary").join(F.broadcast(nodes.select("node")) if nodes.count() <= BROADCAST_KEYS else nodes.select("node"), "node", "left_semi")
-
+                sets = list(shingle_sets(texts, words))
+                found = digests(sets)
+                new = [k for k, d in enumerate(map(tuple, found.tolist())) if not (d in given or given.add(d))]  # repeated rows once
+                found = found[new]
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["node", "more", "set"])
 
-def unpacked(s: bytes) -> np.ndarray:
-    out = np.zeros((len(s) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
-    return out.view("<u8")[:, 0]
+    made = split_classes(mine.select("key", "text").mapInArrow(run, "node long, more long, set binary"), clash).select("node", "set")
+    return made.join(F.broadcast(nodes.select("node")) if nodes.count() <= BROADCAST_KEYS else nodes.select("node"), "node", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, words: int, percent: int, clash: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (stored) whose shingle sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(packed_sets(docs, stored(wanted.join(rep, "node"), "wanted"), words), "sets")
+    sets = stored(packed_sets(docs, stored(wanted.join(rep, "node"), "wanted"), words, clash), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                u, v = unpacked(x.as_py()), unpacked(y.as_py())
+                u, v = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 ok[k] = can_link(np.array(len(np.intersect1d(u, v, assume_unique=True))), len(u), len(v), percent)
             yield _emit([batch.column(0).to_numpy()[ok]], [batch.column(1).to_numpy()[ok]])
 
@@ -360,14 +380,18 @@ def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, words: int, perc
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the smallest key that links reach, by similarity of at least percent."""
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     profile = stored(profiles(docs, "key", "text", words, percent), "profiles")
     with_set = profile.filter("key is not null and n_shingles > 0")
-    rep = stored(with_set.groupBy("node").agg(F.min("key").alias("key")), "classes")
+    rep = stored(with_set.groupBy("node").agg(F.min("key").alias("key"), F.min("more").alias("a"), F.max("more").alias("b")), "classes")
+    clash = rep.filter("a != b").select("node")
+    if clash.limit(1).count():
+        profile = split_classes(profile, clash)
+        rep = stored(profile.filter("key is not null and n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")), "classes")
+    else:
+        rep, clash = rep.select("node", "key"), None
     fresh = profile.filter("point is not null")
-    token_rows = fresh.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n"))
-    by_token = Window.partitionBy("token")
-    token_rows = token_rows.withColumn("shared", F.min("node").over(by_token) != F.max("node").over(by_token)).filter("shared").select("token", "node", "n")
+    token_rows = sharing(fresh.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n")))
     # a class that several tasks met comes several times
     shared = stored(token_rows.distinct(), "shared")
     # of blocks with the same members one is enough; it is the first, as pairs are left to their first block
@@ -386,20 +410,23 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     degree = large.groupBy("node").agg(F.sum("size").alias("degree"))
     large = stored(large.join(degree, "node").select("token", "node", "n", "degree"), "large")
     pairs = stored(finer(small.unionByName(hub_pairs(large, percent)), place.select("node", "n", "point"), percent), "pairs")
-    roots = components(stored(verified(pairs, docs, rep, words, percent), "links"))
+    roots = components(stored(verified(pairs, docs, rep, words, percent, clash), "links"))
     rooted = stored(large.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     by_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
     main = by_root.groupBy("token").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("total")).select("token", F.col("main")["root"].alias("main"), (F.col("total") - F.col("main")["m"]).alias("outside")).filter("outside > 0")
-    rows = rooted.join(main, "token").withColumn("slices", F.ceil(F.col("outside") / SLICE).cast("int"))
+    main = main.withColumn("slices", F.ceil(F.col("outside") / SLICE).cast("int"))
+    # the blocks of a group of near copies have its component in common and share tasks, as many as they need
+    load = main.join(by_root.groupBy("token").agg(F.sum("m").alias("total")), "token").groupBy("main").agg(F.ceil(F.sum(F.col("total") * F.col("slices")) / TASK_ROWS).cast("int").alias("tasks"))
+    main = main.join(load, "main").withColumn("task", F.pmod(F.xxhash64("token"), F.col("tasks")).cast("int")).select("token", "main", "outside", "slices", "task")
+    rows = rooted.join(main, "token")
     rows = rows.withColumn("own", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))
     to = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    rows = rows.select("token", "node", "n", "root", "main", "own", F.col("own").isNotNull().alias("outside"), to)
+    rows = rows.select("token", "node", "n", "root", "main", "task", "own", F.col("own").isNotNull().alias("outside"), to)
     rows = rows.select("*", F.explode(F.when(F.col("own") == F.col("slice"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("first"))
     rows = rows.join(place.select("node", "point"), "node").withColumn("block", F.xxhash64("token", "slice"))
-    # the blocks of a group of near copies have its component in common
-    rows = rows.repartition("main", "slice").sortWithinPartitions("block", F.col("first").desc())
+    rows = rows.repartition("main", "task", "slice").sortWithinPartitions("block", F.col("first").desc())
     rest = stored(outside_pairs(rows.select("block", "first", "outside", "node", "n", "root", "point"), percent).distinct(), "pairs")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, docs, rep, words, percent)))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, docs, rep, words, percent, clash)))
     of_class = rep.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of_class.groupBy("root").agg(F.min("key").alias("component_id"))
     of_class = of_class.join(smallest, "root").select("node", "component_id")
