@@ -17,14 +17,19 @@ run of windows with one anchor is a segment.
    they cover go.
 
 An anchor with very many distinct segments is dealt by window instead, so no
-shard grows with one passage.  Memory follows the shard, which has a bounded
-number of segments.
+shard grows with one passage; there equal windows meet by an aggregate and the
+index confirms them.  An anchor that a task meets often is known to be shared,
+and its segments skip the window that finds that out, so that doesn't grow with
+one passage either.  Memory follows the shard, which has a bounded number of
+segments: for each word its bits in the wavelet tree and four bytes for the
+sequence it is in.
 
 Null and empty texts have no words and lose none.  A null key is not smaller
 than any other and loses nothing.  Repeated rows get equal results
 and don't remove each other's words; a key that comes with several texts is no
 document of its own: its rows remove nothing and lose nothing.  An empty table
-gives an empty result.  Only the key and the text are read.
+gives an empty result.  Only the key, which must be an integer, and the text
+are read.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .kernels import Words, blocks, column_texts, mix, powers
 from .store import BROADCAST_KEYS, having, stored
@@ -47,6 +53,10 @@ LONGEST = 128
 SHARD = 20_000
 #: Distinct segments of one anchor from which its windows are dealt one by one.
 HOT = 20_000
+#: An anchor that so many classes have within a block of texts is known to be shared from then on; a task remembers so many.
+OFTEN, REMEMBERED = 3, 1_000_000
+#: Windows that are searched at once.
+WINDOWS_AT_ONCE = 1 << 16
 
 
 class BitRank:
@@ -97,7 +107,7 @@ class FMIndex:
         inside = np.ones(n, bool)
         inside[ends] = False
         text[inside] = words
-        self.owner = np.repeat(np.arange(k), sizes + 1)
+        owner = np.repeat(np.arange(k, dtype=np.int32), sizes + 1)
         # suffixes sorted by doubling; ends of sequences differ, so the longest sequence bounds the rounds
         order_key = text + k
         order_key[ends] = np.arange(k)
@@ -113,7 +123,7 @@ class FMIndex:
             follow[:-step] = rank[step:] + 1
             order_key = rank * (n + 1) + follow
             step *= 2
-        self.suffixes = order
+        self.owner = owner[order]
         self.symbols = int(words.max(initial=0)) + 1
         self.starts = np.zeros(self.symbols + 1, np.int64)
         self.starts[1:] = np.cumsum(np.bincount(text, minlength=self.symbols))
@@ -126,7 +136,7 @@ class FMIndex:
         q, width = patterns.shape
         length, low, high = np.zeros(q, np.int64), np.zeros(q, np.int64), np.zeros(q, np.int64)
         live = np.arange(q)
-        lo, hi = np.zeros(q, np.int64), np.full(q, len(self.suffixes), np.int64)
+        lo, hi = np.zeros(q, np.int64), np.full(q, len(self.owner), np.int64)
         for k in range(width):
             c = patterns[live, width - 1 - k]
             if k == 0:
@@ -150,7 +160,8 @@ def repeated(words: np.ndarray, sizes: np.ndarray, documents: np.ndarray, window
     count = sizes - window + 1
     owner = np.repeat(np.arange(len(sizes)), count)
     first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    length, low, high = index.matches(codes[first[:, None] + np.arange(window)])
+    parts = [index.matches(codes[first[i : i + WINDOWS_AT_ONCE, None] + np.arange(window)]) for i in range(0, len(first), WINDOWS_AT_ONCE)]
+    length, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
     out = documents[owner].copy()
     hit = np.flatnonzero(length == window)
     if len(hit):
@@ -158,7 +169,7 @@ def repeated(words: np.ndarray, sizes: np.ndarray, documents: np.ndarray, window
         edges, which = np.unique(low[hit], return_inverse=True)
         ends = np.zeros(len(edges), np.int64)
         ends[which] = high[hit]
-        at = np.append(documents[index.owner[index.suffixes]], np.iinfo(np.int64).max)
+        at = np.append(documents[index.owner], np.iinfo(np.int64).max)
         least = np.minimum.reduceat(at, np.stack([edges, ends], axis=1).ravel())[::2]
         out[hit] = np.minimum(out[hit], least[which])
     return out
@@ -212,10 +223,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, class, place): all segments, of each class once a task; place holds the first word and the number of windows."""
+    """(anchor, class, place, sure): all segments, of each class once a task; place holds the first word and the number of windows.
+
+    sure: this task has met other classes with the anchor, and given two of them without the mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        often = np.zeros(0, np.uint64)
         for batch in batches:
             for _, _, texts in blocks(column_texts(batch.column(1))):
                 w = texts.words()
@@ -229,9 +243,30 @@ def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 keep = fresh[owner]
                 h, first, count, owner = h[keep], first[keep], count[keep], owner[keep]
                 base = np.cumsum(w.counts) - w.counts
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code[owner]), pa.array(((first - base[owner]) << 8) | count)], ["anchor", "class", "place"])
-
-    return docs.filter("key is not null").mapInArrow(run, "anchor long, class long, place long")
+                sure = np.isin(h, often)
+                new = frequent_anchors(h[~sure], owner[~sure])
+                if len(new):
+                    spare = np.flatnonzero(np.isin(h, new))
+                    spare = spare[np.lexsort((owner[spare], h[spare]))]
+                    same = np.append(False, h[spare[1:]] == h[spare[:-1]])
+                    # the first class stays unmarked, and the second, whose rows are those of another owner first
+                    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(spare))))
+                    other = owner[spare] != owner[spare[start]]
+                    second = other & ~np.append(False, other[:-1] & same[1:])
+                    sure[spare[~second & (np.arange(len(spare)) != start)]] = True
+                    often = np.union1d(often, new) if len(often) < REMEMBERED else often
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code[owner]), pa.array(((first - base[owner]) << 8) | count), pa.array(sure)], ["anchor", "class", "place", "sure"])
+
+    return docs.filter("key is not null").mapInArrow(run, "anchor long, class long, place long, sure boolean")
+
+
+def frequent_anchors(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Anchors that at least OFTEN texts of a block have."""
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+    value, n = np.unique(h[fresh], return_counts=True)
+    return value[n >= OFTEN]
 
 
 _CUT = "anchor long, segment long, low long, first int, words array<long>"
@@ -339,6 +374,8 @@ def strip(docs: DataFrame, cls: DataFrame, low: DataFrame, removals: DataFrame,
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(key, n_words, n_removed, kept) of every row: kept is the words that no smaller document has in a shared window, joined by a space."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"the key {key} must be an integer")
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     cls = stored(classes(docs), "classes")
     several = stored(cls.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("key is not null and a != b").select("key"), "several")
@@ -348,8 +385,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return stripped_texts(alone, window).withColumnRenamed("key", key).unionByName(remove_repeats(rest, "key", "text", window, anchor).withColumnRenamed("key", key))
     low = cls.filter(F.col("key").isNotNull() & (F.col("n_words") >= window)).groupBy("class").agg(F.min("key").alias("low"))
     low = stored(low, "lowest")
-    by_anchor = Window.partitionBy("anchor")
-    found = segments(docs, window, anchor).withColumn("shared", F.min("class").over(by_anchor) != F.max("class").over(by_anchor)).filter("shared").select("anchor", "class", "place")
+    found = segments(docs, window, anchor).withColumn("salt", F.when(F.col("sure"), 1 + F.pmod(F.xxhash64("class"), F.lit(1023))).otherwise(0).cast("int"))
+    by_anchor = Window.partitionBy("anchor", "salt")
+    found = found.withColumn("shared", F.col("sure") | (F.min("class").over(by_anchor) != F.max("class").over(by_anchor))).filter("shared").select("anchor", "class", "place")
     # a set, as a class that several tasks met comes several times
     spans = found.groupBy("class").agg(F.collect_set(F.struct("anchor", "place")).alias("spans"))
     spans = stored(spans.join(low, "class").select(F.col("low").alias("key"), "spans"), "spans")
