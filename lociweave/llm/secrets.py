@@ -12,8 +12,9 @@ a label, the caller's own or, by default, those that ``example_findings`` makes
 by rule from the formats of credentials and of what is taken for them.
 
 Null and empty texts have no candidates.  Repeated rows give repeated findings.
-Rows are told apart by key and text, so keys may repeat or be null.  An empty
-table gives an empty result.  ``redact`` passes on all columns of its input.
+Rows with equal texts have equal findings, so keys may repeat or be null.  An
+empty table gives an empty result.  ``redact`` passes on all columns of its
+input, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,11 +165,12 @@ def candidate_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[:, 0], found[:, 1], found[:, 2]
 
 
-_FOUND = "row long, key {key}, start long, n_chars long, secret_sha256 string, features array<double>"
+_FOUND = "row struct<a: bigint, b: bigint>, key {key}, start long, n_chars long, secret_sha256 string, features array<double>"
 
 
-def row_id(key: str, text: str):
-    return F.xxhash64(F.col(key), F.col(text))
+def row_id(text: str):
+    """128 bits of a text; rows with equal texts are alike here."""
+    return F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,7 +194,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *typed], ["row", "key", "start", "n_chars", "secret_sha256", "features"])
 
     schema = _FOUND.format(key=docs.schema[key].dataType.simpleString())
-    return docs.select(row_id(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(row_id(text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def example_findings(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, int]]:
@@ -278,26 +280,28 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", findings=No
     spans = scan(docs, key, text, findings).filter("is_secret = 1").select("row", "start", "n_chars").distinct()
     spans = stored(spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "n_chars"))).alias("_spans")), "secrets")
     names = docs.columns
-    numbered = docs.withColumn("row", row_id(key, text))
+    # the document's own columns are in a struct, so that their names can't clash
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), row_id(text).alias("row"))
+    own = [F.col("doc")[c].alias(c) for c in names]
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, cuts in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            columns = batch.column(0).flatten()
+            for value, cuts in zip(columns[place].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts, at = [], 0
                 for c in cuts:  # in order of start; they may overlap
                     if c["start"] >= at:
                         parts += [value[at : c["start"]], MARK]
                     at = max(at, c["start"] + c["n_chars"])
                 out.append("".join(parts) + value[at:])
-            columns = batch.columns[: len(names)]
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
     plain = docs.select(*[F.col(f"`{c}`") for c in names])
-    touched = having(numbered, spans.select("row"), "row").join(spans, "row").select(*[f"`{c}`" for c in names], "_spans").mapInArrow(run, plain.schema)
+    touched = having(numbered, spans.select("row"), "row").join(spans, "row").select("doc", "_spans").mapInArrow(run, plain.schema)
     send = F.broadcast if spans.count() <= BROADCAST_KEYS else lambda df: df
-    rest = numbered.join(send(spans.select("row")), "row", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    rest = numbered.join(send(spans.select("row")), "row", "left_anti").select(*own)
     done = rest.unionByName(touched)
     return done.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else done
