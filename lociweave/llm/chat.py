@@ -13,8 +13,12 @@ is exact; ``read_back`` parses the formatted text again.
 
 A hot conversation isn't gathered anywhere: messages are the unit of folding,
 one sorted partition is streamed row by row for what needs all turns in order.
+``turn_events`` makes such a log from a table of finished turns, by rule.
+
 Null texts and roles count as empty, unknown kinds as ``message``; events that
-tie on seq go by kind and text; repeated rows are repeated events.
+tie on seq go by kind and text; repeated rows are repeated events.  conv, seq
+and message may have any type that has an order.  Columns other than the six
+are not passed on; an empty log gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,9 +72,6 @@ def final_messages(events: DataFrame) -> DataFrame:
     return folded.select("conv", "position", "message", F.coalesce(F.element_at(F.when(F.size(roles) > 0, roles), -1)["role"], F.lit("")).alias("role"), F.concat_ws("", F.transform(keep, lambda x: x["text"])).alias("text"))
 
 
-RENDERED = "conv long, position long, message string, formatted string, loss_from int, loss_to int"
-
-
 def render(messages: DataFrame) -> DataFrame:
     """One formatted message a row with the span under the loss mask (empty unless the assistant's)."""
 
@@ -83,25 +84,31 @@ def render(messages: DataFrame) -> DataFrame:
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.string(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], ["conv", "position", "message", "formatted", "loss_from", "loss_to"])
 
-    columns = (F.col("conv").cast("long").alias("conv"), F.col("position").cast("long").alias("position"), F.col("message").cast("string").alias("message"), "role", "text")
-    return messages.select(*columns).mapInArrow(run, RENDERED)
+    m = messages.select("conv", "position", F.col("message").cast("string").alias("message"), "role", "text")
+    types = ", ".join(f"{c} {m.schema[c].dataType.simpleString()}" for c in ("conv", "position", "message"))
+    return m.mapInArrow(run, f"{types}, formatted string, loss_from int, loss_to int")
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
     """Digests of each conversation, parsed from its formatted messages in order, in constant memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in DIGEST.split(", ")]
-        conv, state, out = None, None, []
+        conv, state, out, conv_type = None, None, [], None
 
         def flush():
             if state is not None:
                 out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
+        def digests() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], conv_type), *(pa.array(x, t) for x, t in zip(columns[1:], _DIGEST_TYPES, strict=True))], ["conv_id", *(x.split()[0] for x in DIGEST.split(", "))])
+
         for b in batches:
+            conv_type = b.schema.field(0).type
             for c, formatted, a, z in zip(*(b.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
                 if state is None or c != conv:
                     flush()
@@ -114,20 +121,38 @@ def read_back(rendered: DataFrame) -> DataFrame:
                 state[3].update(masked.encode())
                 state[4] += len(formatted)
             if len(out) >= 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], _DIGEST_SCHEMA)
-                out.clear()
+                yield digests()
         flush()
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], _DIGEST_SCHEMA)
+            yield digests()
 
-    return rendered.repartition("conv").sortWithinPartitions("conv", "position", "formatted").mapInArrow(run, DIGEST)
+    conv = rendered.schema["conv"].dataType.simpleString()
+    return rendered.repartition("conv").sortWithinPartitions("conv", "position", "formatted").mapInArrow(run, f"conv_id {conv}, {DIGEST}")
 
 
-_DIGEST_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_DIGEST_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as an event log: each row is a message of its own, also a repeated one.
-
-    Message ids only tell rows apart; no result depends on their values."""
-    return conversations.select(F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message"), F.lit("message").alias("kind"), "role", "text")
+    """The event log of a table of finished turns, as a chat service could have written it; folding it gives the turns back.
+
+    Each row, also a repeated one, is a message of its own.  By a hash of the row it is streamed in three
+    deltas, begun with other words and edited, broken off and regenerated in deltas, or written at once.
+    seq is (turn, step).  Message ids only tell rows apart; no result depends on their values."""
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", role.alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("message"))
+    third = F.ceil(F.length("text") / 3).cast("int")
+    rows = rows.select("*", *[F.substring("text", F.lit(k) * third + 1, third).alias(f"p{k}") for k in range(3)])
+
+    def log(*steps: tuple[str, str]):
+        return F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), F.col(part).alias("text")) for k, (kind, part) in enumerate(steps)])
+
+    way = F.pmod(F.xxhash64("conv", "turn", "role", "text"), F.lit(4))
+    events = (
+        F.when(way == 0, log(("message", "p0"), ("delta", "p1"), ("delta", "p2")))
+        .when(way == 1, log(("message", "p1"), ("delta", "p0"), ("edit", "text")))
+        .when(way == 2, log(("message", "p2"), ("delta", "p1"), ("regenerate", "p0"), ("delta", "p1"), ("delta", "p2")))
+        .otherwise(log(("message", "text")))
+    )
+    e = rows.select("conv", "turn", "message", "role", F.explode(events).alias("e"))
+    return e.select("conv", F.struct("turn", F.col("e")["step"].alias("step")).alias("seq"), "message", F.col("e")["kind"].alias("kind"), F.when(F.col("e")["step"] == 0, F.col("role")).alias("role"), F.col("e")["text"].alias("text"))
