@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
+    written = stored(media.encode_media(table(spark, sf_dir, "documents")), "media")
+    return media.media_features(written, arrays=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
