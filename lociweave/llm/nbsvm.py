@@ -130,7 +130,7 @@ def fit(sample: DataFrame) -> Model:
                 parts = np.split(bucket.astype("<u2"), np.searchsorted(row, np.arange(1, j - i)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([x.tobytes() for x in parts], pa.binary())], ["key", "label", "buckets"])
 
-    rows = sample.mapInArrow(run, "key long, label int, buckets binary").orderBy("key", "buckets").toPandas()
+    rows = sample.mapInArrow(run, f"key {sample.schema['key'].dataType.simpleString()}, label int, buckets binary").orderBy("key", "buckets").toPandas()
     y = rows["label"].to_numpy(int) if len(rows) else np.zeros(0, int)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(y[0]) if len(y) else 0.5)

@@ -65,7 +65,7 @@ def test_wav_round_trip_and_fingerprints():
         at, code, frames, peaks = media.peak_pairs(np.frombuffer(payload, np.uint8))
         assert frames == n // 288 - 1 and (np.diff(at) >= 0).all() and len(code) == len(at) and peaks > 0
     tone = (128 + 100 * np.sin(2 * np.pi * 40 * np.arange(5760) / 576)).astype(np.uint8)
-    t, f, _ = media.peaks(tone)
+    t, f, _, _ = media.peaks(tone)
     assert 40 in set(f.tolist())
 
 

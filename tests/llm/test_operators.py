@@ -285,6 +285,54 @@ def test_secrets_in_all_forms(spark):
     assert clean == ["api_key=[SECRET]", "export TOKEN=[SECRET]", "x\nSECRET=[SECRET]\ny", "go https://a.com/b?access_token=[SECRET]&c=1", "we saw [SECRET] in the log", "it is [SECRET].", 'é password = "[SECRET]" ok', "set pwd=[SECRET] now", *plain]
 
 
+def test_redaction_passes_on_clashing_columns(spark):
+    secret = hashlib.sha1(b"x").hexdigest()
+    df = spark.createDataFrame([(1, f'token = "{secret}" a'), (1, f'token = "{secret}" a'), (None, "plain"), (2, None)], "doc_id long, text string")
+    names = ("row", "_spans", "key", "start", "n_chars", "features", "score", "doc", "a.b")
+    for name in names:
+        df = df.withColumn(name, F.lit(7))
+    out = secrets.redact(df)
+    assert out.columns == df.columns and out.count() == 4
+    assert [r["text"] for r in out.filter("doc_id = 1").collect()] == ['token = "[SECRET]" a'] * 2
+    assert {r[name] for r in out.collect() for name in names if name != "n_chars"} == {7}
+    long = "x " * 300_000 + f'token = "{secret}"'
+    assert secrets.redact(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["text"].endswith('token = "[SECRET]"')
+
+
+def test_keys_of_any_type(spark, rows):
+    plain = spark.createDataFrame([(f"k{k:03d}", t, float(k)) for k, t, *_ in rows], "name string, text string, number double")
+    got = {r["name"]: r["component_id"] for r in jaccard.similar_documents(plain, key="name").collect()}
+    want = plain_components({k: shingles(t, 4) for k, t, *_ in rows}, 85)
+    assert got == {f"k{k:03d}": f"k{c:03d}" for k, c in want.items()}
+    labels = spark.createDataFrame([(f"k{k:03d}", k % 2) for k in range(40)], "name string, quality int")
+    assert nbsvm.classify(plain, labels, key="name").count() == len(rows)
+    turns = spark.createDataFrame([("a", 1, "user", "x"), ("a", 2, "assistant", "y")], "conv_id string, turn int, role string, text string")
+    assert chat.read_back(chat.render(chat.final_messages(chat.turn_events(turns)))).first()["conv_id"] == "a"
+    with pytest.raises(TypeError):
+        substrings.remove_repeats(plain, key="name")
+
+
+def test_classes_that_share_64_bits_are_split(spark, docs, rows, monkeypatch):
+    real = jaccard.digests
+    monkeypatch.setattr(jaccard, "digests", lambda sets: real(sets) & [7, -1])
+    profile = jaccard.stored(jaccard.profiles(docs, "doc_id", "text", 4, 85), "profiles")
+    clash = profile.groupBy("node").agg(F.min("more").alias("a"), F.max("more").alias("b")).filter("a != b").select("node")
+    assert clash.count() == 8
+    split = jaccard.split_classes(profile, clash).groupBy("node").agg(F.countDistinct("more").alias("n"))
+    assert split.agg(F.max("n")).first()[0] == 1 and split.count() == len({frozenset(shingles(t, 4)) for _, t, *_ in rows})
+
+
+def test_events_of_turns_fold_back(spark):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}é{t}" * (t % 5)) for c in range(30) for t in range(9)]
+    turns += [(40, 0, "user", "ab " * 200_000), (41, None, None, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("message", F.lit("z"))
+    events = chat.turn_events(df)
+    assert {"message", "delta", "edit", "regenerate"} == {r["kind"] for r in events.select("kind").distinct().collect()}
+    final = chat.final_messages(events.repartition(7))
+    got = sorted((r["conv"], r["position"]["turn"] or 0, r["role"], r["text"]) for r in final.collect())
+    assert got == sorted((c, t or 0, r or "", x or "") for c, t, r, x in turns)
+
+
 def test_overlapping_secrets_are_masked_once(spark, monkeypatch):
     text = "secret: !a1b2c3d4e5f6g7h8i9! end"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

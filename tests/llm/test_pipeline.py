@@ -55,6 +55,16 @@ def test_near_duplicates_keep_rows_without_key(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in out) == ["1", "None"]
 
 
+def test_near_duplicates_keep_unlike_texts_of_one_key(spark, tmp_path):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "t", 1), (2, b, "en", "s", 1), (3, "c", None, "x", 1), (3, "c", "x", None, 1), (4, None, None, None, None), (4, None, None, None, None)]
+    for n in (1, 3):
+        out = pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(n), str(tmp_path)).collect()
+        assert sorted((r["doc_id"], r["text"] or "") for r in out) == sorted([(1, a), (1, b), (3, "c"), (4, "")])
+        first = first if n > 1 else out
+        assert sorted(map(str, out)) == sorted(map(str, first))
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
