@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.llm import jaccard, mixing, packing, rules, secrets
-from lociweave.llm.store import BROADCAST_KEYS, small_batches, stored
+from lociweave.llm.store import BROADCAST_KEYS, IDENTITY, identity, small_batches, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,38 +22,56 @@ def _own_columns(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio.
+
+    Null and empty texts fail and go; rows without doc_id are judged like others, but are never part of the
+    target; repeated rows are judged alike and stay as often as they occur; equal scores get equal verdicts.
+    An empty table gives an empty one.  Columns other than those of documents are not passed on."""
     target = rules.trusted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _own_columns(rules.apply_rules(_own_columns(docs), target).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that shares five-word shingles to 0.8 or more.
+    """One document of each group that shares five-word shingles to 0.8 or more: that with the smallest doc_id.
 
-    Rows without doc_id stay; of rows that repeat a doc_id one stays."""
+    Of rows that share a doc_id, also when their texts are unlike, each is a document of its own, told apart
+    and ordered by all its columns; of rows equal in all columns one stays.  Rows without doc_id stay, as do
+    all null and empty texts but repeated rows.  An empty table gives an empty one."""
     docs = _own_columns(docs)
-    groups = jaccard.similar_documents(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = stored(groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("doc_id is not null and (first != doc_id or n > 1)"), "gone")
+    rows = docs.select("*", *identity(docs))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *IDENTITY))
+    groups = jaccard.similar_documents(rows.select(row.alias("row"), "text"), key="row", words=5, percent=80)
+    groups = groups.filter("row is not null").groupBy("row").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = stored(groups.filter("row != first or n > 1").select(F.col("row")[IDENTITY[0]].alias(IDENTITY[0]), F.col("row")[IDENTITY[1]].alias(IDENTITY[1]), (F.col("row") == F.col("first")).alias("stays")), "gone")
     send = F.broadcast if gone.count() <= BROADCAST_KEYS else lambda df: df
-    kept = docs.join(send(gone.select("doc_id")), "doc_id", "left_anti")
-    again = gone.filter("first = doc_id").select("doc_id")
-    if again.limit(1).count():
-        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    kept = rows.join(send(gone.select(*IDENTITY)), list(IDENTITY), "left_anti").select(*COLUMNS)
+    repeated = gone.filter("stays").select(*IDENTITY)
+    if repeated.limit(1).count():
+        kept = kept.unionByName(rows.join(repeated, list(IDENTITY), "left_semi").dropDuplicates(list(IDENTITY)).select(*COLUMNS))
     return _own_columns(kept)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts."""
+    """All documents, with secrets masked in their texts; n_chars follows the text.
+
+    Null and empty texts stay as they are; rows with equal texts, also without doc_id, are masked alike and
+    stay as often as they occur.  An empty table gives an empty one."""
     return _own_columns(secrets.redact(_own_columns(docs)))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their source takes them."""
+    """Documents as often as the mix of their source takes them.
+
+    Null texts have size 0 and are taken like others; the null source is a source of its own; ties in size go
+    by doc_id (null first); rows equal in all columns are interchangeable.  An empty table gives an empty one."""
     return mixing.take(_own_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences.
+
+    Null and empty texts are one piece with the end token; rows without doc_id and repeated rows are packed as
+    often as they occur; pieces of equal length are interchangeable.  An empty table gives an empty result."""
     return packing.pack_documents(_own_columns(docs).select("doc_id", "text"))
 
 
