@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.sequence import ratio
+from ..storing import stored
 from . import intervals
 
 
@@ -62,52 +64,66 @@ def ranked_candidates(assignments: DataFrame) -> DataFrame:
 
 
 class Covered:
-    """A growing set of disjoint sorted intervals."""
+    """A growing set of disjoint sorted intervals, with the bases covered before each."""
 
     def __init__(self) -> None:
-        self.spans: list[tuple[int, int]] = []
+        self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.before = np.zeros(1, np.int64)
 
-    def with_added(self, more: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for start, end in sorted([*self.spans, *more]):
-            if out and start <= out[-1][1]:
-                out[-1] = (out[-1][0], max(end, out[-1][1]))
-            else:
-                out.append((start, end))
-        return out
+    def below(self, at: np.ndarray) -> np.ndarray:
+        """Covered bases below each position, by bisection."""
+        k = np.searchsorted(self.starts, at)
+        inside = np.where(k > 0, np.maximum(0, self.ends[k - 1] - at), 0) if len(self.ends) else 0
+        return self.before[k] - inside
+
+    def novel(self, starts: np.ndarray, ends: np.ndarray) -> int:
+        """Bases of disjoint intervals that aren't covered."""
+        return int((ends - starts - self.below(ends) + self.below(starts)).sum())
+
+    def add(self, starts: np.ndarray, ends: np.ndarray) -> None:
+        starts, ends = np.concatenate([self.starts, starts]), np.concatenate([self.ends, ends])
+        order = np.argsort(starts, kind="stable")
+        starts, reach = starts[order], np.maximum.accumulate(ends[order])
+        first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1])) if len(starts) else np.zeros(0, np.int64)
+        self.starts, self.ends = starts[first], np.maximum.reduceat(reach, first) if len(first) else reach
+        self.before = np.append(0, np.cumsum(self.ends - self.starts))
 
 
 def claim(candidates: DataFrame, o: SortOptions) -> DataFrame:
     """(query, novel_ref_bp, novel_ref_frac, accepted): who adds enough to what stronger contigs of the reference cover.
 
     Each verdict depends on the accepted ones before it, so a reference is one ordered stream: rows are sorted
-    within partitions and pass one by one; only the covered intervals are held, never the reference's contigs."""
+    within partitions and pass one by one; only the covered intervals are held, never the reference's contigs.
+    A candidate of k intervals takes k bisections, and an accepted one a merge with those held."""
     least_bp, least_frac = o.min_novel_ref_bp, o.min_novel_ref_frac
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref, covered, have = None, Covered(), 0
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.ref != ref:
-                    ref, covered, have = r.ref, Covered(), 0
-                wider = covered.with_added([(i["start"], i["end"]) for i in r.ref_intervals])
-                total = sum(e - s for s, e in wider)
-                novel = total - have
-                frac = novel / r.merged_ref_bp if r.merged_ref_bp else 0.0
-                accepted = novel > 0 and (novel >= least_bp or frac >= least_frac)
-                if accepted:
-                    covered.spans, have = wider, total
-                out.append((r.query, novel, frac, accepted))
-            yield pd.DataFrame(out, columns=["query", "novel_ref_bp", "novel_ref_frac", "accepted"])
-
-    return candidates.repartition("ref").sortWithinPartitions("ref", "rank").mapInPandas(run, schemas.NOVELTY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, covered = None, Covered()
+        for batch in batches:
+            refs, total, spans = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
+            sizes = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            edges = np.append(0, np.cumsum(sizes)).tolist()
+            flat = spans.flatten()
+            starts, ends = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            novel, accepted = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for k, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if refs[k] != ref:
+                    ref, covered = refs[k], Covered()
+                novel[k] = covered.novel(starts[a:z], ends[a:z])
+                accepted[k] = novel[k] > 0 and (novel[k] >= least_bp or (total[k] and novel[k] / total[k] >= least_frac))
+                if accepted[k]:
+                    covered.add(starts[a:z], ends[a:z])
+            share = np.divide(novel, total, out=np.zeros(len(novel)), where=total != 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(novel), pa.array(share), pa.array(accepted)], ["query", "novel_ref_bp", "novel_ref_frac", "accepted"])
+
+    rows = candidates.repartition("ref").sortWithinPartitions("ref", "rank").select("query", "ref", "merged_ref_bp", "ref_intervals")
+    return rows.mapInArrow(run, schemas.NOVELTY)
 
 
 def best_overlap(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
     """(query, overlap_best_contig, overlap_best_bp): the accepted contig before it that a candidate overlaps most; the stronger wins ties."""
     spans = candidates.select("query", "ref", "rank", F.explode("ref_intervals").alias("i")).select("query", "ref", "rank", "i.start", "i.end")
-    met = intervals.overlaps(spans, spans.join(accepted.select("query"), "query", "left_semi"), ["ref"]).filter("r_rank < rank")
+    met = intervals.overlaps(spans, spans.join(accepted.select("query"), "query", "left_semi"), ["ref"], intervals.bin_width(spans), "r_rank < rank")
     sums = met.groupBy("query", "r_query", "r_rank").agg(F.sum(F.col("o_end") - F.col("o_start")).alias("bp"))
     top = sums.groupBy("query").agg(F.max(F.struct("bp", (-F.col("r_rank")).alias("m"), "r_query")).alias("t"))
     return top.select("query", F.col("t")["r_query"].alias("overlap_best_contig"), F.col("t")["bp"].alias("overlap_best_bp"))
@@ -118,8 +134,9 @@ def resolve_overlaps(assignments: DataFrame, o: SortOptions) -> DataFrame:
     kept = F.col("status") == "kept"
     if o.no_overlap_filter:
         return assignments.select("*", F.when(kept, F.col("best")["merged_ref_bp"]).alias("novel_ref_bp"), F.when(kept, F.lit(1.0)).alias("novel_ref_frac"), F.lit(".").alias("overlap_best_contig"), F.lit(None).cast("bigint").alias("overlap_best_bp"))
-    candidates = ranked_candidates(assignments)
-    verdict = claim(candidates, o)
+    assignments = stored(assignments, "assignments")
+    candidates = stored(ranked_candidates(assignments), "candidates")
+    verdict = stored(claim(candidates, o), "verdicts")
     overlap = best_overlap(candidates, verdict.filter("accepted"))
     a = assignments.join(verdict, "query", "left").join(overlap, "query", "left")
     status = F.when(F.col("accepted") == F.lit(False), "duplicate_overlap").otherwise(F.col("status"))
@@ -135,13 +152,14 @@ def place(assignments: DataFrame, refs: DataFrame, o: SortOptions) -> DataFrame:
     a = assignments.withColumn("kept", F.col("status") == "kept").withColumn("_ref", F.when(F.col("kept"), b["ref"]))
     a = a.join(refs.select(F.col("name").alias("_ref"), F.col("ord").alias("ref_ord")), "_ref", "left")
     order = [b["ref_start"].asc(), b["ref_end"].asc(), F.asc("query")]
-    a = a.withColumn("order_in_ref", F.when(F.col("kept"), F.row_number().over(Window.partitionBy("kept", "_ref").orderBy(*order))))
+    a = a.withColumn("_salt", F.when(~F.col("kept"), F.xxhash64("query")))  # rejected contigs are numbered in no group
+    a = a.withColumn("order_in_ref", F.when(F.col("kept"), F.row_number().over(Window.partitionBy("_salt", "_ref").orderBy(*order))))
     a = a.withColumn("_base", F.when(F.col("kept"), F.concat_ws(o.name_separator, "_ref", "query")))
-    n = F.row_number().over(Window.partitionBy("kept", "_base").orderBy(F.asc_nulls_last("ref_ord"), *order))
+    n = F.row_number().over(Window.partitionBy("_salt", "_base").orderBy(F.asc_nulls_last("ref_ord"), *order))
     name = F.when(n == 1, F.col("_base")).otherwise(F.concat_ws(o.name_separator, "_base", n.cast("string")))
     a = a.withColumn("new_name", F.when(F.col("kept"), name).otherwise("."))
     turned = F.col("kept") & F.lit(o.orient_to_reference) & (b["orientation"] == "-")
-    return a.withColumn("reverse_complemented", F.coalesce(turned, F.lit(False))).drop("_ref", "_base")
+    return a.withColumn("reverse_complemented", F.coalesce(turned, F.lit(False))).drop("_ref", "_base", "_salt")
 
 
 def chromosome_summary(placed: DataFrame, refs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 100_000
+#: A bin's width in mean lengths, where it follows the data.
+WIDTHS = 4
 
 
 def union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -31,20 +33,28 @@ def binned(df: DataFrame, width: int) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+def bin_width(df: DataFrame) -> int:
+    """A width of bins that follows the data: WIDTHS times the mean length, so that intervals lie in little more than a bin each."""
+    mean = df.filter("end > start").agg(F.avg(F.col("end") - F.col("start"))).first()[0]
+    return max(1, int(WIDTHS * (mean or 0)))
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN, where: str | None = None) -> DataFrame:
     """Pairs of overlapping intervals of like keys: left's columns, right's with prefix r_, and their overlap (start, end).
 
-    Intervals meet in the bins they lie in; a pair counts in the first bin that both have."""
+    Intervals meet in the bins they lie in; a pair counts in the first bin that both have.  ``where`` is a
+    further condition on both sides' columns, which the join tests with the others."""
     a = binned(left.filter("end > start"), width)
     b = binned(right.filter("end > start"), width)
     b = b.select(*[F.col(c).alias(c if c in keys or c == "bin" else f"r_{c}") for c in b.columns])
-    met = a.join(b, [*keys, "bin"]).filter("start < r_end and r_start < end")
+    met = a.join(b, [*keys, "bin"]).filter("start < r_end and r_start < end" + (f" and {where}" if where else ""))
     met = met.filter(F.col("bin") == F.greatest(F.floor(F.col("start") / width), F.floor(F.col("r_start") / width)))
     return met.drop("bin").withColumn("o_start", F.greatest("start", "r_start")).withColumn("o_end", F.least("end", "r_end"))
 
 
-def intersect_bp(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """(keys, bp): how much two sets of disjoint intervals share."""
+def intersect_bp(left: DataFrame, right: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """(keys, bp): how much two sets of disjoint intervals share; without a width bins follow the left side's lengths."""
+    width = width or bin_width(left)
     return overlaps(left, right, keys, width).groupBy(*keys).agg(F.sum(F.col("o_end") - F.col("o_start")).alias("bp"))
 
 

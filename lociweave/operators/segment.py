@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,26 +50,43 @@ class Support:
         return sum(s[0] for s in self.by.values()) - self.by[self.dominant()][0]
 
 
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows, one after another and with their rounding errors carried along, as Python's sum does."""
+    total, lost = np.zeros(rows.shape[1]), np.zeros(rows.shape[1])
+    for x in rows:
+        new = total + x
+        lost += np.where(np.abs(total) >= np.abs(x), (total - new) + x, (x - new) + total)
+        total = new
+    return total + lost
+
+
 def best_cuts(blocks: list, penalty: float) -> list[tuple[int, int]]:
     """Runs [start, end) of blocks with the least discordant weight plus penalty for each cut.
 
-    Ties go to fewer cuts, then to the earliest start.  From each start the end moves on and support is
-    added to, so the work grows with the square of the number of blocks."""
+    Ties go to fewer cuts, then to the earliest start.  From each start the supports of all ends are prefix
+    sums by signature; a start that costs more than the best cuts known for the whole is passed over, so the
+    work grows with the square of the number of blocks only where cuts pay."""
     n = len(blocks)
-    best: list[tuple[float, float, int]] = [(0.0, 0, 0)] + [(float("inf"), float("inf"), 0)] * n
+    codes: dict[tuple[str, str], int] = {}
+    signature = np.array([codes.setdefault((b.ref, b.orientation), len(codes)) for b in blocks])
+    weight = np.zeros((len(codes), n))
+    weight[signature, np.arange(n)] = [b.identity_bp / 100.0 for b in blocks]
+    cost, cuts, came = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    cost[0] = 0.0
     for start in range(n):
-        cost, cuts, _ = best[start]
-        support = Support()
-        for end in range(start + 1, n + 1):
-            support.add(blocks[end - 1])
-            total = cost + support.discordant() + (penalty if start else 0.0)
-            count = cuts + (1 if start else 0)
-            if (total, count) < best[end][:2]:
-                best[end] = (total, count, start)
+        extra = penalty if start else 0.0
+        if start and cost[start] + extra > cost[n]:
+            continue
+        seen, first = np.unique(signature[start:], return_index=True)
+        support = np.cumsum(weight[seen[np.argsort(first)], start:], axis=1)
+        total = cost[start] + (_summed(support) - support.max(axis=0)) + extra
+        count = cuts[start] + (1 if start else 0)
+        better = start + 1 + np.flatnonzero((total < cost[start + 1 :]) | ((total == cost[start + 1 :]) & (count < cuts[start + 1 :])))
+        cost[better], cuts[better], came[better] = total[better - start - 1], count, start
     runs, end = [], n
     while end:
-        runs.append((best[end][2], end))
-        end = best[end][2]
+        runs.append((int(came[end]), end))
+        end = int(came[end])
     return runs[::-1]
 
 

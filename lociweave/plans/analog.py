@@ -15,10 +15,13 @@ from ..functions import sequence as fn
 from ..operators import assign, blocks, intervals, metrics, scaffold, segment
 from ..operators.assign import SortOptions
 from ..operators.segment import FixOptions
+from ..storing import stored
 
 OPTIONS = SortOptions(min_aligned_bp=3500, min_query_cov=0.45, min_best_ref_share=0.5, min_novel_ref_bp=300, min_novel_ref_frac=0.1, orient_to_reference=True)
 FIX = FixOptions(min_segment_bp=40, max_merge_gap=200, min_piece_bp=30, auto=True, auto_breakpoint_penalty_bp=60.0, auto_min_piece_aligned_bp=40, auto_min_piece_query_frac=0.0)
 CONTIG_LENGTH, REF_LENGTH = 9050, 20100
+#: Where the places of contigs without segments start.
+UNALIGNED = 1_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments from lineitem.  ord is made of the key columns, which tell rows apart; equal rows tie and are alike."""
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey % 17 <> 3")
+    """Segments from all of lineitem.  ord is made of the key columns, which tell rows apart; equal rows tie and are alike."""
+    li = table(spark, sf_dir, "lineitem")
     length = F.col("l_quantity").cast("bigint")
     ref = F.when(F.col("l_linenumber") <= 1 + F.col("l_suppkey") % 6, F.col("l_suppkey") % 6).otherwise(F.col("l_partkey") % 6)
     r0, q0 = 1 + (F.col("l_orderkey") * 7) % 20000, 1 + (F.col("l_partkey") * 11) % 9000
@@ -50,8 +53,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("name"), F.lit(CONTIG_LENGTH).cast("bigint").alias("length"))
+    """Contigs from supplier, and from nation others, which no segment names."""
+    length = F.lit(CONTIG_LENGTH).cast("bigint").alias("length")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("name"), length)
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + UNALIGNED).cast("bigint").alias("ord"), F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("name"), length)
+    return s.unionByName(n)
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same views in SQL.
 VIEWS = f"""segs0 as (
   select *, cast(l_quantity as bigint) len, 1 + (l_orderkey * 7) % 20000 r0, 1 + (l_partkey * 11) % 9000 q0
-  from lineitem where l_suppkey % 17 <> 3),
+  from lineitem),
 segs as (
   select (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey as ord,
     'r' || cast(case when l_linenumber <= 1 + l_suppkey % 6 then l_suppkey % 6 else l_partkey % 6 end as varchar) as ref,
@@ -73,7 +79,8 @@ segs as (
     len as len_ref, len as len_query, cast(100 - round(l_discount * 100) as double) as identity,
     case when l_returnflag = 'R' and len > 1 then '-' else '+' end as orientation
   from segs0),
-contigs as (select s_suppkey as ord, 'c' || cast(s_suppkey as varchar) as name, {CONTIG_LENGTH} as length from supplier),
+contigs as (select s_suppkey as ord, 'c' || cast(s_suppkey as varchar) as name, {CONTIG_LENGTH} as length from supplier
+  union all select n_nationkey + {UNALIGNED}, 'u' || cast(n_nationkey as varchar), {CONTIG_LENGTH} from nation),
 refs as (select cast(substr(ref, 2) as bigint) as ord, ref as name, {REF_LENGTH} as length from (select distinct ref from segs union select 'r9'))"""
 
 UNION = """pts as (select query, ref, ref_start as s, ref_end + 1 as e from segs),
@@ -174,9 +181,10 @@ def seg_filter_identity(spark, sf_dir):
     return at_least_identity(segments(spark, sf_dir), 95.0).select("ord", "query", "ref", "identity")
 
 
-@query(_sql(select="select count(*) as skipped from segs where query not in (select name from contigs where ord % 5 <> 0)"))
+@query(_sql(select="select count(*) as skipped from segs where query not in (select case when ord % 5 = 0 then name || '_renamed' else name end from contigs)"))
 def seg_unknown_query_count(spark, sf_dir):
-    return metrics.unknown_query_count(segments(spark, sf_dir), contigs(spark, sf_dir).filter("ord % 5 <> 0"))
+    renamed = F.when(F.col("ord") % 5 == 0, F.concat("name", F.lit("_renamed"))).otherwise(F.col("name"))
+    return metrics.unknown_query_count(segments(spark, sf_dir), contigs(spark, sf_dir).withColumn("name", renamed))
 
 
 @query(_sql(UNION, select='select query, ref, s as "start", e as "end" from runion'))
@@ -191,11 +199,12 @@ def interval_union_bp(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
+    """All segments, as two sides: those of even and those of odd place."""
     s = segments(spark, sf_dir).select("ref", "ord", F.col("ref_start").alias("start"), (F.col("ref_end") + 1).alias("end"))
-    return intervals.union(s.filter("ord % 2 = 0"), ["ref"]), intervals.union(s.filter("ord % 2 = 1 and ord % 3 = 0"), ["ref"])
+    return intervals.union(s.filter("ord % 2 = 0"), ["ref"]), intervals.union(s.filter("ord % 2 = 1"), ["ref"])
 
 
-_HALVES = """hs as (select ref, ref_start as s, ref_end + 1 as e, case when ord % 2 = 0 then 'a' else 'b' end as side from segs where ord % 2 = 0 or (ord % 2 = 1 and ord % 3 = 0)),
+_HALVES = """hs as (select ref, ref_start as s, ref_end + 1 as e, case when ord % 2 = 0 then 'a' else 'b' end as side from segs),
 hm as (select *, max(e) over (partition by side, ref order by s, e rows between unbounded preceding and 1 preceding) as m from hs),
 hi as (select *, sum(case when m is null or s > m then 1 else 0 end) over (partition by side, ref order by s, e rows unbounded preceding) as g from hm),
 hu as (select side, ref, min(s) as s, max(e) as e from hi group by side, ref, g),
@@ -205,7 +214,7 @@ common as (select a.ref, sum(least(a.e, b.e) - greatest(a.s, b.s)) as bp from hu
 @query(_sql(_HALVES, select="select ref, cast(bp as bigint) as bp from common"))
 def interval_intersect_bp(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    return intervals.intersect_bp(a, b, ["ref"], width=500)
+    return intervals.intersect_bp(a, b, ["ref"])
 
 
 @query(_sql(_HALVES, select="select h.ref, cast(sum(e - s) - coalesce(max(c.bp), 0) as bigint) as bp from hu h left join common c on h.ref = c.ref where side = 'a' group by h.ref having sum(e - s) - coalesce(max(c.bp), 0) > 0"))
@@ -277,7 +286,7 @@ def greedy_overlap_filter(spark, sf_dir):
 @query(_sql(UNION, METRICS, CHOICE, _RANKED, select="select query, other as overlap_best_contig, cast(bp as bigint) as overlap_best_bp from (select *, row_number() over (partition by query order by bp desc, rank) as n from pairs) where n = 1"))
 def best_overlap_contig(spark, sf_dir):
     """Among all stronger candidates, accepted or not."""
-    c = assign.ranked_candidates(_chosen(spark, sf_dir))
+    c = stored(assign.ranked_candidates(_chosen(spark, sf_dir)), "candidates")
     return assign.best_overlap(c, c.select("query"))
 
 
@@ -367,20 +376,79 @@ def group_support(spark, sf_dir):
     return segment.group_support(_blocks(spark, sf_dir))
 
 
-@query()
+# Sums of doubles are made in the library's order, as ties between places of a cut depend on their rounding.
+_SEGMENTATION = f"""wb as materialized (select contig, block_no as i, ref, orientation, identity_bp / 100::double as w, aligned_bp, query_start, query_end, segment_count, count(*) over (partition by contig) as n from blk),
+sup as (
+  select a.contig, a.i as s, b.i as e, b.n, list_reduce(list(b.w) over g, lambda x, y: x + y) as one, first_value(b.i) over g as first, lead(b.i) over (partition by a.contig, a.i, b.ref, b.orientation order by b.i) as nxt
+  from wb a join wb b on a.contig = b.contig and b.i >= a.i window g as (partition by a.contig, a.i, b.ref, b.orientation order by b.i rows unbounded preceding)),
+cur as (select contig, s, unnest(range(e, coalesce(nxt, n))) as e, first, one from sup),
+sums as (select contig, s, e, max(one) as most, list_reduce(list({{'t': one, 'c': 0::double}} order by first), lambda a, x: {{'t': a.t + x.t, 'c': a.c + case when abs(a.t) >= abs(x.t) then (a.t - (a.t + x.t)) + x.t else (x.t - (a.t + x.t)) + a.t end}}) as r
+  from cur group by contig, s, e),
+dl as materialized (select contig, e, list((r.t + r.c) - most order by s) as d from sums group by contig, e),
+dp as (
+  select contig, 0 as n, [{{'c': 0::double, 'k': 0::bigint, 's': 0::bigint}}] as b from wb group by contig
+  union all
+  select dp.contig, dp.n + 1, list_append(b, list_sort(list_transform(range(0, dp.n + 1), lambda s: {{'c': b[s + 1].c + dl.d[s + 1] + case when s > 0 then {FIX.auto_breakpoint_penalty_bp}::double else 0::double end,
+    'k': b[s + 1].k + case when s > 0 then 1 else 0 end, 's': s}}))[1]) from dp join dl on dl.contig = dp.contig and dl.e = dp.n),
+last as (select contig, n, b from dp where (contig, n) in (select contig, max(n) from dp group by contig)),
+runs as (
+  select contig, b, b[n + 1].s as a, cast(n as bigint) as z from last
+  union all
+  select contig, b, b[a + 1].s, a from runs where a > 0),
+rb as (select r.contig, r.a, r.z, w.* exclude (contig), lead(ref || orientation) over (partition by r.contig, r.a order by i) as nxt from runs r join wb w on w.contig = r.contig and w.i >= r.a and w.i < r.z),
+sg as (select contig, a, ref, orientation, row_number() over (partition by contig, a order by list_reduce(list(w order by i), lambda x, y: x + y) desc, sum(aligned_bp) desc, min(i)) as n, cast(sum(aligned_bp) as bigint) as aligned_bp from rb group by contig, a, ref, orientation),
+auto as (
+  select contig, cast(row_number() over (partition by contig order by a) - 1 as integer) as part, sg.ref, sg.orientation, x.query_start, x.query_end, sg.aligned_bp, x.segment_count, x.blocks, x.changes, x.first_start, x.last_end
+  from (select contig, a, min(query_start) as query_start, max(query_end) as query_end, cast(sum(segment_count) as bigint) as segment_count, count(*) as blocks, count(*) filter (where nxt <> ref || orientation) as changes,
+    arg_min(query_start, i) as first_start, arg_max(query_end, i) as last_end from rb group by contig, a) x join sg using (contig, a) where sg.n = 1)"""
+_GROUP_COLUMNS = ["contig", "part", "ref", "orientation", "query_start", "query_end", "aligned_bp", "segment_count", "blocks", "changes"]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query(_recursive(_sql(BLOCK_SQL, _SEGMENTATION, select=f"select {', '.join(_GROUP_COLUMNS)} from auto")))
 def auto_segmentation(spark, sf_dir):
     groups = segment.segment_groups(_blocks(spark, sf_dir), FIX.auto_breakpoint_penalty_bp)
-    return groups.select("contig", "part", "ref", "orientation", "query_start", "query_end", "aligned_bp", "segment_count", "blocks", "changes")
+    return groups.select(*_GROUP_COLUMNS)
+
+
+def _explicit(spark, sf_dir):
+    """Contigs asked for by name: some with segments, one that doesn't exist, and all without segments."""
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("ord"), F.concat(F.lit("c"), (F.col("r_regionkey") * 2).cast("string")).alias("name"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("ord"), F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("name"))
+    return r.unionByName(n)
+
+
+_PLANS = f"""given as (select cast(r_regionkey as bigint) as ord, 'c' || cast(r_regionkey * 2 as varchar) as name from region union all select n_nationkey + 100, 'u' || cast(n_nationkey as varchar) from nation),
+signal as (select contig, count(*) as n_blocks, count(distinct ref || orientation) > 1 as has_signal from blk group by contig),
+req as (select name, 0 as part, ord, false as smooth from given
+  union all select c.name, 1, c.ord, true from contigs c join signal on signal.contig = c.name where has_signal and c.name not in (select name from given)),
+r as (select req.*, c.length, coalesce(n_blocks, 0) as n_blocks, coalesce(has_signal, false) as has_signal from req left join contigs c on c.name = req.name left join signal on signal.contig = req.name),
+grp as (
+  select contig, part, r.smooth, aligned_bp, query_start, query_end, changes, first_start, last_end from auto join (select name, smooth from r where smooth and length is not null and n_blocks > 1) r on r.name = contig
+  union all
+  select contig, block_no, r.smooth, aligned_bp, query_start, query_end, 0, query_start, query_end from blk join (select name, smooth from r where not smooth and length is not null and n_blocks > 1 and has_signal) r on r.name = contig),
+gc as (select *, greatest(0, (last_end + lead(first_start) over (partition by contig order by part)) // 2) as cut, lead(part) over (partition by contig order by part) as nxt from grp),
+gs as (select *, greatest(0, least(coalesce(lag(cut) over (partition by contig order by part), 0), {CONTIG_LENGTH})) as a, greatest(0, least(case when nxt is null then {CONTIG_LENGTH} else cut end, {CONTIG_LENGTH})) as z from gc),
+gsum as (select contig, count(*) as n_groups, cast(sum(changes) as bigint) as changes, count(*) filter (where z - a >= {FIX.min_piece_bp}) as n_pieces,
+  bool_or(smooth and (aligned_bp < {FIX.auto_min_piece_aligned_bp} or (query_end - query_start) / {CONTIG_LENGTH}.0 < {FIX.auto_min_piece_query_frac})) as weak from gs group by contig),
+plans as (select r.*, n_groups, changes, coalesce(n_pieces, 0) as n_pieces,
+  case when length is null then 'target_missing' when n_blocks = 0 then 'not_split_no_alignment' when n_blocks = 1 then 'not_split_single_block' when not has_signal then 'not_split_single_target'
+    when smooth and (n_groups < 2 or weak) then 'not_split_auto_smooth' when coalesce(n_pieces, 0) < 2 then 'not_split_short_piece' else 'split' end as status
+  from r left join gsum on gsum.contig = r.name)"""
+
+
+def _plans(spark, sf_dir):
+    c, b = contigs(spark, sf_dir), stored(_blocks(spark, sf_dir), "blocks")
+    requested = segment.requested_contigs(_explicit(spark, sf_dir), c, b, FIX)
+    return segment.plan_splits(requested, c.select(F.col("name").alias("contig"), "length"), b, FIX)
 
 
-@query()
+@query(_recursive(_sql(BLOCK_SQL, _SEGMENTATION, _PLANS, select="select name, part, ord, status, n_pieces, n_blocks, n_groups, changes from plans")))
 def auto_split_plans(spark, sf_dir):
-    c = contigs(spark, sf_dir)
-    b = _blocks(spark, sf_dir)
-    explicit = c.filter("ord % 10 = 0").select("ord", "name")
-    requested = segment.requested_contigs(explicit, c, b, FIX)
-    plans, _ = segment.plan_splits(requested, c.select(F.col("name").alias("contig"), "length"), b, FIX)
-    return plans.select("name", "part", "ord", "status", "n_pieces", "n_blocks", "n_groups", "changes")
+    return _plans(spark, sf_dir)[0].select("name", "part", "ord", "status", "n_pieces", "n_blocks", "n_groups", "changes")
 
 
 def _orders(spark, sf_dir):
@@ -409,24 +477,27 @@ def scaffold_anti_checks(spark, sf_dir):
     return scaffold.missing_names(li, wanted).select("name")
 
 
-def _english(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query(f"select doc_id, reverse(translate(regexp_replace(text, '[^ -~\\n]', '', 'g'), '{fn.IUPAC}', '{fn.COMPLEMENT}')) as seq from documents where lang = 'en'")
+@query(f"select doc_id, reverse(translate(regexp_replace(text, '[^ -~\\n]', '', 'g'), '{fn.IUPAC}', '{fn.COMPLEMENT}')) as seq from documents")
 def reverse_complement(spark, sf_dir):
     plain = F.regexp_replace("text", r"[^ -~\n]", "")
-    return _english(spark, sf_dir).select("doc_id", fn.reverse_complement(plain).alias("seq"))
+    return _texts(spark, sf_dir).select("doc_id", fn.reverse_complement(plain).alias("seq"))
 
 
-@query("select doc_id, substring(text, 11, 40) as part from documents where lang = 'en'")
+@query("select doc_id, substring(text, length(text) // 4 + 1, length(text) - length(text) // 2) as part from documents")
 def slices(spark, sf_dir):
-    return _english(spark, sf_dir).select("doc_id", fn.slice_of(F.col("text"), F.lit(10), F.lit(50)).alias("part"))
+    """Each text from its first quarter on, half as long as it is."""
+    n = F.length("text")
+    start = F.floor(n / 4)
+    return _texts(spark, sf_dir).select("doc_id", fn.slice_of(F.col("text"), start, start + n - F.floor(n / 2)).alias("part"))
 
 
-@query("select doc_id, regexp_replace(replace(text, chr(10), ' '), '(.{1,80})', '\\1' || chr(10), 'g') as wrapped from documents where lang = 'en'")
+@query("select doc_id, regexp_replace(replace(text, chr(10), ' '), '(.{1,80})', '\\1' || chr(10), 'g') as wrapped from documents")
 def wrap80(spark, sf_dir):
-    return _english(spark, sf_dir).select("doc_id", fn.wrapped(F.replace("text", F.lit("\n"), F.lit(" "))).alias("wrapped"))
+    return _texts(spark, sf_dir).select("doc_id", fn.wrapped(F.replace("text", F.lit("\n"), F.lit(" "))).alias("wrapped"))
 
 
 @query("select p_partkey, case when i < 26 then chr(cast(97 + i as integer)) when i < 702 then chr(cast(97 + (i - 26) // 26 as integer)) || chr(cast(97 + (i - 26) % 26 as integer)) else chr(cast(97 + (i - 702) // 676 as integer)) || chr(cast(97 + ((i - 702) // 26) % 26 as integer)) || chr(cast(97 + (i - 702) % 26 as integer)) end as label from (select p_partkey, p_partkey % 18000 as i from part)")
