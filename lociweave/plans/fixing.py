@@ -11,7 +11,7 @@ from ..functions.sequence import reverse_complement, slice_of
 from ..operators import blocks as block_ops
 from ..operators import segment
 from ..operators.segment import FixOptions
-from ..sinks import decimals, fasta_text, make_parents, write_file, write_table
+from ..sinks import decimals, fasta_text, make_parents, write_records, write_table
 from ..sources import readers
 
 # The columns of the report.
@@ -25,7 +25,17 @@ def piece_header(simple: bool):
         turned = "yes" if p["reverse_complemented"] else "no"
         return f">{p['new_name']} original={p['contig']} ref={p['ref']} slice={p['slice_start'] + 1}-{p['slice_end']} alignment={p['align_start'] + 1}-{p['align_end']} orientation={p['orientation']} reverse_complemented={turned} avg_identity={p['avg_identity']:.3f}"
 
-    return F.udf(header, "string", useArrow=False)
+    return F.udf(header, "string", useArrow=True)
+
+
+def report_line(o: FixOptions):
+    def line(r) -> list:
+        if r["status"] != "split":
+            return [r["name"], r["status"], *["."] * 12, segment.reason(r, o)]
+        turned = "yes" if r["reverse_complemented"] else "no"
+        return [r["name"], r["status"], r["new_name"], r["part_index"], r["ref"], r["slice_start"] + 1, r["slice_end"], r["slice_end"] - r["slice_start"], r["align_start"] + 1, r["align_end"], r["orientation"], turned, decimals(r["avg_identity"], 3), r["segment_count"], segment.reason(r, o)]
+
+    return line
 
 
 def run(spark: SparkSession, args) -> None:
@@ -51,15 +61,8 @@ def run(spark: SparkSession, args) -> None:
     seq = F.when(F.col("reverse_complemented"), reverse_complement(seq)).otherwise(seq)
     header = piece_header(args.simple_headers)(F.struct("new_name", "contig", "ref", "slice_start", "slice_end", "align_start", "align_end", "orientation", "reverse_complemented", "avg_identity"))
     cut = cut.select("ord", "part_index", fasta_text(header, seq).alias("text"))
-    write_file(copied.unionByName(cut), args.output_fasta, order=["ord", "part_index"])
-
-    def line(r) -> list:
-        if r["status"] != "split":
-            return [r["name"], r["status"], *["."] * 12, segment.reason(r, o)]
-        turned = "yes" if r["reverse_complemented"] else "no"
-        return [r["name"], r["status"], r["new_name"], r["part_index"], r["ref"], r["slice_start"] + 1, r["slice_end"], r["slice_end"] - r["slice_start"], r["align_start"] + 1, r["align_end"], r["orientation"], turned, decimals(r["avg_identity"], 3), r["segment_count"], segment.reason(r, o)]
-
-    write_table(plans.join(pieces, F.col("name") == F.col("contig"), "left"), args.report, COLUMNS, line, ["part", "ord", "part_index"])
+    write_records(copied.unionByName(cut), args.output_fasta, ["ord", "part_index"], args.parts)
+    write_table(plans.join(pieces, F.col("name") == F.col("contig"), "left"), args.report, COLUMNS, report_line(o), ["part", "ord", "part_index"], args.parts)
     status = {r["status"]: r["count"] for r in plans.groupBy("status").count().collect()}
     sys.stderr.write(f"Processed {sum(status.values())} requested contigs.\n")
     for s, n in sorted(status.items()):

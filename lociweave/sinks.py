@@ -1,15 +1,18 @@
 """Report and FASTA outputs.
 
-A DataFrame of finished records goes to a directory of parts (``write_parts``)
-or, as users of the command line expect, to one file, streamed partition by
-partition through the driver (``write_file``), never all at once.
+A DataFrame of finished records goes to a directory of parts on any file system
+that Spark writes (``parts=True``), straight from the executors, or, as users of
+the command line expect, to one file, streamed partition by partition through
+the driver, never all at once.  Reports are formatted on the executors, in
+Python, whose decimals round as in the formats that users know.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +37,39 @@ def fasta_text(header: Column, seq: Column) -> Column:
     return F.rtrim(F.concat(header, F.lit("\n"), wrapped(seq)), F.lit("\n"))
 
 
-def write_parts(records: DataFrame, path: str, column: str = "text", order: list[str] | None = None) -> None:
-    """Records in order as a directory of text parts."""
-    (records.orderBy(*order) if order else records).select(column).write.mode("overwrite").text(path)
-
-
-def write_file(records: DataFrame, path: str | Path, column: str = "text", order: list[str] | None = None) -> None:
+def write_records(records: DataFrame, path: str | Path, order: list[str], parts: bool = False) -> None:
+    """Texts (column text) in order: one file, or a directory of text parts whose names are in order too."""
+    ordered = records.orderBy(*order).select("text")
+    if parts:
+        ordered.write.mode("overwrite").text(str(path))
+        return
     with open(path, "w") as out:
-        for row in (records.orderBy(*order) if order else records).select(column).toLocalIterator():
+        for row in ordered.toLocalIterator():
             out.write(row[0] + "\n")
 
 
-def write_table(rows: DataFrame, path: str | Path, names: list[str], line: Callable, order: list[str]) -> None:
-    """A TSV with a header; line makes one row's fields."""
+def formatted(rows: DataFrame, names: list[str], line: Callable, order: list[str] = ()) -> DataFrame:
+    """rows as report fields, all of them strings; line makes one row's fields.  The columns in order go first, as _0, _1 and so on."""
+    keys = [f"_{k}" for k in range(len(order))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = [[str(x) for x in line(r)] for r in batch.drop_columns(keys).to_pylist()] if batch.num_rows else []
+            columns = [pa.array(c, pa.string()) for c in zip(*fields, strict=True)] if fields else [pa.array([], pa.string())] * len(names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], [*keys, *names])
+
+    keyed = rows.select(*[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], "*")
+    schema = ", ".join([f"{k} {keyed.schema[k].dataType.simpleString()}" for k in keys] + [f"`{n}` string" for n in names])
+    return keyed.mapInArrow(run, schema)
+
+
+def write_table(rows: DataFrame, path: str | Path, names: list[str], line: Callable, order: list[str], parts: bool = False) -> None:
+    """A TSV with a header (with parts: in each part)."""
+    report = formatted(rows, names, line, order).orderBy(*[f"_{k}" for k in range(len(order))]).select(*names)
+    if parts:
+        report.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(str(path))
+        return
     with open(path, "w") as out:
         out.write("\t".join(names) + "\n")
-        for row in rows.orderBy(*order).toLocalIterator():
-            out.write("\t".join(str(x) for x in line(row)) + "\n")
+        for row in report.toLocalIterator():
+            out.write("\t".join(row) + "\n")

@@ -61,7 +61,11 @@ def read_coords(spark: SparkSession, path: str, min_identity: float = 0.0) -> Da
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ord, name, header, seq): one row a record; gzip by extension; text before the first record is ignored."""
-    records = numbered_lines(spark, path, "\n>")
+    return parse_fasta(numbered_lines(spark, path, "\n>"))
+
+
+def parse_fasta(records: DataFrame) -> DataFrame:
+    """(ord, name, header, seq) of records (ord, value), a value being a record's text without its ``>``; the first (ord 0) still has it."""
     value = F.col("value")
     first = F.col("ord") == 0
     records = records.filter(~first | value.startswith(">")).select("ord", F.when(first, F.substring(value, 2, 1 << 30)).otherwise(value).alias("value"))
@@ -69,16 +73,24 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise(F.lit(""))
     lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     name = F.regexp_extract(head, r"^\s*(\S+)", 1)
-    rows = records.select("ord", F.when(name != "", name).otherwise(F.raise_error(F.lit("a FASTA record has no name"))).alias("name"), F.concat(F.lit(">"), head).alias("header"), F.array_join(lines, "").alias("seq"))
-    return rows
+    return records.select("ord", F.when(name != "", name).otherwise(F.raise_error(F.lit("a FASTA record has no name"))).alias("name"), F.concat(F.lit(">"), head).alias("header"), F.array_join(lines, "").alias("seq"))
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """(ord, name, length) of an index; a line of fewer than five fields or with a bad number raises."""
+    return parse_fai(numbered_lines(spark, path)).select("ord", "name", "length")
+
+
+def parse_fai(lines: DataFrame) -> DataFrame:
+    """(ord, name, length, offset, line_bases, line_width) of index lines (ord, value); blank lines are passed over."""
     fields = F.split("value", "\t")
-    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
-    good = F.when(F.size(fields) >= 5, F.get(fields, F.lit(1)).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("Malformed FASTA index line: "), F.col("value"))))
-    return lines.select("ord", F.get(fields, F.lit(0)).alias("name"), good.alias("length"))
+    numbers = [F.trim(F.get(fields, F.lit(k))) for k in range(1, 5)]
+    good = F.size(fields) >= 5
+    for n in numbers:
+        good = good & F.coalesce(n.rlike(_INT), F.lit(False))
+    malformed = F.raise_error(F.concat(F.lit("Malformed FASTA index line: "), F.col("value")))
+    names = ("length", "offset", "line_bases", "line_width")
+    return lines.filter(F.trim("value") != "").select("ord", F.get(fields, F.lit(0)).alias("name"), *[F.when(good, lenient_int(n)).otherwise(malformed).cast("bigint").alias(c) for n, c in zip(numbers, names, strict=True)])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -111,6 +123,11 @@ def requested_names(spark: SparkSession, names: list[str] | None = None, path: s
     given = spark.createDataFrame([(k, n) for k, n in enumerate(names or [])], "ord bigint, value string")
     if path:
         given = given.unionByName(numbered_lines(spark, path).select((F.col("ord") + len(names or [])).alias("ord"), "value"))
+    return distinct_names(given)
+
+
+def distinct_names(given: DataFrame) -> DataFrame:
+    """(ord, name) of lines (ord, value): blanks and comments dropped, each name at its first place."""
     clean = given.select("ord", F.regexp_replace("value", r"^\s+|\s+$", "").alias("name")).filter("name != '' and not startswith(name, '#')")
     first = Window.partitionBy("name").orderBy("ord")
     return clean.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
@@ -125,8 +142,7 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
     missing = sorted(set(REQUIRED) - set(table.columns))
     if missing:
         raise ValueError(f"Assignment report {path} is missing required columns: {', '.join(missing)}")
-    trimmed = [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in REQUIRED]
-    rows = table.select(*trimmed, F.monotonically_increasing_id().alias("ord")).filter(F.lower("kept").isin("yes", "true", "1") & ~F.col("new_name").isin("", "."))
+    rows = kept_assignments(table.withColumn("ord", F.monotonically_increasing_id()))
     twice = rows.groupBy("new_name").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).filter("n > 1").orderBy("ord").limit(1).collect()
     if twice:
         raise ValueError(f"Duplicate kept new_name {twice[0]['new_name']!r} in {path}")
@@ -137,6 +153,12 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ord", "contig", "new_name", F.col("assigned_ref").alias("ref"), *[lenient_int(F.col(c)).alias(c) for c in ("order_in_ref", "ref_start", "ref_end")])
 
 
+def kept_assignments(table: DataFrame) -> DataFrame:
+    """Rows of an assignment report (REQUIRED columns as text, and ord) that are marked as kept and have a new name."""
+    trimmed = [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in REQUIRED]
+    return table.select(*trimmed, "ord").filter(F.lower("kept").isin("yes", "true", "1") & ~F.col("new_name").isin("", "."))
+
+
 def unique_fasta(spark: SparkSession, path: str) -> DataFrame:
     """read_fasta, but a repeated name raises ValueError."""
     records = read_fasta(spark, path)
