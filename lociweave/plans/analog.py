@@ -377,7 +377,7 @@ def group_support(spark, sf_dir):
 
 
 # Sums of doubles are made in the library's order, as ties between places of a cut depend on their rounding.
-_SEGMENTATION = f"""wb as materialized (select contig, block_no as i, ref, orientation, identity_bp / 100::double as w, aligned_bp, query_start, query_end, segment_count, count(*) over (partition by contig) as n from blk),
+_SEGMENTATION = f"""wb as materialized (select contig, block_no as i, ref, orientation, identity_bp / 100::double as w, identity_bp, aligned_bp, query_start, query_end, segment_count, count(*) over (partition by contig) as n from blk),
 sup as (
   select a.contig, a.i as s, b.i as e, b.n, list_reduce(list(b.w) over g, lambda x, y: x + y) as one, first_value(b.i) over g as first, lead(b.i) over (partition by a.contig, a.i, b.ref, b.orientation order by b.i) as nxt
   from wb a join wb b on a.contig = b.contig and b.i >= a.i window g as (partition by a.contig, a.i, b.ref, b.orientation order by b.i rows unbounded preceding)),
@@ -396,9 +396,9 @@ runs as (
   union all
   select contig, b, b[a + 1].s, a from runs where a > 0),
 rb as (select r.contig, r.a, r.z, w.* exclude (contig), lead(ref || orientation) over (partition by r.contig, r.a order by i) as nxt from runs r join wb w on w.contig = r.contig and w.i >= r.a and w.i < r.z),
-sg as (select contig, a, ref, orientation, row_number() over (partition by contig, a order by list_reduce(list(w order by i), lambda x, y: x + y) desc, sum(aligned_bp) desc, min(i)) as n, cast(sum(aligned_bp) as bigint) as aligned_bp from rb group by contig, a, ref, orientation),
+sg as (select contig, a, ref, orientation, row_number() over (partition by contig, a order by list_reduce(list(w order by i), lambda x, y: x + y) desc, sum(aligned_bp) desc, min(i)) as n, cast(sum(aligned_bp) as bigint) as aligned_bp, sum(identity_bp) / sum(aligned_bp) as avg_identity from rb group by contig, a, ref, orientation),
 auto as (
-  select contig, cast(row_number() over (partition by contig order by a) - 1 as integer) as part, sg.ref, sg.orientation, x.query_start, x.query_end, sg.aligned_bp, x.segment_count, x.blocks, x.changes, x.first_start, x.last_end
+  select contig, cast(row_number() over (partition by contig order by a) - 1 as integer) as part, sg.ref, sg.orientation, sg.avg_identity, x.query_start, x.query_end, sg.aligned_bp, x.segment_count, x.blocks, x.changes, x.first_start, x.last_end
   from (select contig, a, min(query_start) as query_start, max(query_end) as query_end, cast(sum(segment_count) as bigint) as segment_count, count(*) as blocks, count(*) filter (where nxt <> ref || orientation) as changes,
     arg_min(query_start, i) as first_start, arg_max(query_end, i) as last_end from rb group by contig, a) x join sg using (contig, a) where sg.n = 1)"""
 _GROUP_COLUMNS = ["contig", "part", "ref", "orientation", "query_start", "query_end", "aligned_bp", "segment_count", "blocks", "changes"]
@@ -427,9 +427,9 @@ req as (select name, 0 as part, ord, false as smooth from given
   union all select c.name, 1, c.ord, true from contigs c join signal on signal.contig = c.name where has_signal and c.name not in (select name from given)),
 r as (select req.*, c.length, coalesce(n_blocks, 0) as n_blocks, coalesce(has_signal, false) as has_signal from req left join contigs c on c.name = req.name left join signal on signal.contig = req.name),
 grp as (
-  select contig, part, r.smooth, aligned_bp, query_start, query_end, changes, first_start, last_end from auto join (select name, smooth from r where smooth and length is not null and n_blocks > 1) r on r.name = contig
+  select contig, part, r.smooth, ref, orientation, avg_identity, segment_count, aligned_bp, query_start, query_end, changes, first_start, last_end from auto join (select name, smooth from r where smooth and length is not null and n_blocks > 1) r on r.name = contig
   union all
-  select contig, block_no, r.smooth, aligned_bp, query_start, query_end, 0, query_start, query_end from blk join (select name, smooth from r where not smooth and length is not null and n_blocks > 1 and has_signal) r on r.name = contig),
+  select contig, block_no, r.smooth, ref, orientation, identity_bp / aligned_bp, segment_count, aligned_bp, query_start, query_end, 0, query_start, query_end from blk join (select name, smooth from r where not smooth and length is not null and n_blocks > 1 and has_signal) r on r.name = contig),
 gc as (select *, greatest(0, (last_end + lead(first_start) over (partition by contig order by part)) // 2) as cut, lead(part) over (partition by contig order by part) as nxt from grp),
 gs as (select *, greatest(0, least(coalesce(lag(cut) over (partition by contig order by part), 0), {CONTIG_LENGTH})) as a, greatest(0, least(case when nxt is null then {CONTIG_LENGTH} else cut end, {CONTIG_LENGTH})) as z from gc),
 gsum as (select contig, count(*) as n_groups, cast(sum(changes) as bigint) as changes, count(*) filter (where z - a >= {FIX.min_piece_bp}) as n_pieces,
@@ -507,8 +507,10 @@ def piece_labels(spark, sf_dir):
 
 @query("select trim(role) as name, min(conv_id * 1000 + turn) as ord from conversations where trim(role) <> '' group by trim(role)")
 def requested_dedup(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("trim(role) <> ''").select(F.trim("role").alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
-    return c.groupBy("name").agg(F.min("ord").alias("ord"))
+    """Names asked for, in the order of their first place; here the roles of all turns."""
+    from ..sources.readers import distinct_names
+
+    return distinct_names(table(spark, sf_dir, "conversations").select(F.col("role").alias("value"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord")))
 
 
 @query("select 0 as part, n_nationkey as ord, n_name as name from nation union all select 1, r_regionkey, r_name from region")

@@ -62,6 +62,20 @@ def test_sort(spark, tmp_path):
     assert "kept_contigs\t3\n" in text and "status_duplicate_overlap\t1\n" in text and "coords_rows_skipped_unknown_query\t0\n" in text
 
 
+def test_outputs_as_parts(spark, tmp_path):
+    whole = sort(spark, tmp_path)
+    (tmp_path / "b").mkdir()
+    parts = sort(spark, tmp_path / "b", "--parts")
+
+    def read(path):
+        return [line for p in sorted(path.glob("part-*")) for line in p.read_text().splitlines()]
+
+    for name in ("s.contig_assignments.tsv", "s.contig_ref_matches.tsv", "s.chromosome_summary.tsv"):
+        lines = (whole / name).read_text().splitlines()
+        assert [x for x in read(parts / name) if x != lines[0]] == lines[1:] and lines[0] in read(parts / name)
+    assert read(parts / "s.ordered.fa") == (whole / "s.ordered.fa").read_text().splitlines()
+
+
 def test_sort_without_overlap_filter_gzip_and_reports_only(spark, tmp_path):
     out = sort(spark, tmp_path, "--no-overlap-filter", "--simple-headers", suffix=".gz")
     rows = {r["contig"]: r for r in table(out / "s.contig_assignments.tsv")}

@@ -121,8 +121,9 @@ def test_readers(spark, tmp_path):
     fai = fx.write(tmp_path / "y.fa.fai", "a\t5\t3\t60\t61\n\nb\t7\t9\t60\t61\n")
     assert [(r["name"], r["length"]) for r in readers.fasta_lengths(spark, str(tmp_path / "y.fa")).orderBy("ord").collect()] == [("a", 5), ("b", 7)]
     assert readers.index_path(spark, "z", fai) == fai and readers.index_path(spark, str(tmp_path / "x.fa")) is None
-    with pytest.raises(Exception, match="Malformed FASTA index"):
-        readers.read_fai(spark, fx.write(tmp_path / "bad.fai", "a\t5\n")).collect()
+    for k, bad in enumerate(("a\t5\n", "a\t5\tx\t60\t61\n", "a\t5\t3\t\t61\n", "a\tfive\t3\t60\t61\n")):
+        with pytest.raises(Exception, match="Malformed FASTA index"):
+            readers.parse_fai(readers.numbered_lines(spark, fx.write(tmp_path / f"bad{k}.fai", bad))).collect()
     rows = [("r", "q", 1, 1, 9, 3, 99.5, 10, 20), ("r", "q2", 5, 1, 9, 3, 50.0, 10, 20)]
     for piped in (True, False):
         coords = fx.write(tmp_path / f"{piped}.coords", fx.coords_text(rows, piped) + "1 2 3\n1 2 x 4 5 6 7.0 8 9 r q\n")
