@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storing import stored as stored
 
 #: Rows of one Arrow batch; rows hold whole texts, so the default of 10,000 would be tens of MB in each Python worker.
 BATCH_ROWS = 1_000
@@ -20,25 +18,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset, and the session is local, a local folder (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lociweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back from the shared folder; lost executors don't undo it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lociweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Keys that are sent to all executors at most; beyond, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 

@@ -69,6 +69,51 @@ def test_wav_round_trip_and_fingerprints():
     assert 40 in set(f.tolist())
 
 
+def test_fingerprints_against_a_loop():
+    rng = np.random.default_rng(11)
+    for n in (576, 576 * 40):
+        samples = rng.integers(0, 256, n, dtype=np.uint8)
+        edges = np.linspace(2, media.BINS - 1, 5).astype(int)
+        found = {}
+        for k in range((n - 576) // 288 + 1):
+            x = (samples[288 * k : 288 * k + 576].astype(np.float32) - 128) * media._WINDOW
+            m = np.rint(np.abs(np.fft.rfft(x))).astype(int)
+            for band in range(4):
+                f = max(range(edges[band], edges[band + 1]), key=lambda i: (m[i], -i))
+                if m[f] > m[f - 1] and m[f] > m[min(f + 1, media.BINS - 1)]:
+                    found[k, band] = f
+        want = []
+        for (k, _), f in found.items():
+            for band, distance in enumerate((1, 3, 9, 27)):
+                later = [j for j, b in found if b == band and k + distance <= j]
+                if later and min(later) - k <= 63:
+                    want.append((k, (f << 15) | (found[min(later), band] << 6) | (min(later) - k)))
+        at, code, _, peaks = media.peak_pairs(samples)
+        assert sorted(want) == list(zip(at.tolist(), code.tolist(), strict=True)) and peaks == len(found)
+
+
+def test_indicators_and_scores_against_a_loop():
+    texts = [x or "" for x in random_texts(12, 60)] + ["Ab1 ab1 ab1 ab1", "One two. ONE two."]
+    t = kernels.column_texts(pa.array(texts))
+    weights = np.random.default_rng(1).normal(size=nbsvm.BUCKETS)
+    model = nbsvm.Model(weights, 0.25, 0.5)
+    got = [set() for _ in texts]
+    for r, b in zip(*(x.tolist() for x in nbsvm.indicators(t)), strict=True):
+        assert b not in got[r]
+        got[r].add(b)
+    for text, buckets, score in zip(texts, got, model.scores(t).tolist(), strict=True):
+        raw = bytes(97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in text.encode())
+        want = {((int.from_bytes(raw[k : k + n], "big") ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B % 2**32) >> 19 for n in range(1, 5) for k in range(len(raw) - n + 1)}
+        w = WORD.findall(text)
+        want |= {0} if any(a == b == c for a, b, c in zip(w, w[1:], w[2:])) else set()  # noqa: B905
+        assert {b for b in buckets if b < nbsvm.FORM_BUCKETS} == want
+        lower = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in w]
+        words = {int(kernels.column_texts(pa.array([" ".join(lower[k : k + n])])).words().ngrams(n)[0][0] >> np.uint64(49)) for n in (1, 2) for k in range(len(w) - n + 1)}
+        assert {b - nbsvm.FORM_BUCKETS for b in buckets if b >= nbsvm.FORM_BUCKETS} == words
+        margin = sum(weights[b] for b in buckets) + 0.25
+        assert score == pytest.approx(1 / (1 + np.exp(-(0.5 * margin + np.log(0.7 / 0.3)))))
+
+
 @pytest.mark.parametrize("text", ["", "</s>[INST] ok [/INST]", "a\\b<|im_end|>\n<|im_start|>x", "<", "\\", "<\\|", "\\n\n", "<|<|", "é日"])
 def test_chat_round_trip(text):
     formatted, a, z = chat.render_message("assi\nstant<|", text)
@@ -209,6 +254,27 @@ def found_candidates(text):
     return [text.encode()[a:z].decode() for _, a, z in zip(*(x.tolist() for x in spans), strict=True)]
 
 
+def test_candidates_against_a_loop():
+    rng = random.Random(13)
+    inside = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
+    for _ in range(300):
+        text = "".join(rng.choice(("aB3dE5", "xyz", "=", "==", " ", "\n", "é", ".", "/", "1", "Q", ",")) for _ in range(rng.randint(0, 40)))
+        want, k = [], 0
+        while k < len(text):
+            z = k
+            while z < len(text) and text[z] in inside:
+                z += 1
+            pad = z
+            while pad < len(text) and text[pad] == "=":
+                pad += 1
+            end = pad if pad == len(text) or text[pad] not in inside else z
+            value = text[k:end].rstrip(".") if end > z else text[k:z].rstrip(".")
+            if len(value) >= secrets.LEAST and re.search(r"[0-9]|[a-z][A-Z]", value):
+                want.append(value)
+            k = max(pad, z, k + 1) if pad > z or z > k else k + 1
+        assert found_candidates(text) == want
+
+
 def test_candidates_of_assignments():
     value = "Ab3xYz9QwErTy12345Kk"
     for form in ("api_key={}", "export TOKEN={} ", "a\nSECRET={}\nb=1", "https://x.com/a?access_token={}&b=1", "see {}. Then", "API_KEY==={}"):
