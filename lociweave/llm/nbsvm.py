@@ -1,8 +1,9 @@
 """Quality classifier: support vectors on n-gram indicators scaled by naive Bayes log-count ratios.
 
-An n-gram is 1 to ORDERS characters of a text with letters and digits folded to
-their class (so that it tells form from words), or a word that follows itself
-twice; n-grams are hashed into BUCKETS.  From labelled rows come each n-gram's
+An n-gram is a word or a pair of words in lower case, hashed into WORD_BUCKETS;
+1 to ORDERS characters of a text with letters and digits folded to their class
+(so that it tells form from words); or a word that follows itself twice, hashed
+into FORM_BUCKETS.  From labelled rows come each n-gram's
 log-count ratio between the classes; indicators scaled by it are the features
 of a linear hinge-loss model, fitted by dual coordinate descent.  A margin of 0
 is given the score CUT; the slope of the logistic curve around it is fitted to
@@ -27,7 +28,9 @@ from .kernels import Texts, blocks, column_texts
 from .sampling import labelled_sample, remainder
 
 ORDERS = 4
-BUCKETS = 1 << 13
+FORM_BUCKETS, WORD_BITS = 1 << 13, 15
+WORD_BUCKETS = 1 << WORD_BITS
+BUCKETS = FORM_BUCKETS + WORD_BUCKETS
 ROWS_AT_ONCE = 512
 FOLDS, HELD_OUT = 4, 2
 TRAIN_ROWS = 6_000
@@ -61,6 +64,10 @@ def indicators(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         h = w.hashes
         thrice = np.flatnonzero((h[1:-1] == h[:-2]) & (h[1:-1] == h[2:]) & (w.owner[:-2] == w.owner[2:]))
         found[w.owner[thrice], 0] = True
+    w = texts.words(lower=True)
+    for n in (1, 2):
+        h, first = w.ngrams(n)
+        found[w.owner[first], FORM_BUCKETS + (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)] = True
     return np.nonzero(found)
 
 
