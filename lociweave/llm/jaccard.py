@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import blocks, column_texts
+from .kernels import Shared, blocks, column_texts
 from .store import BROADCAST_KEYS, having, stored
 
 GROUPS = 256
@@ -121,7 +121,7 @@ def _order(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
     return np.sort(seen.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
-PROFILE = "n_shingles long, node long, more long, point binary, prefix array<long>"
+PROFILE = "n_shingles long, node long, more long, point binary, prefix array<long>, known array<long>"
 
 
 def digests(sets: list[np.ndarray]) -> np.ndarray:
@@ -130,7 +130,9 @@ def digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(key, n_shingles, node, more, point, prefix) of each whole text; node and more are 64 bits each of a digest of its set.
+    """(key, n_shingles, node, more, point, prefix, known) of each whole text; node and more are 64 bits each of a digest of its set.
+
+    known is the part of the prefix that the task knows other sets to have, too; it isn't in prefix.
 
     A task gives point and prefix with a node's first row only (null with the others), and not for rows without key."""
     frequent = docs.sparkSession.sparkContext.broadcast(_order(docs, key, text, words))
@@ -138,7 +140,8 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         met: set[tuple[int, int]] = set()
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64)
+        shared = Shared()
         for batch in batches:
             keyed = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j, texts in blocks(column_texts(batch.column(1))):
@@ -159,10 +162,15 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
                         hot = late[at] == s
                         if hot.any():
                             s = np.concatenate([s[~hot], s[hot]])
-                    prefixes.append(s[: prefix_length(n, percent)].view(np.int64))
-                offsets = np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32)
-                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(nodes[:, 0].copy()), pa.array(nodes[:, 1].copy()), pa.array(places, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n_shingles", "node", "more", "point", "prefix"])
+                    prefixes.append(s[: prefix_length(n, percent)])
+                owner = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
+                flat = np.concatenate(prefixes) if prefixes else none
+                sure = shared.marks(flat, owner)
+                lists = []
+                for part in (~sure, sure):
+                    ends = np.append(0, np.cumsum(np.bincount(owner[part], minlength=len(prefixes)))).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[part].view(np.int64))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(nodes[:, 0].copy()), pa.array(nodes[:, 1].copy()), pa.array(places, pa.binary()), *lists], ["key", "n_shingles", "node", "more", "point", "prefix", "known"])
 
     return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, " + PROFILE)
 
@@ -175,12 +183,15 @@ def split_classes(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
     return split.withColumn("node", F.when(F.col("_clash").isNotNull(), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("_clash")
 
 
-def sharing(rows: DataFrame) -> DataFrame:
-    """Those rows (token, node, n) whose token several classes have: tokens by an aggregate, then their rows by a join.
+def sharing(profile: DataFrame) -> DataFrame:
+    """(token, node, n) of the prefixes whose token several classes have.
 
-    Unlike a window on the token this brings no token's rows together in one task."""
-    ends = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    return having(rows, stored(ends.filter("a != b").select("token"), "tokens"), "token")
+    Rows of tokens that are known to be shared are salted, so no token brings all its rows together in one task."""
+    rows = profile.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n"), F.lit(0).alias("salt"))
+    known = profile.select(F.explode("known").alias("token"), "node", F.col("n_shingles").alias("n"), (1 + F.pmod(F.xxhash64("node"), F.lit(1023))).cast("int").alias("salt"))
+    by_token = Window.partitionBy("token", "salt")
+    rows = rows.unionByName(known).withColumn("shared", (F.col("salt") > 0) | (F.min("node").over(by_token) != F.max("node").over(by_token)))
+    return rows.filter("shared").select("token", "node", "n")
 
 
 _PAIR = "a long, b long"
@@ -391,7 +402,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     else:
         rep, clash = rep.select("node", "key"), None
     fresh = profile.filter("point is not null")
-    token_rows = sharing(fresh.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n")))
+    token_rows = sharing(fresh)
     # a class that several tasks met comes several times
     shared = stored(token_rows.distinct(), "shared")
     # of blocks with the same members one is enough; it is the first, as pairs are left to their first block

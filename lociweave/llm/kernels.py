@@ -174,3 +174,37 @@ def lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def keyed(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """One key for (owner, value): equal values of different texts get different keys."""
     return mix(values ^ mix(owner.astype(np.uint64) + np.uint64(1)))
+
+
+#: A value that so many owners have within a block is known to be shared from then on; a task remembers so many values.
+OFTEN, REMEMBERED = 3, 1_000_000
+
+
+class Shared:
+    """Values of which a task knows that several owners have them.
+
+    A value that is frequent in a block of rows becomes known, and later rows with it are marked; of the block
+    itself, rows of two owners stay unmarked.  So what decides whether a value is shared need only look at the
+    unmarked rows, which stay few however frequent the value is."""
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+
+    def marks(self, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which of the rows (value, owner) are marked."""
+        sure = np.isin(value, self.known)
+        at = np.flatnonzero(~sure)
+        at = at[np.lexsort((owner[at], value[at]))]
+        v, o = value[at], owner[at]
+        new_value = np.append(True, v[1:] != v[:-1])[: len(v)]
+        new_owner = new_value | np.append(True, o[1:] != o[:-1])[: len(v)]
+        group = np.cumsum(new_value) - 1
+        owners = np.bincount(group, weights=new_owner).astype(np.int64) if len(v) else np.zeros(0, np.int64)
+        often = owners >= OFTEN
+        if often.any() and len(self.known) < REMEMBERED:
+            nth = np.cumsum(new_owner)
+            nth = nth - nth[np.flatnonzero(new_value)][group]  # 0 for rows of a value's first owner
+            spare = (new_owner & (nth <= 1))  # a row each of the first two owners
+            sure[at[often[group] & ~spare]] = True
+            self.known = np.union1d(self.known, v[new_value][often])
+        return sure

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .kernels import Words, blocks, column_texts, mix, powers
+from .kernels import Shared, Words, blocks, column_texts, mix, powers
 from .store import BROADCAST_KEYS, having, stored
 
 WINDOW, ANCHOR = 13, 4
@@ -53,8 +53,6 @@ LONGEST = 128
 SHARD = 20_000
 #: Distinct segments of one anchor from which its windows are dealt one by one.
 HOT = 20_000
-#: An anchor that so many classes have within a block of texts is known to be shared from then on; a task remembers so many.
-OFTEN, REMEMBERED = 3, 1_000_000
 #: Windows that are searched at once.
 WINDOWS_AT_ONCE = 1 << 16
 
@@ -229,7 +227,7 @@ def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        often = np.zeros(0, np.uint64)
+        shared = Shared()
         for batch in batches:
             for _, _, texts in blocks(column_texts(batch.column(1))):
                 w = texts.words()
@@ -243,32 +241,12 @@ def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 keep = fresh[owner]
                 h, first, count, owner = h[keep], first[keep], count[keep], owner[keep]
                 base = np.cumsum(w.counts) - w.counts
-                sure = np.isin(h, often)
-                new = frequent_anchors(h[~sure], owner[~sure])
-                if len(new):
-                    spare = np.flatnonzero(np.isin(h, new))
-                    spare = spare[np.lexsort((owner[spare], h[spare]))]
-                    same = np.append(False, h[spare[1:]] == h[spare[:-1]])
-                    # the first class stays unmarked, and the second, whose rows are those of another owner first
-                    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(spare))))
-                    other = owner[spare] != owner[spare[start]]
-                    second = other & ~np.append(False, other[:-1] & same[1:])
-                    sure[spare[~second & (np.arange(len(spare)) != start)]] = True
-                    often = np.union1d(often, new) if len(often) < REMEMBERED else often
+                sure = shared.marks(h, owner)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code[owner]), pa.array(((first - base[owner]) << 8) | count), pa.array(sure)], ["anchor", "class", "place", "sure"])
 
     return docs.filter("key is not null").mapInArrow(run, "anchor long, class long, place long, sure boolean")
 
 
-def frequent_anchors(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Anchors that at least OFTEN texts of a block have."""
-    order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
-    value, n = np.unique(h[fresh], return_counts=True)
-    return value[n >= OFTEN]
-
-
 _CUT = "anchor long, segment long, low long, first int, words array<long>"
 
 

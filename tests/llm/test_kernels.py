@@ -214,6 +214,22 @@ def test_every_window_is_in_one_segment():
         assert by_window.setdefault(x, of[p]) == of[p]
 
 
+def test_marks_leave_two_owners():
+    rng = np.random.default_rng(14)
+    shared, plain = kernels.Shared(), {}
+    marked = 0
+    for _ in range(40):
+        owner = np.repeat(np.arange(30) + rng.integers(0, 1 << 40), 6)
+        value = np.where(rng.random(180) < 0.3, rng.integers(0, 5, 180), rng.integers(5, 1 << 30, 180)).astype(np.uint64)
+        sure = shared.marks(value, owner)
+        marked += int(sure.sum())
+        for v, o in zip(value[~sure].tolist(), owner[~sure].tolist(), strict=True):
+            plain.setdefault(v, set()).add(o)
+        assert all(len(plain[v]) > 1 for v in value[sure].tolist())
+    assert marked > 1000 and max(map(len, plain.values())) < 8
+    assert kernels.Shared().marks(value[:0], owner[:0]).tolist() == []
+
+
 def test_point_bounds_hold():
     rng = np.random.default_rng(7)
     for _ in range(50):
