@@ -35,7 +35,7 @@ from .store import stored
 CAPACITY, END_ID = 1024, 2
 SLICE = 1_000
 #: Chunks in a generation of a worker's dictionary, and bits of its slots (14 bytes each).
-ENTRIES, SLOT_BITS = 650_000, 20
+ENTRIES, SLOT_BITS = 330_000, 19
 _SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
 #: Chunks that are encoded at once.
 CHUNKS_AT_ONCE = 10_000

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..storing import stored as stored
 
-#: Rows of one Arrow batch; rows hold whole texts, so the default of 10,000 would be tens of MB in each Python worker.
-BATCH_ROWS = 1_000
+#: Rows and bytes of one Arrow batch; rows hold whole texts or sets, so the defaults (10,000 and 64 MB) would be too much for a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Sets smaller Arrow batches, unless the session has its own size."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, default, smaller in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, str(smaller))
 
 
 #: Keys that are sent to all executors at most; beyond, both sides are shuffled.
