@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import Shared, blocks, column_texts
+from .kernels import Shared, blocks, column_texts, tidy
 from .store import BROADCAST_KEYS, having, stored
 
 GROUPS = 256
@@ -110,7 +110,7 @@ def _order(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
     sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(ORDER_SAMPLE)) == 0).select(text)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for _, _, texts in blocks(column_texts(batch.column(0))):
                 sets = list(shingle_sets(texts, words))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], ["token"])
@@ -142,7 +142,7 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
         met: set[tuple[int, int]] = set()
         none = np.zeros(0, np.uint64)
         shared = Shared()
-        for batch in batches:
+        for batch in tidy(batches):
             keyed = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j, texts in blocks(column_texts(batch.column(1))):
                 sizes, places, prefixes = [], [], []
@@ -205,7 +205,7 @@ def _emit(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 def _block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     """Batches joined and cut so that each has whole blocks (first column), or a block that alone is larger than most."""
     rest = None
-    for batch in batches:
+    for batch in tidy(batches):
         t = pa.Table.from_batches([batch])
         rest = t if rest is None else pa.concat_tables([rest, t])
         if rest.num_rows < most:
@@ -305,7 +305,7 @@ def outside_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, block, own, given = None, None, [], set()
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             of, first, outside, node, n, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
@@ -345,7 +345,7 @@ def finer(pairs: DataFrame, place: DataFrame, percent: int) -> DataFrame:
     both = pairs.distinct().join(place.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("point").alias("p")), "a").join(place.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             if batch.num_rows:
                 p, q = points(batch.column(3).to_pylist()), points(batch.column(5).to_pylist())
                 ok = can_link(np.minimum(p, q).sum(axis=1), batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)
@@ -360,7 +360,7 @@ def packed_sets(docs: DataFrame, nodes: DataFrame, words: int, clash: DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in tidy(batches):
             for _, _, texts in blocks(column_texts(batch.column(1))):
                 sets = list(shingle_sets(texts, words))
                 found = digests(sets)
@@ -379,7 +379,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, words: int, perc
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             ok = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 u, v = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
@@ -412,7 +412,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     place = stored(fresh.select("node", F.col("n_shingles").alias("n"), "point").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "points")
 
     def coarsened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coarse_point(x) for x in batch.column(1).to_pylist()], pa.binary())], ["node", "point"])
 
     near = place.select("node", "point").mapInArrow(coarsened, "node long, point binary")

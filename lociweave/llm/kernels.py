@@ -91,6 +91,12 @@ def column_texts(column: pa.Array) -> Texts:
     return Texts(buffer, o[:-1], o[1:])
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one the worker, which lives on, gives unused memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def blocks(texts: Texts, max_bytes: int = BLOCK_BYTES, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
     """Runs of rows [i, j), max_rows at most, whose texts take about max_bytes, or one longer text."""
     i, n = 0, len(texts)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import Texts, blocks, column_texts, span_hashes
+from .kernels import Texts, blocks, column_texts, span_hashes, tidy
 from .store import stored
 
 CAPACITY, END_ID = 1024, 2
@@ -198,7 +198,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in tidy(batches):
             for i, j, texts in blocks(column_texts(batch.column(1))):
                 ids, counts = coder.encode(texts, end_id)
                 raw = ids.astype("<u4").tobytes()
@@ -282,7 +282,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, _, sequence, offset = plan.value
         start = (length << 44) + first
-        for batch in batches:
+        for batch in tidy(batches):
             n, rank = batch.column(at).to_numpy(), batch.column(len(names)).to_numpy()
             i = np.searchsorted(start, (n << 44) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence[i] + rank - first[i]), pa.array(offset[i])], [*names, "sequence_id", "offset"])
