@@ -38,17 +38,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     and ordered by all its columns; of rows equal in all columns one stays.  Rows without doc_id stay, as do
     all null and empty texts but repeated rows.  An empty table gives an empty one."""
     docs = _own_columns(docs)
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.limit(1).count():
+        groups = jaccard.similar_documents(docs.select("doc_id", "text"), words=5, percent=80)
+        return _own_columns(_without(docs, groups.filter("doc_id != component_id").select("doc_id")))
     rows = docs.select("*", *identity(docs))
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *IDENTITY))
     groups = jaccard.similar_documents(rows.select(row.alias("row"), "text"), key="row", words=5, percent=80)
-    groups = groups.filter("row is not null").groupBy("row").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    gone = stored(groups.filter("row != first or n > 1").select(F.col("row")[IDENTITY[0]].alias(IDENTITY[0]), F.col("row")[IDENTITY[1]].alias(IDENTITY[1]), (F.col("row") == F.col("first")).alias("stays")), "gone")
-    send = F.broadcast if gone.count() <= BROADCAST_KEYS else lambda df: df
-    kept = rows.join(send(gone.select(*IDENTITY)), list(IDENTITY), "left_anti").select(*COLUMNS)
-    repeated = gone.filter("stays").select(*IDENTITY)
-    if repeated.limit(1).count():
-        kept = kept.unionByName(rows.join(repeated, list(IDENTITY), "left_semi").dropDuplicates(list(IDENTITY)).select(*COLUMNS))
-    return _own_columns(kept)
+    groups = stored(groups.filter("row is not null").groupBy("row").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")), "groups")
+    names = [F.col("row")[c].alias(c) for c in IDENTITY]
+    kept = _without(rows, groups.filter("row != first or n > 1").select(*names))
+    once = rows.join(groups.filter("row = first and n > 1").select(*names), list(IDENTITY), "left_semi").dropDuplicates(list(IDENTITY))
+    return _own_columns(kept.unionByName(once))
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is none of the keys: by broadcast if they are few, else by a shuffled anti join."""
+    gone = stored(keys, "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, gone.columns, "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
