@@ -1,14 +1,16 @@
 """Toxicity by weak supervision.
 
-Voters are word lists and word patterns: a list of common insults, lists and
-word beginnings found among labelled rows, dealt over several voters, and
-patterns of form.  A generative label model reads only their votes: it
-estimates by expectation maximisation how often each voter speaks up on toxic
-and on other documents, and from what is left over the correlations between
-voters, by which their evidence is discounted.  Votes are counted by pattern
-over all documents (at most 2 ** VOTERS rows), so the model sees the corpus but
-the driver sees a fixed table.  A linear classifier is trained on the model's
-posterior labels and scores every document.
+Voters are lexicons and patterns, each of one kind: insults by what they say,
+words found among labelled rows by how common and how exclusive they are in
+toxic ones, beginnings of words by length, and patterns of form.  A generative
+label model reads only their votes: by expectation maximisation it estimates,
+for toxic and for other documents, how often each voter speaks up and how
+pairs of voters go together, and keeps the strongest such dependencies as a
+tree, so that a voter's evidence is what it adds to its neighbour's.  Votes
+are counted by pattern over all documents (at most 2 ** VOTERS rows), so the
+model sees the corpus but the driver sees a table of bounded size.  A linear
+classifier is trained on the model's posterior labels and scores every
+document.
 
 Word lists, the posterior's starting point and the classifier come from a
 bounded sample of labelled rows (TRAIN_ROWS).  Null and empty texts get no
@@ -18,6 +20,7 @@ labels the word lists are the common insults alone.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +35,27 @@ FOLDS, HELD_OUT = 5, 0
 TRAIN_ROWS = 8_000
 #: Words and word beginnings (each) that are looked up.
 TERMS = 256
-LISTS, BEGINNINGS = 4, 3
-VOTERS = 1 + LISTS + BEGINNINGS + 2
 LENGTHS = (5, 6, 7, 8)
 #: Toxic documents that a term needs, and how many times as likely it must be in them.
 LEAST, RATIO = 4, 15
+#: Labelled toxic documents that have a common word.
+COMMON = 16
 #: Hits from which there is a feature of its own.
 HITS = (1, 2, 3, 5)
 
-# Common insults.
-INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "pathetic", "disgusting", "worthless", "clown", "clowns", "dumb", "garbage", "filth", "vermin", "imbecile", "jerk", "creep", "ugly", "freak", "shut")
+# Common insults that name a person, a thing or a quality, or turn one away; words that address someone.
+PERSONS = ("idiot", "idiots", "moron", "morons", "loser", "losers", "clown", "clowns", "imbecile", "jerk", "creep", "freak")
+THINGS = ("scum", "trash", "garbage", "filth", "vermin")
+QUALITIES = ("stupid", "pathetic", "disgusting", "worthless", "dumb", "ugly")
+DISMISSALS = ("shut",)
+ADDRESS = ("you", "your", "yours", "yourself")
+
+LEXICONS = (PERSONS, THINGS, QUALITIES, DISMISSALS)
+#: The first voter of the words found (common or not, exclusive or not), of the beginnings (by length) and of the patterns.
+FOUND_WORDS = len(LEXICONS)
+BEGINNINGS = FOUND_WORDS + 4
+PATTERNS = BEGINNINGS + len(LENGTHS)
+VOTERS = PATTERNS + 8
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -90,8 +104,8 @@ def word_hash(word: str) -> int:
     return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
-def found_terms(sample: DataFrame) -> list[tuple[int, bool]]:
-    """Up to TERMS words and TERMS beginnings (hash, is a word), the most telling first.
+def found_terms(sample: DataFrame) -> list[tuple[int, int]]:
+    """Up to TERMS words and TERMS beginnings (hash, voter), the most telling first.
 
     A beginning counts in a text in which two words or more have it."""
 
@@ -101,36 +115,37 @@ def found_terms(sample: DataFrame) -> list[tuple[int, bool]]:
             for i, j, texts in blocks(column_texts(batch.column(1))):
                 for kind, (h, owner) in enumerate(zip(*term_hashes(texts), strict=True)):
                     h, owner = distinct(h, owner, 1 if kind == 0 else 2)
-                    new = np.ones(len(h), bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(np.full(int(new.sum()), kind == 0)), pa.array(label[i:j][owner[new]].astype(np.int64))], ["term", "word", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), kind, np.int32)), pa.array(label[i:j][owner].astype(np.int64))], ["term", "kind", "label"])
 
-    terms = sample.mapInArrow(run, "term long, word boolean, label long").groupBy("term", "word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+    terms = sample.mapInArrow(run, "term long, kind int, label long").groupBy("term", "kind").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
     rows = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("n")).first()
     bad, good = max(1, rows["bad"]), max(1, rows["n"] - rows["bad"])
     rate, other = (F.col("bad") + 0.1) / bad, (F.col("n") - F.col("bad") + 0.5) / good
     telling = terms.filter(F.col("bad") >= LEAST).filter(rate > RATIO * other).withColumn("weight", F.log(rate / other) * F.sqrt("bad"))
+    of_word = F.lit(FOUND_WORDS) + F.when(F.col("bad") >= COMMON, 0).otherwise(2) + F.when(F.col("bad") == F.col("n"), 0).otherwise(1)
+    voter = F.when(F.col("kind") == 0, of_word).otherwise(BEGINNINGS - 1 + F.col("kind"))
     out = []
-    for word in (True, False):
-        out += [(r["term"] & (2**64 - 1), word) for r in telling.filter(F.col("word") == word).orderBy(F.desc("weight"), "term").limit(TERMS).collect()]
+    for kinds in ("kind = 0", "kind > 0"):
+        best = telling.filter(kinds).orderBy(F.desc("weight"), "term", "kind").limit(TERMS)
+        out += [(r["term"] & (2**64 - 1), r["voter"]) for r in best.select("term", voter.alias("voter")).collect()]
     return out
 
 
 class Terms:
     """The looked-up terms in order of hash, and the voter of each."""
 
-    def __init__(self, found: list[tuple[int, bool]]):
-        voter: dict[int, int] = {}
-        for word, first, among in ((True, 1, LISTS), (False, 1 + LISTS, BEGINNINGS)):
-            for k, (h, _) in enumerate(x for x in found if x[1] == word):
-                voter[h] = first + k % among
-        voter |= dict.fromkeys(map(word_hash, INSULTS), 0)
+    def __init__(self, found: list[tuple[int, int]]):
+        voter = dict(found)
+        for k, words in enumerate(LEXICONS):
+            voter |= dict.fromkeys(map(word_hash, words), k)
         self.keys = np.array(sorted(voter), np.uint64)
         self.voter = np.array([voter[int(k)] for k in self.keys], np.int64)
+        self.address = np.array([word_hash(w) for w in ADDRESS], np.uint64)
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.maybe[(np.append(self.keys, self.address) & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def hits(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """(row, term) of each word that is a term, and twice of each beginning that two words have."""
+    def hits(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term) of each word that is a term, and twice of each beginning that two words have; rows that address someone."""
         rows, terms = [], []
         for kind, (h, owner) in enumerate(zip(*term_hashes(texts), strict=True)):
             at = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
@@ -138,70 +153,119 @@ class Terms:
             if kind:
                 h, owner = distinct(h, owner, 2)
                 h, owner = np.repeat(h, 2), np.repeat(owner, 2)
+            else:
+                addressed = owner[np.isin(h, self.address)]
             i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             same = self.keys[i] == h
             rows.append(owner[same])
             terms.append(i[same])
-        return np.concatenate(rows), np.concatenate(terms)
+        return np.concatenate(rows), np.concatenate(terms), addressed
+
+
+def forms(texts: Texts) -> list[np.ndarray]:
+    """By text: is most of it capitals; how many exclamation marks, doubled marks, stretched and disguised letters it has."""
+    one, two, three = (np.append(texts.data, np.zeros(2, np.uint8))[k : k + len(texts.data)] for k in range(3))
+    # a pair or three of bytes lies within one text
+    pair = np.ones(len(one), bool)
+    pair[texts.ends[texts.starts < texts.ends] - 1] = False
+    triple = pair & np.append(pair[1:], False)
+    letter = lambda x: (LOWER_ASCII[x] >= 97) & (LOWER_ASCII[x] <= 122)
+    capitals = 2 * texts.sums((one >= 65) & (one <= 90)) > texts.ends - texts.starts
+    doubled = pair & (one == ord("!")) & ((two == ord("!")) | (two == ord("?")))
+    stretched = triple & letter(one) & (LOWER_ASCII[one] == LOWER_ASCII[two]) & (LOWER_ASCII[two] == LOWER_ASCII[three])
+    disguised = triple & letter(one) & ((two == ord("*")) | (two == ord("$"))) & letter(three)
+    return [capitals, texts.sums(one == ord("!")), texts.sums(doubled), texts.sums(stretched), texts.sums(disguised)]
 
 
 def votes(texts: Texts, terms: Terms) -> np.ndarray:
     """A bit for each voter that speaks up."""
-    row, term = terms.hits(texts)
+    row, term, addressed = terms.hits(texts)
     spoke = np.zeros((len(texts), VOTERS), bool)
     spoke[row, terms.voter[term]] = True
-    spoke[:, VOTERS - 2] = np.bincount(row, minlength=len(texts)) >= 2
-    upper = texts.sums((texts.data >= 65) & (texts.data <= 90))
-    spoke[:, VOTERS - 1] = (texts.sums(texts.data == ord("!")) >= 2) & (2 * upper > texts.ends - texts.starts)
+    n = np.bincount(row, minlength=len(texts))
+    capitals, marks, doubled, stretched, disguised = forms(texts)
+    to_someone = np.bincount(addressed, minlength=len(texts)) > 0
+    for k, said in enumerate((n >= 2, n >= 5, to_someone & (n > 0), capitals, capitals & (marks >= 2), doubled > 0, stretched > 0, disguised > 0)):
+        spoke[:, PATTERNS + k] = said
     return spoke @ (1 << np.arange(VOTERS))
 
 
+def _bits(patterns: np.ndarray) -> np.ndarray:
+    return ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(np.int8)
+
+
 class LabelModel:
-    """How often each voter speaks up on toxic and other documents, and how far voters repeat each other."""
+    """How often each voter speaks up on toxic and other documents, alone and given its neighbour in a tree of dependencies."""
+
+    #: How often voters speak up on toxic and other documents, as far as nothing is known; worth one document.
+    BEFORE = (0.4, 0.01)
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, labels: np.ndarray, rounds: int = 50):
         """Fitted to all votes (patterns and their counts); starts from the votes on labelled rows (known, labels)."""
-        x = (patterns[:, None] >> np.arange(VOTERS)) & 1
-        n = counts.astype(float)
-        y = (known[:, None] >> np.arange(VOTERS)) & 1
-        toxic = (y[labels == 1].sum(axis=0) + 0.4) / ((labels == 1).sum() + 1)
-        other = (y[labels == 0].sum(axis=0) + 0.01) / ((labels == 0).sum() + 1)
-        self.discount = np.ones(VOTERS)
+        x, n = _bits(patterns), counts.astype(float)
         self.prior = min(max(float(labels.mean()) if len(labels) else 0.05, 1e-3), 0.5)
-        for round_ in range(rounds):
-            self.toxic, self.other = toxic, other
-            q = self.posterior(patterns)
-            a, b = q * n, (1 - q) * n
-            toxic = (a @ x + 0.4) / (a.sum() + 1)
-            other = (b @ x + 0.01) / (b.sum() + 1)
-            toxic = np.maximum(toxic, other)  # voters speak up for toxicity
-            if round_ % 10 == 9:
-                self.discount = 1 / (1 + self._correlations(x, a, b, toxic, other))
-        self.toxic, self.other = toxic, other
+        self._fit(_bits(known), (labels == 1).astype(float), (labels == 0).astype(float))
+        for _ in range(rounds):
+            q = self._posterior(x)
+            self._fit(x, q * n, (1 - q) * n)
+
+    def _fit(self, x: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> None:
+        """Rates, tree and evidence from the votes and the weights of their documents as toxic and as other."""
+        pairs, rates = [], []
+        for weight, before in ((toxic, self.BEFORE[0]), (other, self.BEFORE[1])):
+            both = (x * weight[:, None]).T @ x.astype(float)
+            alone, total = np.diag(both), weight.sum()
+            first = alone[:, None] - both
+            second = alone[None, :] - both
+            seen = np.array([[total - first - second - both, second], [first, both]])
+            known = np.array([[(1 - before) ** 2, before * (1 - before)], [before * (1 - before), before**2]])
+            rates.append((alone + before) / (total + 1))
+            pairs.append((np.maximum(seen, 0) + known[:, :, None, None]) / (total + 1))
+        pairs = np.clip(np.array(pairs), 1e-7, 1)  # class, first's vote, second's vote, first, second
+        self.toxic, self.other = rates
+        ahead, behind = pairs.sum(axis=2, keepdims=True), pairs.sum(axis=1, keepdims=True)
+        share = np.array([toxic.sum(), other.sum()]) / max(toxic.sum() + other.sum(), 1e-9)
+        information = np.einsum("c,cabij->ij", share, pairs * np.log(pairs / (ahead * behind)))
+        self.neighbour = self._tree(information)
+        given = np.clip(pairs / ahead, 1e-4, 1 - 1e-4)
+        rates = np.clip(np.array(rates), 1e-4, 1 - 1e-4)
+        self.evidence = np.zeros((VOTERS, 2, 2))  # voter, neighbour's vote, own vote
+        for i, j in enumerate(self.neighbour):
+            if self.toxic[i] <= self.other[i]:
+                continue  # voters speak up for toxicity, or say nothing
+            if j < 0:
+                self.evidence[i] = np.log(np.array([(1 - rates[0, i]) / (1 - rates[1, i]), rates[0, i] / rates[1, i]]))
+            else:
+                self.evidence[i] = np.log(given[0, :, :, j, i] / given[1, :, :, j, i])
 
     @staticmethod
-    def _correlations(x, a, b, toxic, other) -> np.ndarray:
-        """For each voter the summed positive correlation with others, given the label."""
-        total = np.zeros((VOTERS, VOTERS))
-        for weight, mean in ((a, toxic), (b, other)):
-            d = x - mean
-            cov = (d * weight[:, None]).T @ d / max(weight.sum(), 1e-9)
-            sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-            total += weight.sum() / max(a.sum() + b.sum(), 1e-9) * cov / np.outer(sd, sd)
-        np.fill_diagonal(total, 0)
-        return np.maximum(total, 0).sum(axis=1)
+    def _tree(information: np.ndarray) -> list[int]:
+        """The neighbour of each voter towards the first (which has none, -1), in a tree of the most informative pairs."""
+        near, best = [-1] * VOTERS, information[0].copy()
+        left = set(range(1, VOTERS))
+        link = np.zeros(VOTERS, int)
+        while left:
+            i = max(left, key=lambda k: (best[k], -k))
+            near[i] = int(link[i])
+            left.remove(i)
+            closer = information[i] > best
+            best[closer], link[closer] = information[i][closer], i
+        return near
+
+    def _posterior(self, x: np.ndarray) -> np.ndarray:
+        z = np.full(len(x), np.log(self.prior / (1 - self.prior)))
+        for i, j in enumerate(self.neighbour):
+            z += self.evidence[i][x[:, max(j, 0)], x[:, i]]
+        return 1 / (1 + np.exp(-z))
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        x = (patterns[:, None] >> np.arange(VOTERS)) & 1
-        p, q = np.clip(self.toxic, 1e-4, 1 - 1e-4), np.clip(self.other, 1e-4, 1 - 1e-4)
-        evidence = np.where(x == 1, np.log(p / q), np.log((1 - p) / (1 - q)))
-        z = np.log(self.prior / (1 - self.prior)) + (evidence * self.discount).sum(axis=1)
-        return 1 / (1 + np.exp(-z))
+        """How likely documents with these votes are toxic."""
+        return self._posterior(_bits(patterns))
 
 
 def features(texts: Texts, terms: Terms) -> np.ndarray:
     """Indicators of terms, and of how many hits there are."""
-    row, term = terms.hits(texts)
+    row, term, _ = terms.hits(texts)
     out = np.zeros((len(texts), len(terms.keys) + len(HITS)), np.float32)
     out[row, term] = 1
     n = np.bincount(row, minlength=len(texts))
@@ -236,12 +300,12 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     terms = sc.broadcast(Terms(found_terms(sample)))  # 2 * TERMS and the insults
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << VOTERS, np.int64)
+        total: Counter[int] = Counter()
         for batch in batches:
             for _, _, texts in blocks(column_texts(batch.column(0)), max_rows=ROWS_AT_ONCE):
-                total += np.bincount(votes(texts, terms.value), minlength=1 << VOTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["pattern", "n"])
+                used, n = np.unique(votes(texts, terms.value), return_counts=True)
+                total.update(dict(zip(used.tolist(), n.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["pattern", "n"])
 
     table = docs.select("text").mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
 

@@ -321,3 +321,26 @@ def test_label_model_recovers_rates():
     model = toxicity.LabelModel(used, counts, patterns[:100], y[:100].astype(int))
     assert np.abs(model.toxic - strong).max() < 0.1 and model.other.max() < 0.06
     assert ((model.posterior(patterns) > 0.5) == y).mean() > 0.97
+
+
+def test_label_model_counts_a_copied_voter_once():
+    rng = np.random.default_rng(11)
+    y = rng.random(20_000) < 0.2
+    spoke = rng.random((len(y), toxicity.VOTERS)) < np.where(y[:, None], 0.6, 0.03)
+    spoke[:, 1:4] = spoke[:, :1]
+    patterns = spoke @ (1 << np.arange(toxicity.VOTERS))
+    used, counts = np.unique(patterns, return_counts=True)
+    model = toxicity.LabelModel(used, counts, patterns[:200], y[:200].astype(int))
+    copies = [i for i in range(1, 4) if model.neighbour[i] in range(4)]
+    assert copies == [1, 2, 3]  # the tree joins the copies
+    assert all(abs(model.evidence[i][v, v]) < 0.1 for i in copies for v in (0, 1))
+    assert ((model.posterior(patterns) > 0.5) == y).mean() > 0.97
+
+
+def test_forms_stay_within_texts():
+    texts = ["so!", "!a", "heyyy", "hey", "yy", "y", "", "a*b", "a*", "b", "ABC d", "$", None, "é" * 3]
+    got = list(zip(*(x.tolist() for x in toxicity.forms(kernels.column_texts(pa.array(texts, pa.string()))))))
+    alone = [tuple(x.tolist()[0] for x in toxicity.forms(kernels.column_texts(pa.array([t], pa.string())))) for t in texts]
+    assert got == alone
+    assert [t for t, x in zip(texts, got) if x[3]] == ["heyyy"] and [t for t, x in zip(texts, got) if x[4]] == ["a*b"]
+    assert not any(x[2] for x in got) and [t for t, x in zip(texts, got) if x[0]] == ["ABC d"]
