@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The local folder of each application that has none of its own; the setting itself can't be changed in a running session.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where it is unset, and the session is local, a local folder (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lociweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="lociweave-")
+        found = _LOCAL[context.applicationId]
     return found.rstrip("/")
 
 

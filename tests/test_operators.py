@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from lociweave import storing
 from lociweave.functions import sequence as fn
 from lociweave.operators import blocks, intervals, segment
 from lociweave.operators.assign import SortOptions, claim
@@ -151,3 +152,14 @@ def test_streamed_metrics(spark, tmp_path):
     stream = stream_metrics(stream_segments(spark, str(tmp_path / "in")), *lengths, lambda df, n: seen.extend(df.collect()), str(tmp_path / "check"))
     stream.awaitTermination()
     assert [(r["query"], r["segment_count"], r["merged_query_bp"], r["avg_identity"]) for r in seen] == [("q", 2, 14, 98.0)]
+
+
+def test_shared_folder_is_the_clusters_own_or_local():
+    def session(folder, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
+    assert storing.shared_folder(session("hdfs://host/x/", "spark://host:7077")) == "hdfs://host/x"
+    with pytest.raises(ValueError):
+        storing.shared_folder(session(None, "spark://host:7077"))
+    one, again, other = (storing.shared_folder(session(None, f"local[{k}]")) for k in (2, 2, 4))
+    assert one == again != other
