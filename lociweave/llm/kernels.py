@@ -22,12 +22,6 @@ _NEWLINE = 0x0A
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x.astype(np.uint64, copy=True)
@@ -39,18 +33,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One well-mixed 64-bit value for each byte.
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+#: Places whose keys are kept ready.
+_PLACES = 1 << 12
+_KEYS = [mix(np.arange(_PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(k)) for k in (1, 2)]
+
+
+def place_keys(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A summand and an odd factor for each place."""
+    if place.max(initial=0) < _PLACES:
+        return _KEYS[0][place], _KEYS[1][place] | np.uint64(1)
+    twice = place.astype(np.uint64) * np.uint64(2)
+    return mix(twice + np.uint64(1)), mix(twice + np.uint64(2)) | np.uint64(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS["up"]) < n:
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def summed_hashes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values (sizes of 1 at least, one run after another).
+
+    Each value is mixed with its place before it is summed, so no difference of values carries on in a regular way
+    from place to place, as it does in a polynomial modulo 2**64."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(sizes)
+    if ends[-1] == len(sizes):
+        terms = mix(values + _KEYS[0][0]) * (_KEYS[1][0] | np.uint64(1))
+    else:
+        summand, factor = place_keys(np.arange(ends[-1]) - np.repeat(ends - sizes, sizes))
+        terms = np.add.reduceat(mix(values + summand) * factor, ends - sizes)
+    return mix(terms + mix(sizes.astype(np.uint64)))
 
 
 class Texts:
@@ -108,20 +117,31 @@ def blocks(texts: Texts, max_bytes: int = BLOCK_BYTES, max_rows: int = 1 << 20)
         i = j
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bytes: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are sorted and don't overlap."""
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, max_words: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each byte span (sorted by start), from its words of 8 bytes; spans of one length up to 8 never collide."""
     out = np.zeros(len(starts), np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    at = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the 8 bytes from each position
+    sizes = ends - starts
+    words = np.maximum((sizes + 7) >> 3, 1)
+    total = np.append(0, np.cumsum(words))
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + max_bytes, side="right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        up, down = powers(max(b - a, 1, 1 << 16))
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data[a:b]] * up[: b - a], out=total[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (total[e] - total[s]) * down[np.minimum(s, len(down) - 1)]
+        j = max(i + 1, int(np.searchsorted(total, total[i] + max_words, side="right")) - 1)
+        n = words[i:j]
+        if total[j] - total[i] == j - i:
+            value = at[starts[i:j]] & _LOW_BYTES[sizes[i:j]]
+        else:
+            nth = np.arange(total[j] - total[i]) - np.repeat(total[i:j] - total[i], n)
+            place = np.repeat(starts[i:j], n) + 8 * nth
+            value = at[place] & _LOW_BYTES[np.minimum(np.repeat(ends[i:j], n) - place, 8)]
+        out[i:j] = summed_hashes(value ^ np.uint64(seed), n)
         i = j
-    return mix(out)
+    return mix(out + sizes.astype(np.uint64))
 
 
 class Words:
@@ -182,35 +202,57 @@ def keyed(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mix(values ^ mix(owner.astype(np.uint64) + np.uint64(1)))
 
 
-#: A value that so many owners have within a block is known to be shared from then on; a task remembers so many values.
-OFTEN, REMEMBERED = 3, 1_000_000
+#: A value that so many owners have within a block, or so many over several blocks, is known to be shared from then on; a task remembers so many values.
+OFTEN, OVER_TIME, REMEMBERED = 3, 8, 1_000_000
+#: Slots in which a task counts the owners of values that come now and then.
+_SLOTS = 1 << 20
 
 
 class Shared:
     """Values of which a task knows that several owners have them.
 
-    A value that is frequent in a block of rows becomes known, and later rows with it are marked; of the block
-    itself, rows of two owners stay unmarked.  So what decides whether a value is shared need only look at the
-    unmarked rows, which stay few however frequent the value is."""
+    A value that is frequent in a block of rows, or comes in block after block, becomes known, and later rows with
+    it are marked; at least two owners' rows stay unmarked before.  So what decides whether a value is shared need
+    only look at the unmarked rows.  Of a value that comes in one block of ten or more often, a task leaves some
+    OVER_TIME rows unmarked; rarer ones lose their count to others now and then (a slot's value gives way to a
+    newcomer when newcomers have taken its count), and stay unmarked in about one block of a hundred."""
 
     def __init__(self) -> None:
         self.known = np.zeros(0, np.uint64)
+        self.value, self.count = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint8)
+
+    def counted(self, values: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """How many owners of each of these distinct values have been counted, these included."""
+        slot = (mix(values) & np.uint64(_SLOTS - 1)).astype(np.int64)
+        same = self.value[slot] == values
+        total = np.minimum(owners + np.where(same, self.count[slot], 0), 255)
+        self.count[slot[same]] = total[same]
+        other = slot[~same]
+        taken = self.count[other] > 0
+        self.count[other[taken]] -= 1
+        free = np.flatnonzero(~same)[~taken]
+        self.value[slot[free]], self.count[slot[free]] = values[free], total[free]
+        return total
 
     def marks(self, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Which of the rows (value, owner) are marked."""
         sure = np.isin(value, self.known)
         at = np.flatnonzero(~sure)
+        if not len(at):
+            return sure
         at = at[np.lexsort((owner[at], value[at]))]
         v, o = value[at], owner[at]
-        new_value = np.append(True, v[1:] != v[:-1])[: len(v)]
-        new_owner = new_value | np.append(True, o[1:] != o[:-1])[: len(v)]
+        new_value = np.append(True, v[1:] != v[:-1])
+        new_owner = new_value | np.append(True, o[1:] != o[:-1])
         group = np.cumsum(new_value) - 1
-        owners = np.bincount(group, weights=new_owner).astype(np.int64) if len(v) else np.zeros(0, np.int64)
+        owners = np.bincount(group, weights=new_owner).astype(np.int64)
         often = owners >= OFTEN
-        if often.any() and len(self.known) < REMEMBERED:
-            nth = np.cumsum(new_owner)
-            nth = nth - nth[np.flatnonzero(new_value)][group]  # 0 for rows of a value's first owner
-            spare = (new_owner & (nth <= 1))  # a row each of the first two owners
+        nth = np.cumsum(new_owner)
+        nth = nth - nth[np.flatnonzero(new_value)][group]  # 0 for rows of a value's first owner
+        spare = new_owner & (nth <= 1)  # a row each of the first two owners
+        if len(self.known) < REMEMBERED:
             sure[at[often[group] & ~spare]] = True
-            self.known = np.union1d(self.known, v[new_value][often])
+            more = self.counted(v[new_value], owners) >= OVER_TIME
+            if (often | more).any():
+                self.known = np.union1d(self.known, v[new_value][often | more])
         return sure

@@ -105,8 +105,10 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mix_sized(d: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """d (from ``sized``) with source_size, target, copies and taken (copies times size)."""
-    rows = in_order(d.withColumn("_source", F.col(source)).withColumn("_key", F.col(key)), F.col("_source"), F.col("size"), F.col("_key").asc_nulls_first(), F.col("_tie"))
+    """d (from ``sized``) with source_size, target, copies and taken (copies times size); its own columns pass through as one, so their names are free."""
+    own = F.struct(*[F.col(f"`{c}`") for c in d.columns if c != "_tie"])
+    narrow = d.select(own.alias("_own"), F.col(f"`{source}`").alias("_source"), F.col(f"`{key}`").alias("_key"), "size", "_tie")
+    rows = in_order(narrow, F.col("_source"), F.col("size"), F.col("_key").asc_nulls_first(), F.col("_tie"))
     parts = stored(rows.groupBy(F.col("_source").alias("source"), "_part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("_place").alias("first")), "parts")
     targets = source_targets(parts.select("source", "size", F.lit(1).alias("n")))
     ahead = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,7 +120,7 @@ def mix_sized(d: DataFrame, key: str = "doc_id", source: str = "source") -> Data
     r = r.withColumn("_rank", F.col("_place") + F.col("_shift")).withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     copies = F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_offset"))
     r = r.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return r.select(*[F.col(f"`{c}`") for c in d.columns if c != "_tie"], "source_size", "target", "copies", "taken")
+    return r.select("_own.*", "source_size", "target", "copies", "taken")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -127,18 +129,19 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns.
+    """The mix itself: each document as often as it is taken, with its own columns, whatever their names.
 
     Copies are counted on keys and sizes alone; whole rows are shuffled once.  Rows that agree in all columns
     are interchangeable, and taken together as often as each of them is; other rows are told apart."""
-    numbered = docs.select("*", *identity(docs))
-    narrow = numbered.select(*IDENTITY, F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_tie"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = docs.select(F.struct(*columns).alias("_own"), *identity(docs), F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"))
+    narrow = numbered.drop("_own")
     copies = mix_sized(stored(narrow, "sizes"), "key", "source").groupBy(*IDENTITY).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    taken = stored(numbered.dropDuplicates(list(IDENTITY)).join(copies, list(IDENTITY)).withColumn("_parts", F.ceil(F.col("_copies") / COPIES_AT_ONCE)), "taken")
+    whole = numbered.select("_own", *IDENTITY).dropDuplicates(list(IDENTITY))
+    taken = stored(whole.join(copies, list(IDENTITY)).withColumn("_parts", F.ceil(F.col("_copies") / COPIES_AT_ONCE)), "taken")
     each = F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES_AT_ONCE), F.col("_copies") - (F.col("_nth") - 1) * COPIES_AT_ONCE).cast("int")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = taken.filter("_parts = 1").withColumn("_nth", F.lit(1)).withColumn("_copy", each).select(*columns)
+    once = taken.filter("_parts = 1").withColumn("_nth", F.lit(1)).withColumn("_copy", each).select("_own.*")
     if not taken.filter("_parts > 1").limit(1).count():
         return once
     often = taken.filter("_parts > 1").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_parts").cast("int")))).repartition(*IDENTITY, "_nth")
-    return once.unionByName(often.withColumn("_copy", each).select(*columns))
+    return once.unionByName(often.withColumn("_copy", each).select("_own.*"))

@@ -37,6 +37,8 @@ SLICE = 1_000
 #: Chunks in a generation of a worker's dictionary, and bits of its slots (14 bytes each).
 ENTRIES, SLOT_BITS = 330_000, 19
 _SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
+#: Seed of the second hash, which tells chunks of equal first hashes apart.
+CHECK_SEED = 0x5851F42D4C957F2D
 #: Chunks that are encoded at once.
 CHUNKS_AT_ONCE = 10_000
 
@@ -75,6 +77,7 @@ class ChunkTable:
         self.keys = np.zeros(1 << SLOT_BITS, np.uint64)  # 0: free
         self.at = np.zeros(1 << SLOT_BITS, np.int32)
         self.size = np.zeros(1 << SLOT_BITS, np.int32)
+        self.check = np.zeros(1 << SLOT_BITS, np.uint32)
         self.ids = np.zeros(1 << 16, id_type)
         self.entries = self.used = 0
 
@@ -91,8 +94,8 @@ class ChunkTable:
             open_ = open_[(there != keys[open_]) & (there != 0)]
         return slot
 
-    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        """Puts in distinct keys that aren't here, with their ids one after another."""
+    def add(self, keys: np.ndarray, checks: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Puts in distinct keys that aren't here, with their checks and with their ids one after another."""
         ends = self.used + np.cumsum(sizes)
         need = int(ends[-1]) if len(ends) else 0
         if need > len(self.ids):
@@ -102,7 +105,7 @@ class ChunkTable:
         while len(left):
             free = left[self.keys[slot[left]] == 0]
             mine = free[np.unique(slot[free], return_index=True)[1]]  # of keys that want one slot the first gets it
-            self.keys[slot[mine]], self.at[slot[mine]], self.size[slot[mine]] = keys[mine], (ends - sizes)[mine], sizes[mine]
+            self.keys[slot[mine]], self.check[slot[mine]], self.at[slot[mine]], self.size[slot[mine]] = keys[mine], checks[mine], (ends - sizes)[mine], sizes[mine]
             left = left[self.keys[slot[left]] != keys[left]]
             slot[left] = (slot[left] + 1) & int(_SLOT_MASK)
         self.entries, self.used = self.entries + len(keys), self.used + len(flat)
@@ -136,8 +139,8 @@ class ChunkEncoder:
             flat.append(np.fromiter(chain.from_iterable(ids), self.id_type, int(sizes[-1].sum())))
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The slot of each chunk in the young generation, into which missing ones are put."""
+    def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The slot of each chunk's key in the young generation, into which missing ones are put."""
         slot = self.young.find(keys)
         missing = np.flatnonzero(slot < 0)
         if not len(missing):
@@ -145,35 +148,50 @@ class ChunkEncoder:
         new, first = np.unique(keys[missing], return_index=True)
         if self.young.entries + len(new) > ENTRIES:
             self.young, self.old = ChunkTable(self.id_type), self.young
-            return self.slots(data, starts, ends, keys)
+            return self.slots(data, starts, ends, keys, checks)
         before = self.old.find(new)
         known = before >= 0
-        self.young.add(new[known], *self.old.of(before[known]))
+        self.young.add(new[known], self.old.check[before[known]], *self.old.of(before[known]))
         at = missing[first[~known]]
-        raw = data.tobytes()
-        chunks = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        self.young.add(new[~known], *self.encode_chunks(chunks))
+        self.young.add(new[~known], checks[at], *self.encode_chunks(self.chunks(data, starts[at], ends[at])))
         slot[missing] = self.young.find(keys[missing])
         return slot
 
+    @staticmethod
+    def chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+        raw = data.tobytes()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
     def encode(self, texts: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order with end_id after each text, and how many each text has."""
         starts = chunk_starts(texts)
         counts, owner = texts.per_text(starts)
         ends = np.append(starts[1:], len(texts.data))[: len(starts)]
         keys = np.maximum(span_hashes(texts.data, starts, ends), 1)
+        checks = (ends - starts).astype(np.uint32)  # keys of short chunks of one length differ
+        long = np.flatnonzero(ends - starts > 8)
+        checks[long] = span_hashes(texts.data, starts[long], ends[long], CHECK_SEED) >> np.uint64(32)
         total = np.zeros(len(texts), np.int64)
         parts = [np.zeros(0, np.uint32)]
         for i in range(0, len(keys), ENTRIES // 2):  # a very long text has more chunks than a generation
             j = i + ENTRIES // 2
-            ids, sizes = self.young_ids(texts.data, starts[i:j], ends[i:j], keys[i:j])
+            ids, sizes = self.young_ids(texts.data, starts[i:j], ends[i:j], keys[i:j], checks[i:j])
             parts.append(ids.astype(np.uint32))
             total += np.bincount(owner[i:j], weights=sizes, minlength=len(texts)).astype(np.int64)
         return np.insert(np.concatenate(parts), np.cumsum(total), end_id), total + 1
 
-    def young_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = self.slots(data, starts, ends, keys)
-        return self.young.of(slot)
+    def young_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks and how many each has; where the key is another chunk's, as the check tells, the chunk is encoded by itself."""
+        slot = self.slots(data, starts, ends, keys, checks)
+        ids, sizes = self.young.of(slot)
+        unlike = np.flatnonzero(self.young.check[slot] != checks)
+        if not len(unlike):
+            return ids, sizes
+        own, own_sizes = self.encode_chunks(self.chunks(data, starts[unlike], ends[unlike]))
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for k, part in zip(unlike.tolist(), np.split(own, np.cumsum(own_sizes)[:-1]), strict=True):
+            parts[k] = part
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

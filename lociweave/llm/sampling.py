@@ -14,8 +14,10 @@ def remainder(key: Column, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, label) of at most ``most`` labelled rows outside the held-out fold, the first by a hash of the key.
 
-    The bound is what lets the labels be broadcast; rows without label or key don't count."""
+    The bound on keys is what lets the labels be broadcast, the one on rows what lets them be collected where a key
+    is repeated; rows without label or key don't count.  Other columns of docs don't matter."""
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).filter("_key is not null and label in (0, 1)")
     known = known.filter(remainder(F.col("_key"), folds) != held_out).groupBy("_key").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("_key"), "_key").limit(most)
-    return docs.join(F.broadcast(known), F.col(key) == F.col("_key")).select(F.col(key).alias("key"), F.col(text).alias("text"), "label")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), F.col("key") == F.col("_key")).drop("_key")
+    return rows.orderBy(F.xxhash64("key"), "key", F.xxhash64("text")).limit(most)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .kernels import Shared, Words, blocks, column_texts, mix, powers
+from .kernels import Shared, Words, blocks, column_texts, summed_hashes
 from .store import BROADCAST_KEYS, having, stored
 
 WINDOW, ANCHOR = 13, 4
@@ -193,19 +193,10 @@ def anchored(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray
     return h[place[start]], at[good[start]], np.diff(np.append(start, len(good)))
 
 
-def sequence_hashes(w: Words, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the words of each span."""
-    up, down = powers(max(len(w) + 1, 1 << 16))
-    total = np.zeros(len(w) + 1, np.uint64)
-    np.cumsum(w.hashes * up[: len(w)], out=total[1:])
-    return mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
-
-
-def class_codes(w: Words) -> np.ndarray:
-    """64 bits of a digest of the word sequence of each text."""
+def class_codes(w: Words) -> list[bytes]:
+    """128 bits of a digest of the word sequence of each text."""
     raw, ends = w.hashes.tobytes(), np.cumsum(w.counts).tolist()
-    code = [int.from_bytes(hashlib.blake2b(raw[8 * (e - n) : 8 * e], digest_size=8).digest(), "little", signed=True) for n, e in zip(w.counts.tolist(), ends, strict=True)]
-    return np.array(code, np.int64)
+    return [hashlib.blake2b(raw[8 * (e - n) : 8 * e], digest_size=16).digest() for n, e in zip(w.counts.tolist(), ends, strict=True)]
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -215,9 +206,9 @@ def classes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i, j, texts in blocks(column_texts(batch.column(1))):
                 w = texts.words()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(class_codes(w)), pa.array(w.counts.astype(np.int64))], ["key", "class", "n_words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(class_codes(w), pa.binary()), pa.array(w.counts.astype(np.int64))], ["key", "class", "n_words"])
 
-    return docs.mapInArrow(run, "key long, class long, n_words long")
+    return docs.mapInArrow(run, "key long, class binary, n_words long")
 
 
 def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -226,14 +217,14 @@ def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     sure: this task has met other classes with the anchor, and given two of them without the mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         shared = Shared()
         for batch in batches:
             for _, _, texts in blocks(column_texts(batch.column(1))):
                 w = texts.words()
                 code = class_codes(w)
                 fresh = np.zeros(len(code), bool)
-                for k, c in enumerate(code.tolist()):
+                for k, c in enumerate(code):
                     fresh[k] = c not in seen
                     seen.add(c)
                 h, first, count = anchored(w, window, anchor)
@@ -242,9 +233,9 @@ def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 h, first, count, owner = h[keep], first[keep], count[keep], owner[keep]
                 base = np.cumsum(w.counts) - w.counts
                 sure = shared.marks(h, owner)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code[owner]), pa.array(((first - base[owner]) << 8) | count), pa.array(sure)], ["anchor", "class", "place", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code, pa.binary()).take(pa.array(owner)), pa.array(((first - base[owner]) << 8) | count), pa.array(sure)], ["anchor", "class", "place", "sure"])
 
-    return docs.filter("key is not null").mapInArrow(run, "anchor long, class long, place long, sure boolean")
+    return docs.filter("key is not null").mapInArrow(run, "anchor long, class binary, place long, sure boolean")
 
 
 _CUT = "anchor long, segment long, low long, first int, words array<long>"
@@ -266,8 +257,9 @@ def cut(spans: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                 first, n = base[owner] + (p >> 8), (p & 255) + window - 1
                 offsets = np.append(0, np.cumsum(n))
                 at = np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])
+                words = w.hashes[at]
                 low = batch.column(0).slice(i, j - i).to_numpy()[owner]
-                yield pa.RecordBatch.from_arrays([flat.field(0), pa.array(sequence_hashes(w, first, n).view(np.int64)), pa.array(low), pa.array((p >> 8).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(w.hashes[at].view(np.int64)))], ["anchor", "segment", "low", "first", "words"])
+                yield pa.RecordBatch.from_arrays([flat.field(0), pa.array(summed_hashes(words, n).view(np.int64)), pa.array(low), pa.array((p >> 8).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words.view(np.int64)))], ["anchor", "segment", "low", "first", "words"])
 
     return docs.join(spans, "key").dropDuplicates(["key"]).select("key", "text", "spans").mapInArrow(run, _CUT)
 
@@ -379,10 +371,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     lows = search_shards(plain.withColumn("route", F.col("anchor")), _shards(plain), window)
     if hot.limit(1).count():
         single = per_anchor.join(hot, "anchor").select("anchor", "segment", "low", F.posexplode(F.expr(f"transform(sequence(1, size(words) - {window - 1}), i -> slice(words, i, {window}))")).alias("at", "words"))
-        single = single.withColumn("route", F.xxhash64("words"))
-        once = stored(single.groupBy("route").agg(F.min("low").alias("low"), F.first("words").alias("words")).withColumn("anchor", F.lit(0).cast("long")).withColumn("segment", F.col("route")).withColumn("at", F.lit(0)), "windows")
-        best = search_shards(once, _shards(once), window).select(F.col("segment").alias("route"), "lows")
-        lows = lows.unionByName(single.select("anchor", "segment", "at", "route").join(best, "route").select("anchor", "segment", "at", "lows"))
+        single = single.withColumn("route", F.xxhash64("words")).withColumn("more", F.xxhash64(F.lit(1), "words"))
+        once = single.groupBy("route", "more").agg(F.min("low").alias("low"), F.first("words").alias("words"))
+        once = stored(once.select("route", F.col("more").alias("anchor"), F.col("route").alias("segment"), F.lit(0).alias("at"), "low", "words"), "windows")
+        best = search_shards(once, _shards(once), window).select(F.col("segment").alias("route"), F.col("anchor").alias("more"), "lows")
+        lows = lows.unionByName(single.select("anchor", "segment", "at", "route", "more").join(best, ["route", "more"]).select("anchor", "segment", "at", "lows"))
     lows = stored(lows, "lows")
     places = cuts.select("anchor", "segment", F.col("low").alias("key"), "first").join(lows, ["anchor", "segment"])
     gone = F.filter(F.transform("lows", lambda x, i: F.when(x < F.col("key"), F.col("first") + F.col("at") + i)), lambda x: x.isNotNull())
