@@ -49,4 +49,12 @@ k as (select ws.doc_id, ws.i, ws.word, g.i is not null as removed from ws left j
 a as (select doc_id, count(*) as n_words, count(*) filter (where removed) as n_removed, string_agg(word, ' ' order by i) filter (where not removed) as kept from k group by doc_id)
 select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join a using (doc_id)"""
 
-ORACLE_SQL = {"op3_jaccard_join": JACCARD, "op4_chat_formatting": CHAT, "op7_source_mixing": MIXING, "op10_substring_dedup": SUBSTRINGS}
+NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, a.label = b.label as same, b.vec_id as b, cast(list_inner_product(a.q, b.q) as bigint) as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b as p, score as ps from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+n as (select p.a, p.p, p.ps, s.b, s.score, row_number() over (partition by p.a, p.p order by s.score desc, s.b) as rank
+  from p join s on s.a = p.a and not s.same and 50 * p.ps <= 100 * s.score and 100 * s.score <= 95 * p.ps)
+select a as anchor_id, p as positive_id, cast(rank as integer) as rank, b as negative_id, ps as positive_score, score as negative_score from n where rank <= 3"""
+
+ORACLE_SQL = {"op11_hard_negatives": NEGATIVES, "op3_jaccard_join": JACCARD, "op4_chat_formatting": CHAT, "op7_source_mixing": MIXING, "op10_substring_dedup": SUBSTRINGS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, media, mixing, nbsvm, packing, rules, secrets, substrings, toxicity
+from . import chat, jaccard, media, mixing, nbsvm, negatives, packing, rules, secrets, substrings, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .store import small_batches, stored
 
@@ -67,6 +67,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 _ALL = (
     op1_media_columns,
     op2_toxicity,
@@ -78,5 +82,6 @@ _ALL = (
     op8_best_fit_packing,
     op9_secret_scan,
     op10_substring_dedup,
+    op11_hard_negatives,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
