@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, jaccard, media, mixing, nbsvm, negatives, packing, rules, secrets, substrings, toxicity
+from . import alignment, chat, extraction, jaccard, media, mixing, nbsvm, negatives, packing, rules, secrets, substrings, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .store import small_batches, stored
 
@@ -71,6 +71,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -87,6 +91,7 @@ _ALL = (
     op9_secret_scan,
     op10_substring_dedup,
     op11_hard_negatives,
+    op12_tokenizer_alignment,
     op13_html_extraction,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
