@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,71 +53,226 @@ class Support:
         return sum(s[0] for s in self.by.values()) - self.by[self.dominant()][0]
 
 
-def _summed(rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows, one after another and with their rounding errors carried along, as Python's sum does."""
-    total, lost = np.zeros(rows.shape[1]), np.zeros(rows.shape[1])
-    for x in rows:
-        new = total + x
-        lost += np.where(np.abs(total) >= np.abs(x), (total - new) + x, (x - new) + total)
-        total = new
-    return total + lost
+#: Costs are first compared in whole millionths of a base.
+UNIT = 1_000_000
 
 
-def best_cuts(blocks: list, penalty: float) -> list[tuple[int, int]]:
-    """Runs [start, end) of blocks with the least discordant weight plus penalty for each cut.
+def _whole(x: float) -> int:
+    return round(min(x * UNIT, 1e18))
 
-    Ties go to fewer cuts, then to the earliest start.  From each start the supports of all ends are prefix
-    sums by signature; a start that costs more than the best cuts known for the whole is passed over, so the
-    work grows with the square of the number of blocks only where cuts pay."""
-    n = len(blocks)
-    codes: dict[tuple[str, str], int] = {}
-    signature = np.array([codes.setdefault((b.ref, b.orientation), len(codes)) for b in blocks])
-    weight = np.zeros((len(codes), n))
-    weight[signature, np.arange(n)] = [b.identity_bp / 100.0 for b in blocks]
-    cost, cuts, came = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    cost[0] = 0.0
-    for start in range(n):
-        extra = penalty if start else 0.0
-        if start and cost[start] + extra > cost[n]:
-            continue
-        seen, first = np.unique(signature[start:], return_index=True)
-        support = np.cumsum(weight[seen[np.argsort(first)], start:], axis=1)
-        total = cost[start] + (_summed(support) - support.max(axis=0)) + extra
-        count = cuts[start] + (1 if start else 0)
-        better = start + 1 + np.flatnonzero((total < cost[start + 1 :]) | ((total == cost[start + 1 :]) & (count < cuts[start + 1 :])))
-        cost[better], cuts[better], came[better] = total[better - start - 1], count, start
-    runs, end = [], n
+
+class Level:
+    """Signatures that stand alike: what the best segmentation costs if one of them is the last run's dominant one, and where that run may start."""
+
+    __slots__ = ("cost", "starts", "members", "into")
+
+    def __init__(self, cost: int, starts: list[int], members: int):
+        self.cost, self.starts, self.members = cost, starts, members
+        self.into: Level | None = None
+
+    def now(self) -> Level:
+        """The level that this one has been merged into."""
+        level = self
+        while level.into is not None:
+            level = level.into
+        if self.into is not None and self.into is not level:
+            self.into = level
+        return level
+
+
+class Weights:
+    """Weight of each signature from a start on, added block by block."""
+
+    __slots__ = ("place", "sums", "levels")
+
+    def __init__(self) -> None:
+        self.place: dict[int, int] = {}
+        self.sums: list[float] = []
+        self.levels = 0  # that hold the start
+
+    def add(self, signature: int, weight: float) -> None:
+        k = self.place.get(signature)
+        if k is None:
+            self.place[signature] = len(self.sums)
+            self.sums.append(0.0 + weight)
+        else:
+            self.sums[k] += weight
+
+    def discordant(self) -> float:
+        return sum(self.sums) - max(self.sums)
+
+
+class RunningCuts:
+    """Runs of blocks with the least discordant weight plus a penalty for each cut, block by block.
+
+    A run costs its weight less its heaviest signature's, so the best cost at an end is the least, over signatures,
+    of what it costs if that one is the last run's.  A block adds its weight to all of these but its own signature's,
+    and none is ever more than the best with a new cut.  So levels are kept in order of cost, less the weight of all
+    blocks; a block moves its signature to a level of its own, and the levels above the best with a new cut become
+    one.  A block adds two levels at most, and merging takes away what was added before.
+
+    Whole numbers tell which starts come into question; of starts that cost the same but for rounding, decimals added
+    up in the blocks' order decide, then fewer cuts, then the earliest start."""
+
+    def __init__(self, penalty: float, slack: int):
+        self.penalty, self.whole_penalty, self.slack = penalty, _whole(penalty), slack
+        self.rest = Level(0, [0], 1)  # of all signatures that haven't come
+        self.levels, self.of = [self.rest], {}
+        self.came, self.cuts, self.cost = [0], [0], [0.0]
+        self.weights = {0: Weights()}
+        self.weights[0].levels = 1
+
+    def _hold(self, level: Level, start: int) -> None:
+        level.starts.append(start)
+        self.weights.setdefault(start, Weights()).levels += 1
+
+    def _drop(self, level: Level) -> None:
+        for s in level.starts:
+            w = self.weights[s]
+            w.levels -= 1
+            if not w.levels:
+                del self.weights[s]
+
+    def add(self, signature: int, weight: float) -> None:
+        whole = _whole(weight)
+        for w in self.weights.values():
+            w.add(signature, weight)
+        before = self.of.get(signature, self.rest).now()
+        own = Level(before.cost - whole, list(before.starts), 1)
+        for s in own.starts:
+            self.weights[s].levels += 1
+        if signature in self.of:
+            before.members -= 1
+            if not before.members:
+                self.levels.remove(before)
+                self._drop(before)
+        self.of[signature] = own
+        insort(self.levels, own, key=lambda x: x.cost)
+        end = len(self.came)
+        least = self.levels[0].cost
+        best = None
+        near = [x for x in takewhile(lambda x: x.cost <= least + self.slack, self.levels)]
+        for start in near[0].starts if len(near) == 1 else sorted({s for x in near for s in x.starts}):
+            found = (self.cost[start] + self.weights[start].discordant() + (self.penalty if start else 0.0), self.cuts[start] + (1 if start else 0), start)
+            if best is None or found < best:
+                best = found
+        self.cost.append(best[0])
+        self.cuts.append(best[1])
+        self.came.append(best[2])
+        limit = least + self.whole_penalty
+        merged = None
+        while self.levels and self.levels[-1].cost > limit + self.slack:
+            level = self.levels.pop()
+            merged = merged or Level(limit, [], 0)
+            merged.members += level.members
+            level.into = merged
+            self._drop(level)
+        for level in reversed(self.levels):
+            if level.cost < limit - self.slack:
+                break
+            self._hold(level, end)
+        if merged is not None:
+            self._hold(merged, end)
+            insort(self.levels, merged, key=lambda x: x.cost)
+
+
+def least_cuts(signature: list[int], weight: list[float], penalty: float) -> np.ndarray:
+    """For each end of a run of blocks where the last run of its best segmentation starts (index 0 is unused)."""
+    # what the rounding of weights to whole numbers comes to at most, and that of sums with all likelihood
+    slack = len(weight) + 2 + _whole(sum(weight) * (len(weight) ** 0.5 + 16) * 2.0**-51)
+    cuts = RunningCuts(penalty, slack)
+    for h, w in zip(signature, weight, strict=True):
+        cuts.add(h, w)
+    return np.array(cuts.came)
+
+
+def runs_of(came: np.ndarray) -> list[tuple[int, int]]:
+    """The runs [start, end) of the whole's best segmentation."""
+    runs, end = [], len(came) - 1
     while end:
         runs.append((int(came[end]), end))
         end = int(came[end])
     return runs[::-1]
 
 
-def group_rows(contig: str, blocks: list, runs: list[tuple[int, int]]) -> list[tuple]:
-    """A row of schemas.GROUPS for each run: ranges over all its blocks, support of its dominant signature."""
-    out = []
-    for part, (a, z) in enumerate(runs):
-        support = Support()
-        for b in blocks[a:z]:
-            support.add(b)
-        ref, strand = support.dominant()
-        _, aligned, identity, _ = support.by[ref, strand]
-        changes = sum((x.ref, x.orientation) != (y.ref, y.orientation) for x, y in zip(blocks[a : z - 1], blocks[a + 1 : z], strict=True))
-        out.append((contig, part, ref, strand, min(b.query_start for b in blocks[a:z]), max(b.query_end for b in blocks[a:z]), aligned, identity, sum(int(b.segment_count) for b in blocks[a:z]), blocks[a].query_start, blocks[z - 1].query_end, z - a, support.discordant(), changes))
-    return out
-
-
+def best_cuts(blocks: list, penalty: float) -> list[tuple[int, int]]:
+    """Runs [start, end) of blocks with the least discordant weight plus penalty for each cut."""
+    codes: dict[tuple[str, str], int] = {}
+    signature = [codes.setdefault((b.ref, b.orientation), len(codes)) for b in blocks]
+    return runs_of(least_cuts(signature, [b.identity_bp / 100.0 for b in blocks], penalty))
+
+
+class ContigBlocks:
+    """The blocks of one contig, as they come: a few numbers each."""
+
+    def __init__(self, contig: str):
+        self.contig = contig
+        self.codes: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        refs, strands = batch.column("ref").to_pylist(), batch.column("orientation").to_pylist()
+        signature = np.array([self.codes.setdefault(k, len(self.codes)) for k in zip(refs, strands, strict=True)], np.int64)
+        self.parts.append((signature, *(batch.column(c).to_numpy(zero_copy_only=False) for c in _NUMBERS)))
+
+    def groups(self, penalty: float) -> pa.RecordBatch:
+        """A row of schemas.GROUPS for each run: ranges over all its blocks, support of its dominant signature."""
+        signature, start, end, aligned, identity, segments = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        edges = runs_of(least_cuts(signature.tolist(), (identity / 100.0).tolist(), penalty))
+        first = np.array([a for a, _ in edges])
+        run = np.repeat(np.arange(len(edges)), [z - a for a, z in edges])
+        # supports of each run's signatures, in the order in which they come; sums go from block to block
+        key = run * len(self.codes) + signature
+        seen, at, of = np.unique(key, return_index=True, return_inverse=True)
+        weighted, identities, bases = (np.bincount(of, weights=x, minlength=len(seen)) for x in (identity / 100.0, identity, aligned))
+        order = np.argsort(at, kind="stable")
+        owner = run[at[order]]
+        bounds = np.append(np.searchsorted(owner, np.arange(len(edges))), len(owner)).tolist()
+        names = list(self.codes)
+        changed = np.append(False, (signature[1:] != signature[:-1]) & (run[1:] == run[:-1]))
+        changes = np.add.reduceat(changed.astype(np.int64), first)
+        low, high, count = np.minimum.reduceat(start, first), np.maximum.reduceat(end, first), np.add.reduceat(segments, first)
+        rows = []
+        for part, (a, z) in enumerate(edges):
+            mine = order[bounds[part] : bounds[part + 1]].tolist()
+            top = max(mine, key=lambda k: (weighted[k], bases[k], -at[k]))
+            ref, strand = names[int(seen[top]) % len(self.codes)]
+            discordant = sum(float(weighted[k]) for k in mine) - float(weighted[top])
+            rows.append((self.contig, part, ref, strand, int(low[part]), int(high[part]), int(bases[top]), float(identities[top]), int(count[part]), int(start[a]), int(end[z - 1]), z - a, discordant, int(changes[part])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _GROUP_TYPES, strict=True)], _GROUP_NAMES)
+
+
+_NUMBERS = ("query_start", "query_end", "aligned_bp", "identity_bp", "segment_count")
 _GROUP_NAMES = [x.split()[0] for x in schemas.GROUPS.split(", ")]
+_GROUP_TYPES = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}.get(x.split()[1], pa.int64()) for x in schemas.GROUPS.split(", ")]
 
 
 def segment_groups(blocks: DataFrame, penalty: float) -> DataFrame:
-    """Groups (schemas.GROUPS) of each contig's blocks; one contig's blocks are one task's work, as each depends on all."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = list(frame.sort_values("block_no").itertuples(index=False))
-        return pd.DataFrame(group_rows(rows[0].contig, rows, best_cuts(rows, penalty)), columns=_GROUP_NAMES)
-
-    return blocks.groupBy("contig").applyInPandas(run, schemas.GROUPS)
+    """Groups (schemas.GROUPS) of each contig's blocks, which are streamed in order.
+
+    Each run depends on all blocks before it, so a contig is one task's work; its steps follow the blocks and the starts
+    that come into question, and it holds a few numbers a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: ContigBlocks | None = None
+        for batch in batches:
+            names = batch.column("contig").to_pylist()
+            a = 0
+            while a < len(names):
+                z = a + 1
+                while z < len(names) and names[z] == names[a]:
+                    z += 1
+                if held is None or held.contig != names[a]:
+                    if held is not None:
+                        yield held.groups(penalty)
+                    held = ContigBlocks(names[a])
+                held.add(batch.slice(a, z - a))
+                a = z
+        if held is not None:
+            yield held.groups(penalty)
+
+    rows = blocks.repartition("contig").sortWithinPartitions("contig", "block_no")
+    return rows.select("contig", "ref", "orientation", *_NUMBERS).mapInArrow(run, schemas.GROUPS)
 
 
 def direct_groups(blocks: DataFrame) -> DataFrame:

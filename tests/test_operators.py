@@ -92,6 +92,71 @@ def test_best_cuts_against_all_segmentations():
         assert (cost(bs, got, penalty), len(got)) == min(every)
 
 
+def quadratic_cuts(bs, penalty):
+    """Best cuts by trying every start for every end, in plain decimals; ties go to fewer cuts, then to the earliest start."""
+    best = [(0.0, 0, None)]
+    for end in range(1, len(bs) + 1):
+        found = None
+        for start in range(end):
+            s = segment.Support()
+            for b in bs[start:end]:
+                s.add(b)
+            c = (best[start][0] + s.discordant() + (penalty if start else 0.0), best[start][1] + (1 if start else 0), start)
+            found = c if found is None or c[:2] < found[:2] else found
+        best.append(found)
+    runs, end = [], len(bs)
+    while end:
+        runs.append((best[end][2], end))
+        end = best[end][2]
+    return runs[::-1]
+
+
+def test_running_cuts_equal_the_quadratic_search():
+    rng = random.Random(11)
+    for k in range(240):
+        idy = (lambda: 100.0) if k % 3 == 0 else (lambda: rng.choice((97.0, 99.0, 99.5))) if k % 3 == 1 else (lambda: round(rng.uniform(80, 100), 2))
+        bp = (lambda: rng.randint(1, 9)) if k % 3 == 0 else (lambda: rng.randint(10_000, 90_000))
+        bs = [block(rng.choice("abcdefgh"[: 1 + k % 8]), rng.choice("+-"), bp(), idy()) for _ in range(rng.randint(1, 40))]
+        penalty = rng.choice((0.0, 1.0, 3.0, 6.0)) if k % 3 == 0 else rng.choice((20_000.0, 50_000.0, 120_000.0))
+        assert segment.best_cuts(bs, penalty) == quadratic_cuts(bs, penalty)
+
+
+def test_cuts_of_a_long_contig_take_linear_time():
+    rng = random.Random(12)
+    n = 100_000
+    signatures, weights = [rng.randrange(4) for _ in range(n)], [rng.randint(1000, 90_000) * 0.99 for _ in range(n)]
+    began = time.process_time()
+    came = segment.least_cuts(signatures, weights, 50_000.0)
+    assert len(came) == n + 1 and time.process_time() - began < 20
+    assert sum(z - a for a, z in segment.runs_of(came)) == n
+
+
+def test_groups_of_streamed_contigs(spark):
+    """Contigs over several batches and partitions, against the groups of plain runs."""
+    rng = random.Random(13)
+    rows, want = [], []
+    for c in range(7):
+        bs = [SimpleNamespace(contig=f"c{c}", ref=rng.choice("ab"), orientation=rng.choice("+-"), query_start=100 * k, query_end=100 * k + rng.randint(50, 200), aligned_bp=rng.randint(1, 90), identity_bp=97.5 * rng.randint(1, 90), segment_count=rng.randint(1, 3)) for k in range(rng.randint(1, 60))]
+        rows += [(b.contig, k, b.ref, b.orientation, b.query_start, b.query_end, b.aligned_bp, b.identity_bp, b.segment_count) for k, b in enumerate(bs)]
+        for part, (a, z) in enumerate(quadratic_cuts(bs, 30.0)):
+            s = segment.Support()
+            for b in bs[a:z]:
+                s.add(b)
+            top = s.dominant()
+            changes = sum((x.ref, x.orientation) != (y.ref, y.orientation) for x, y in itertools.pairwise(bs[a:z]))
+            want.append((f"c{c}", part, *top, min(b.query_start for b in bs[a:z]), max(b.query_end for b in bs[a:z]), s.by[top][1], s.by[top][2], sum(b.segment_count for b in bs[a:z]), bs[a].query_start, bs[z - 1].query_end, z - a, s.discordant(), changes))
+    df = spark.createDataFrame(rows, "contig string, block_no int, ref string, orientation string, query_start long, query_end long, aligned_bp long, identity_bp double, segment_count long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (before, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = segment.segment_groups(df.repartition(3), 30.0).collect()
+            assert sorted(tuple(r) for r in got) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert segment.segment_groups(df.limit(0), 30.0).count() == 0
+
+
 def test_claim_takes_what_is_new(spark):
     rows = [("r", 1, "a", 100, [(0, 100)]), ("r", 2, "b", 60, [(50, 110)]), ("r", 3, "c", 40, [(100, 140)]), ("s", 1, "d", 5, [(0, 5)])]
     df = spark.createDataFrame(rows, "ref string, rank int, query string, merged_ref_bp long, ref_intervals array<struct<start:long,end:long>>")
