@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import make_parents, write_text
 from ..functions.sequence import reverse_complement
 from ..operators import assign, metrics
 from ..operators.assign import SortOptions
-from ..sinks import decimals, fasta_text, make_parents, or_dot, write_records, write_table
+from ..sinks import decimals, fasta_lines, or_dot, write_records, write_table
 from ..sources import readers
 
 # The columns of the reports.
@@ -73,23 +73,23 @@ def assignment_report(records: DataFrame, placed: DataFrame) -> DataFrame:
     return records.select("name", F.col("ord").alias("record_ord"), F.col("length").alias("record_length")).join(placed, F.col("name") == F.col("query")).join(other, "overlap_best_contig", "left")
 
 
-def _run_summary(path: Path, args, o: SortOptions, outputs: dict, counts: dict) -> None:
+def _run_summary(spark: SparkSession, path: str, args, o: SortOptions, outputs: dict, counts: dict) -> None:
     lines = ["lociweave sort", "", "Inputs", *(f"{k}\t{getattr(args, k)}" for k in ("ref_fasta", "assembly_fasta", "coords")), "", "Thresholds"]
     lines += [f"{k}\t{getattr(o, k)}" for k in ("min_aligned_bp", "min_query_cov", "min_best_ref_share", "min_segment_idy")]
     lines += [f"overlap_filter_enabled\t{not o.no_overlap_filter}", f"min_novel_ref_bp\t{o.min_novel_ref_bp}", f"min_novel_ref_frac\t{o.min_novel_ref_frac}", f"orient_to_reference\t{o.orient_to_reference}", "", "Outputs", *(f"{k}\t{v}" for k, v in outputs.items()), "", "Summary"]
     lines += [f"reference_sequences\t{counts['refs']}", f"assembly_contigs\t{counts['records']}", f"kept_contigs\t{counts['kept']}", f"discarded_contigs\t{counts['records'] - counts['kept']}", f"coords_rows_skipped_unknown_query\t{counts['skipped']}"]
     lines += [f"status_{s}\t{n}" for s, n in sorted(counts["status"].items())]
-    path.write_text("\n".join([*lines, "", f"Note\t{NOTE}"]) + "\n")
+    write_text(spark, path, "\n".join([*lines, "", f"Note\t{NOTE}"]) + "\n")
 
 
-def run(spark: SparkSession, args) -> dict[str, Path]:
+def run(spark: SparkSession, args) -> dict[str, str]:
     """Reads, assigns and writes everything; args as parsed by the command line."""
     o = SortOptions(**{k: getattr(args, k) for k in SortOptions.__dataclass_fields__})
     prefix = str(args.output_prefix)
-    outputs = {"ordered_fasta": Path(prefix + ".ordered.fa"), "contig_assignments": Path(prefix + ".contig_assignments.tsv"), "contig_ref_matches": Path(prefix + ".contig_ref_matches.tsv"), "chromosome_summary": Path(prefix + ".chromosome_summary.tsv"), "run_summary": Path(prefix + ".run_summary.txt")}
+    outputs = {"ordered_fasta": prefix + ".ordered.fa", "contig_assignments": prefix + ".contig_assignments.tsv", "contig_ref_matches": prefix + ".contig_ref_matches.tsv", "chromosome_summary": prefix + ".chromosome_summary.tsv", "run_summary": prefix + ".run_summary.txt"}
     if args.discarded_fasta:
-        outputs["discarded_fasta"] = Path(args.discarded_fasta)
-    make_parents(outputs.values())
+        outputs["discarded_fasta"] = str(args.discarded_fasta)
+    make_parents(spark, outputs.values())
     ref_records = readers.fasta_lengths(spark, args.ref_fasta, args.ref_fai)
     records = readers.fasta_lengths(spark, args.assembly_fasta, args.assembly_fai)
     refs, contigs = readers.by_name(ref_records), readers.by_name(records)
@@ -102,21 +102,26 @@ def run(spark: SparkSession, args) -> dict[str, Path]:
     write_table(assign.chromosome_summary(placed, ref_records.join(refs.select("name"), "name", "left_semi")), outputs["chromosome_summary"], SUMMARY_COLUMNS, _summary_line, ["ord"], args.parts)
     status = {r["status"]: r["count"] for r in placed.groupBy("status").count().collect()}
     counts = {"status": status, "kept": status.get("kept", 0), "refs": ref_records.count(), "records": records.count(), "skipped": metrics.unknown_query_count(segments, contigs).first()["skipped"]}
-    _run_summary(outputs["run_summary"], args, o, outputs, counts)
+    _run_summary(spark, outputs["run_summary"], args, o, outputs, counts)
     if not args.reports_only:
-        fasta = readers.read_fasta(spark, args.assembly_fasta)
-        kept = readers.fetch(placed.filter("kept"), fasta)
-        seq = F.when(F.col("reverse_complemented"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-        out = ordered_headers(kept, args.simple_headers).select(F.coalesce("ref_ord", F.lit((1 << 63) - 1)).alias("k1"), F.col("best")["ref_start"].alias("k2"), F.col("best")["ref_end"].alias("k3"), "query", fasta_text(F.col("header"), seq).alias("text"))
-        write_records(out, outputs["ordered_fasta"], ["k1", "k2", "k3", "query"], args.parts)
+        keys = ["k1", "k2", "k3", "query"]
+        kept = ordered_headers(placed.filter("kept"), args.simple_headers)
+        kept = kept.select(F.coalesce("ref_ord", F.lit((1 << 63) - 1)).alias("k1"), F.col("best")["ref_start"].alias("k2"), F.col("best")["ref_end"].alias("k3"), "query", "reverse_complemented", "header")
+        pieces = readers.sequences(spark, kept.select(F.col("query").alias("name")), args.assembly_fasta, args.assembly_fai)
+        pieces = pieces.join(kept.drop("header"), F.col("name") == F.col("query"))
+        turned = F.col("reverse_complemented")
+        start = F.when(turned, F.col("length") - F.col("start") - F.length("seq")).otherwise(F.col("start"))
+        pieces = pieces.select(*keys, start.alias("start"), F.when(turned, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+        write_records(fasta_lines(kept, pieces, keys), outputs["ordered_fasta"], [*keys, "line"], args.parts)
         if args.discarded_fasta:
-            lost = readers.fetch(placed.filter("not kept"), fasta)
-            write_records(lost.select("ord", fasta_text(F.concat(F.lit(">"), "query", F.lit(" status="), "status"), F.col("seq")).alias("text")), outputs["discarded_fasta"], ["ord"], args.parts)
-    sys.stderr.write(f"Kept {counts['kept']}/{counts['records']} contigs across {counts['refs']} reference sequences.\n")
-    for s, n in sorted(status.items()):
-        sys.stderr.write(f"  {s}: {n}\n")
-    sys.stderr.write(f"Wrote reports with prefix: {prefix}\n")
-    sys.stderr.write("Skipped FASTA output because --reports-only was set.\n" if args.reports_only else f"Wrote ordered FASTA: {outputs['ordered_fasta']}\n")
+            lost = placed.filter("not kept").select("ord", "query", F.concat(F.lit(">"), "query", F.lit(" status="), "status").alias("header"))
+            pieces = readers.sequences(spark, lost.select(F.col("query").alias("name")), args.assembly_fasta, args.assembly_fai)
+            pieces = pieces.join(lost.select("ord", "query"), F.col("name") == F.col("query")).select("ord", "start", "seq")
+            write_records(fasta_lines(lost, pieces, ["ord"]), outputs["discarded_fasta"], ["ord", "line"], args.parts)
+    said = [f"{counts['kept']} of {counts['records']} contigs found a place on {counts['refs']} references"]
+    said += [f"  {s}: {n}" for s, n in sorted(status.items())] + [f"reports: {prefix}.*"]
+    said.append("no FASTA written, as asked" if args.reports_only else f"ordered contigs: {outputs['ordered_fasta']}")
+    sys.stderr.write("\n".join(said) + "\n")
     m.unpersist()
     placed.unpersist()
     return outputs

@@ -1,23 +1,27 @@
 """Report and FASTA outputs.
 
-A DataFrame of finished records goes to a directory of parts on any file system
-that Spark writes (``parts=True``), straight from the executors, or, as users of
-the command line expect, to one file, streamed partition by partition through
-the driver, never all at once.  Reports are formatted on the executors, in
-Python, whose decimals round as in the formats that users know.
+Finished lines are sorted and written by the executors: to a folder of parts
+(``parts=True``), or to such a folder beside the output, whose parts the file
+system then joins to one file.  No record passes through Python on the driver,
+and none is one value: records come as pieces, which become whole lines.
+Reports are formatted on the executors, in Python, whose decimals round as in
+the formats that users know.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .files import join_parts
 from .functions.sequence import wrapped
 
+WIDTH = 80
+
 
 def decimals(value: float | None, digits: int = 4) -> str:
     return "." if value is None else f"{value:.{digits}f}"
@@ -27,25 +31,44 @@ def or_dot(value) -> str:
     return "." if value is None else str(value)
 
 
-def make_parents(paths: Iterable[str | Path]) -> None:
-    for p in paths:
-        Path(p).parent.mkdir(parents=True, exist_ok=True)
-
-
 def fasta_text(header: Column, seq: Column) -> Column:
     """Header and wrapped sequence, without the last line break."""
     return F.rtrim(F.concat(header, F.lit("\n"), wrapped(seq)), F.lit("\n"))
 
 
-def write_records(records: DataFrame, path: str | Path, order: list[str], parts: bool = False) -> None:
-    """Texts (column text) in order: one file, or a directory of text parts whose names are in order too."""
+def fasta_lines(headers: DataFrame, pieces: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
+    """(keys, line, text) of records, in whole lines; a text may be several lines.
+
+    headers: (keys, header); pieces: (keys, start, seq) in any order and of any length.  A piece's whole lines are
+    wrapped where it is; what it has of its first and last line meets its neighbours' parts by record and line."""
+    n = F.length("seq")
+    first = F.least(F.pmod(-F.col("start"), F.lit(width)), n)
+    lines = F.floor((n - F.col("_first")) / width) * width
+    p = pieces.withColumn("_first", first.cast("int")).withColumn("_lines", lines.cast("int"))
+    part = lambda at, text, whole: F.struct(F.floor((F.col("start") + at) / width).alias("line"), (F.col("start") + at).alias("at"), text.alias("text"), F.lit(whole).alias("whole"))
+    after = F.col("_first") + F.col("_lines")
+    parts = F.array(
+        part(F.lit(0), F.substring("seq", F.lit(1), F.col("_first")), False),
+        part(F.col("_first"), F.rtrim(wrapped(F.substring("seq", F.col("_first") + 1, F.col("_lines"))), F.lit("\n")), True),
+        part(after, F.substring("seq", after + 1, n - after), False),
+    )
+    p = p.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.*").filter("text != ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    ends = p.filter(~F.col("whole")).groupBy(*keys, "line").agg(joined.alias("text"))
+    heads = headers.select(*keys, F.lit(-1).cast("bigint").alias("line"), F.col("header").alias("text"))
+    return heads.unionByName(ends).unionByName(p.filter("whole").select(*keys, "line", "text"))
+
+
+def write_records(records: DataFrame, path: str, order: list[str], parts: bool = False) -> None:
+    """Texts (column text) in order: one file, or a folder of text parts whose names are in order too."""
+    path = str(path)
     ordered = records.orderBy(*order).select("text")
     if parts:
-        ordered.write.mode("overwrite").text(str(path))
+        ordered.write.mode("overwrite").text(path)
         return
-    with open(path, "w") as out:
-        for row in ordered.toLocalIterator():
-            out.write(row[0] + "\n")
+    folder = f"{path}.{uuid.uuid4().hex}.parts"
+    ordered.write.text(folder)
+    join_parts(records.sparkSession, folder, path)
 
 
 def formatted(rows: DataFrame, names: list[str], line: Callable, order: list[str] = ()) -> DataFrame:
@@ -63,13 +86,13 @@ def formatted(rows: DataFrame, names: list[str], line: Callable, order: list[str
     return keyed.mapInArrow(run, schema)
 
 
-def write_table(rows: DataFrame, path: str | Path, names: list[str], line: Callable, order: list[str], parts: bool = False) -> None:
+def write_table(rows: DataFrame, path: str, names: list[str], line: Callable, order: list[str], parts: bool = False) -> None:
     """A TSV with a header (with parts: in each part)."""
-    report = formatted(rows, names, line, order).orderBy(*[f"_{k}" for k in range(len(order))]).select(*names)
+    keys = [f"_{k}" for k in range(len(order))]
+    report = formatted(rows, names, line, order)
     if parts:
-        report.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(str(path))
+        report.orderBy(*keys).select(*names).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(str(path))
         return
-    with open(path, "w") as out:
-        out.write("\t".join(names) + "\n")
-        for row in report.toLocalIterator():
-            out.write("\t".join(row) + "\n")
+    head = rows.sparkSession.createDataFrame([("\t".join(names),)], "text string").select(F.lit(0).alias("_head"), *[F.lit(None).cast(report.schema[k].dataType).alias(k) for k in keys], "text")
+    body = report.select(F.lit(1).alias("_head"), *keys, F.concat_ws("\t", *[F.col(f"`{n}`") for n in names]).alias("text"))
+    write_records(head.unionByName(body), path, ["_head", *keys])

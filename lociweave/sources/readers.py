@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..files import exists
 from ..functions.sequence import orientation
+from . import chunked
 
 _INT = r"^[+-]?\d+(_\d+)*$"
 _FLOAT = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?|nan|inf|infinity)$"
@@ -16,14 +18,30 @@ def lenient_int(token: Column) -> Column:
     return F.when(token.rlike(_INT), F.replace(token, F.lit("_"), F.lit("")).try_cast("bigint"))
 
 
-def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
-    """(ord, value) of one text file; ord rises with the place in the file.
+#: Bits of a place within a file: a byte and a row's number, together.
+_PLACE_BITS = 43
+
+
+def in_place(rows: DataFrame, files: list[str]) -> DataFrame:
+    """rows of a file source (with its _metadata) with ord, which rises with the place: by file in order of the names, then within it.
 
     A row takes a byte at least, so a split's start plus the row's number in it is below the next split's start."""
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    placed = rows.select(*columns, (F.col("_metadata.file_block_start") + number).alias("ord"), F.col("_metadata.file_path").alias("_file"))
+    if len(files) < 2:
+        return placed.drop("_file")
+    names = rows.sparkSession.createDataFrame([(k, f) for k, f in enumerate(sorted(files))], "_n long, _file string")
+    placed = placed.join(F.broadcast(names), "_file", "left")  # a row a file
+    unknown = F.raise_error(F.concat(F.lit("unexpected input file "), F.col("_file"))).cast("bigint")
+    return placed.withColumn("ord", F.coalesce("_n", unknown) * (1 << _PLACE_BITS) + F.col("ord")).drop("_n", "_file")
+
+
+def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
+    """(ord, value) of a text file or of a folder of parts; ord rises with the place."""
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
     rows = reader.text(path)
-    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select((F.col("_metadata.file_block_start") + number).alias("ord"), "value")
+    return in_place(rows, rows.inputFiles()).select("ord", "value")
 
 
 # Places of the fields in the piped and in the tabular layout.
@@ -61,7 +79,7 @@ def read_coords(spark: SparkSession, path: str, min_identity: float = 0.0) -> Da
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ord, name, header, seq): one row a record; gzip by extension; text before the first record is ignored."""
-    return parse_fasta(numbered_lines(spark, path, "\n>"))
+    return chunked.whole_records(chunked.read_chunks(spark, path))
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:
@@ -93,11 +111,6 @@ def parse_fai(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("value") != "").select("ord", F.get(fields, F.lit(0)).alias("name"), *[F.when(good, lenient_int(n)).otherwise(malformed).cast("bigint").alias(c) for n, c in zip(numbers, names, strict=True)])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def index_path(spark: SparkSession, fasta: str, explicit: str | None = None) -> str | None:
     """The given index, else the one beside the FASTA if there is one."""
     return explicit or (f"{fasta}.fai" if exists(spark, f"{fasta}.fai") else None)
@@ -108,7 +121,15 @@ def fasta_lengths(spark: SparkSession, fasta: str, fai: str | None = None) -> Da
     index = index_path(spark, fasta, fai)
     if index:
         return read_fai(spark, index)
-    return read_fasta(spark, fasta).select("ord", "name", F.length("seq").cast("bigint").alias("length"))
+    return chunked.read_chunks(spark, fasta).records.select("ord", "name", "length")
+
+
+def sequences(spark: SparkSession, wanted: DataFrame, fasta: str, fai: str | None = None) -> DataFrame:
+    """(name, length, start, seq): the pieces of the wanted names' records, by byte ranges where there is an index, else from a pass over all."""
+    index, place = index_path(spark, fasta, fai), chunked.seekable(spark, fasta)
+    if index and place:
+        return chunked.indexed_pieces(wanted, parse_fai(numbered_lines(spark, index)), place)
+    return chunked.named_pieces(chunked.read_chunks(spark, fasta), wanted)
 
 
 def by_name(records: DataFrame) -> DataFrame:
@@ -139,17 +160,18 @@ REQUIRED = ("contig", "kept", "new_name", "assigned_ref", "order_in_ref", "ref_s
 def read_assignments(spark: SparkSession, path: str) -> DataFrame:
     """Kept rows of an assignment report (ord, contig, new_name, ref, order_in_ref, ref_start, ref_end); bad input raises ValueError."""
     table = spark.read.option("sep", "\t").option("header", True).option("quote", '"').csv(path)
+    files = table.inputFiles()
     missing = sorted(set(REQUIRED) - set(table.columns))
     if missing:
-        raise ValueError(f"Assignment report {path} is missing required columns: {', '.join(missing)}")
-    rows = kept_assignments(table.withColumn("ord", F.monotonically_increasing_id()))
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    rows = kept_assignments(in_place(table, files))
     twice = rows.groupBy("new_name").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).filter("n > 1").orderBy("ord").limit(1).collect()
     if twice:
-        raise ValueError(f"Duplicate kept new_name {twice[0]['new_name']!r} in {path}")
+        raise ValueError(f"{path} keeps the name {twice[0]['new_name']!r} more than once")
     for c in ("order_in_ref", "ref_start", "ref_end"):
         bad = rows.filter(~F.col(c).rlike(_INT)).orderBy("ord").limit(1).collect()
         if bad:
-            raise ValueError(f"Invalid {c} for {bad[0]['new_name']!r}: {bad[0][c]!r}")
+            raise ValueError(f"{path}: {c} of {bad[0]['new_name']!r} is no whole number: {bad[0][c]!r}")
     return rows.select("ord", "contig", "new_name", F.col("assigned_ref").alias("ref"), *[lenient_int(F.col(c)).alias(c) for c in ("order_in_ref", "ref_start", "ref_end")])
 
 
@@ -159,13 +181,13 @@ def kept_assignments(table: DataFrame) -> DataFrame:
     return table.select(*trimmed, "ord").filter(F.lower("kept").isin("yes", "true", "1") & ~F.col("new_name").isin("", "."))
 
 
-def unique_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """read_fasta, but a repeated name raises ValueError."""
-    records = read_fasta(spark, path)
-    twice = records.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).filter("n > 1").orderBy("ord").limit(1).collect()
+def unique_fasta(spark: SparkSession, path: str) -> chunked.Fasta:
+    """The file's records and pieces; a repeated name raises ValueError."""
+    fasta = chunked.read_chunks(spark, path)
+    twice = fasta.records.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).filter("n > 1").orderBy("ord").limit(1).collect()
     if twice:
-        raise ValueError(f"Duplicate FASTA record {twice[0]['name']!r} in {path}")
-    return records
+        raise ValueError(f"{path} has more than one record {twice[0]['name']!r}")
+    return fasta
 
 
 def fetch(wanted: DataFrame, fasta: DataFrame, key: str = "query") -> DataFrame:
