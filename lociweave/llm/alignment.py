@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from .kernels import Texts, blocks, column_texts, tidy
 from .store import stored
 
 #: Records and documents of a run, about, and radixes of the A id.
-RECORDS, DOCUMENTS, RADIX = 1_500_000, 50_000, 64
+RECORDS, DOCUMENTS, RADIX = 1_000_000, 50_000, 64
 #: Runs that are merged at once, pairs of a block of counts, and runs that one task brings together with the counts of a radix.
 FAN, BLOCK, RUNS_A_TASK = 32, 1 << 16, 4_096
 #: Chunks in a generation of a worker's dictionary.
@@ -107,7 +107,10 @@ class Sides:
         pieces = [(self.b.id_to_piece(k), self.b.is_byte(k)) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.names = [b"%d" % k for k in range(max(len(tokens), len(pieces)))]
+        # ids as text, each with what may follow it: another id of its side, the other side, the next group
+        self.ids = max(len(tokens), len(pieces))
+        self.names = [b"%d%c" % (k, after) for after in b",|;" for k in range(self.ids)]
+        self.name_sizes = np.array([len(x) for x in self.names], np.int64)
         self.b_vocabulary, self.space = len(pieces), self.b.piece_to_id("▁")
 
     def encode(self, chunks: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
@@ -147,32 +150,41 @@ NONE = Chunks(*[np.zeros(0, np.int64)] * 4, [], *[np.zeros(0, np.int64)] * 3)
 def aligned(sides: Sides, chunks: list[bytes]) -> Chunks:
     """What is known of new chunks."""
     a, b = sides.encode(chunks)
-    good = np.array([b"".join([sides.a_bytes[i] for i in x]) == c == b"".join([sides.b_bytes[i] for i in y]) for c, x, y in zip(chunks, a, b, strict=True)], bool)
+    back = (b"".join([sides.a_bytes[i] for i in chain.from_iterable(a)]), b"".join([sides.b_bytes[i] for i in chain.from_iterable(b)]))
+    good = np.ones(len(chunks), bool)
+    if not back[0] == back[1] == b"".join(chunks):
+        good[:] = [b"".join([sides.a_bytes[i] for i in x]) == c == b"".join([sides.b_bytes[i] for i in y]) for c, x, y in zip(chunks, a, b, strict=True)]
     n = len(chunks)
     n_a, n_b, groups, links = (np.full(n, -1, np.int64) for _ in range(4))
     sizes, texts = np.zeros(n, np.int64), [b""] * n
     kept = np.flatnonzero(good)
     if not len(kept):
         return Chunks(n_a, n_b, groups, links, texts, sizes, *[np.zeros(0, np.int64)] * 2)
-    a, b = [a[k] for k in kept.tolist()], [b[k] for k in kept.tolist()]
-    n_a[kept], n_b[kept] = [len(x) for x in a], [len(x) for x in b]
-    ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+    if len(kept) < n:
+        a, b = [a[k] for k in kept.tolist()], [b[k] for k in kept.tolist()]
+    n_a[kept], n_b[kept] = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(m[kept].sum())) for x, m in ((a, n_a), (b, n_b)))
     ends_a, ends_b = np.cumsum(sides.a_sizes[ids_a]), np.cumsum(sides.b_sizes[ids_b])
-    common = np.intersect1d(ends_a, ends_b)
+    common = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]
     of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
     in_a, in_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
-    # the chunk that each group is in: chunks end where both sides' tokens do
+    # the last group of each chunk: chunks end where both sides' tokens do
     last = np.searchsorted(common, ends_a[np.cumsum(n_a[kept]) - 1])
     groups[kept] = np.diff(last, prepend=-1)
     chunk_of = np.repeat(np.arange(len(kept)), groups[kept])
     links[kept] = np.add.reduceat(in_a * in_b, np.append(0, last[:-1] + 1))
-    names = sides.names
     left, right = np.append(0, np.cumsum(in_a)).tolist(), np.append(0, np.cumsum(in_b)).tolist()
-    text_a, text_b = [names[i] for i in ids_a.tolist()], [names[i] for i in ids_b.tolist()]
-    pieces = [b",".join(text_a[left[g] : left[g + 1]]) + b"|" + b",".join(text_b[right[g] : right[g + 1]]) for g in range(len(common))]
+    # the ids of each group's A tokens, then of its B tokens, as one text of all chunks
+    at_a, at_b = np.arange(len(ids_a)) + np.array(right)[of_a], np.arange(len(ids_b)) + np.array(left)[of_b + 1]
+    named = np.zeros(len(ids_a) + len(ids_b), np.int64)
+    named[at_a], named[at_b] = ids_a, ids_b
+    named[at_a[np.array(left[1:]) - 1]] += sides.ids
+    named[at_b[np.array(right[1:]) - 1]] += 2 * sides.ids
+    whole = b"".join([sides.names[i] for i in named.tolist()])
+    stops = np.cumsum(sides.name_sizes[named])[at_b[np.array(right)[last + 1] - 1]].tolist()
     first = 0
-    for k, z in zip(kept.tolist(), (last + 1).tolist(), strict=True):
-        texts[k] = b";".join(pieces[first:z])
+    for k, z in zip(kept.tolist(), stops, strict=True):
+        texts[k] = whole[first : z - 1]
         first = z
     wide = in_a * in_b > WIDE
     narrow_a = np.flatnonzero(~wide[of_a])
@@ -204,26 +216,23 @@ class Dictionary:
         self.young, self.old = NONE, NONE
 
     def codes(self, chunks: list[bytes]) -> np.ndarray:
-        """The places of the chunks in the young generation."""
-        found = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(found < 0)
-        if not len(missing):
-            return found
-        new = list(dict.fromkeys([chunks[k] for k in missing.tolist()]))
-        if self.index and len(self.index) + len(new) > ENTRIES:
+        """The places of the chunks in the young generation, which may grow beyond ENTRIES by one call's chunks."""
+        if len(self.index) > ENTRIES:
             self.old, self.old_index, self.young, self.index = self.young, self.index, NONE, {}
-            return self.codes(chunks)
-        before = [c for c in new if c in self.old_index]
-        fresh = [c for c in new if c not in self.old_index]
-        parts = [self.young]
-        if before:
-            parts.append(self.old.take(np.array([self.old_index[c] for c in before])))
-        if fresh:
-            parts.append(aligned(self.sides, fresh))
-        for c in [*before, *fresh]:
-            self.index[c] = len(self.index)
-        self.young = joined(parts)
-        found[missing] = np.fromiter((self.index[chunks[k]] for k in missing.tolist()), np.int64, len(missing))
+        index, n = self.index, len(self.index)
+        put = index.setdefault
+        found = np.array([put(c, len(index)) for c in chunks], np.int64)
+        if len(index) == n:
+            return found
+        new = list(islice(index, n, None))
+        before = np.fromiter(map(self.old_index.get, new, repeat(-1)), np.int64, len(new))
+        known, fresh = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        parts = [self.old.take(before[known])] if len(known) else []
+        if len(fresh):
+            parts.append(aligned(self.sides, [new[k] for k in fresh.tolist()]))
+        if len(parts) > 1:
+            parts = [joined(parts).take(np.argsort(np.concatenate([known, fresh])))]
+        self.young = joined([self.young, *parts])
         return found
 
 
