@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ def lenient_int(token: Column) -> Column:
 
 #: Bits of a place within a file: a byte and a row's number, together.
 _PLACE_BITS = 43
+#: Scheme of a path, with as many slashes as there are.
+_SCHEME = r"^([A-Za-z0-9+.\-]+):/+"
 
 
 def in_place(rows: DataFrame, files: list[str]) -> DataFrame:
@@ -28,10 +32,10 @@ def in_place(rows: DataFrame, files: list[str]) -> DataFrame:
     A row takes a byte at least, so a split's start plus the row's number in it is below the next split's start."""
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     columns = [F.col(f"`{c}`") for c in rows.columns]
-    placed = rows.select(*columns, (F.col("_metadata.file_block_start") + number).alias("ord"), F.col("_metadata.file_path").alias("_file"))
+    placed = rows.select(*columns, (F.col("_metadata.file_block_start") + number).alias("ord"), F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("_file"))
     if len(files) < 2:
         return placed.drop("_file")
-    names = rows.sparkSession.createDataFrame([(k, f) for k, f in enumerate(sorted(files))], "_n long, _file string")
+    names = rows.sparkSession.createDataFrame(list(enumerate(sorted(re.sub(_SCHEME, r"\1:/", f) for f in files))), "_n long, _file string")
     placed = placed.join(F.broadcast(names), "_file", "left")  # a row a file
     unknown = F.raise_error(F.concat(F.lit("unexpected input file "), F.col("_file"))).cast("bigint")
     return placed.withColumn("ord", F.coalesce("_n", unknown) * (1 << _PLACE_BITS) + F.col("ord")).drop("_n", "_file")
