@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from .. import schemas
 from ..functions.sequence import ratio
 from ..storing import stored
 from . import intervals
+from .components import components
 
 
 @dataclass(frozen=True)
@@ -64,59 +66,73 @@ def ranked_candidates(assignments: DataFrame) -> DataFrame:
 
 
 class Covered:
-    """A growing set of disjoint sorted intervals, with the bases covered before each."""
+    """A growing set of disjoint sorted intervals; what is asked or added costs what it meets."""
 
     def __init__(self) -> None:
-        self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.before = np.zeros(1, np.int64)
+        self.starts: list[int] = []
+        self.ends: list[int] = []
 
-    def below(self, at: np.ndarray) -> np.ndarray:
-        """Covered bases below each position, by bisection."""
-        k = np.searchsorted(self.starts, at)
-        inside = np.where(k > 0, np.maximum(0, self.ends[k - 1] - at), 0) if len(self.ends) else 0
-        return self.before[k] - inside
-
-    def novel(self, starts: np.ndarray, ends: np.ndarray) -> int:
+    def novel(self, spans: list[tuple[int, int]]) -> int:
         """Bases of disjoint intervals that aren't covered."""
-        return int((ends - starts - self.below(ends) + self.below(starts)).sum())
-
-    def add(self, starts: np.ndarray, ends: np.ndarray) -> None:
-        starts, ends = np.concatenate([self.starts, starts]), np.concatenate([self.ends, ends])
-        order = np.argsort(starts, kind="stable")
-        starts, reach = starts[order], np.maximum.accumulate(ends[order])
-        first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1])) if len(starts) else np.zeros(0, np.int64)
-        self.starts, self.ends = starts[first], np.maximum.reduceat(reach, first) if len(first) else reach
-        self.before = np.append(0, np.cumsum(self.ends - self.starts))
+        total = 0
+        for start, end in spans:
+            total += end - start
+            k = bisect_right(self.ends, start)
+            while k < len(self.starts) and self.starts[k] < end:
+                total -= min(end, self.ends[k]) - max(start, self.starts[k])
+                k += 1
+        return total
+
+    def add(self, spans: list[tuple[int, int]]) -> None:
+        for start, end in spans:
+            i, j = bisect_left(self.ends, start), bisect_right(self.starts, end)  # those that touch or overlap it
+            if i < j:
+                start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+            self.starts[i:j], self.ends[i:j] = [start], [end]
+
+
+def overlap_components(candidates: DataFrame) -> DataFrame:
+    """(query, component): candidates that overlap, directly or over others, have one component.
+
+    Intervals of a reference that touch make an island; a candidate of several islands joins them."""
+    spans = candidates.select("query", "ref", F.explode("ref_intervals").alias("i")).select("query", "ref", "i.start", "i.end")
+    found = intervals.islands(spans, ["ref"]).select("query", F.concat_ws(":", "ref", "island").alias("node")).distinct()
+    found = stored(found, "islands")
+    first = found.groupBy("query").agg(F.min("node").alias("first"))
+    links = found.join(first, "query").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    roots = components(links)
+    return first.join(roots, F.col("first") == F.col("node"), "left").select("query", F.coalesce("root", "first").alias("component"))
 
 
 def claim(candidates: DataFrame, o: SortOptions) -> DataFrame:
     """(query, novel_ref_bp, novel_ref_frac, accepted): who adds enough to what stronger contigs of the reference cover.
 
-    Each verdict depends on the accepted ones before it, so a reference is one ordered stream: rows are sorted
-    within partitions and pass one by one; only the covered intervals are held, never the reference's contigs.
-    A candidate of k intervals takes k bisections, and an accepted one a merge with those held."""
+    A verdict depends on the accepted candidates before it that it overlaps, so each component of overlaps is an
+    ordered stream of its own: a reference is the work of many tasks.  Rows are sorted within partitions and pass one
+    by one; only the covered intervals of a component are held, and a candidate costs what it meets of them."""
     least_bp, least_frac = o.min_novel_ref_bp, o.min_novel_ref_frac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, covered = None, Covered()
+        component, covered = None, Covered()
         for batch in batches:
-            refs, total, spans = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
+            of, total, spans = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
             sizes = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             edges = np.append(0, np.cumsum(sizes)).tolist()
             flat = spans.flatten()
-            starts, ends = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            pairs = list(zip(*(flat.field(k).to_pylist() for k in range(2)), strict=True))
             novel, accepted = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             for k, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if refs[k] != ref:
-                    ref, covered = refs[k], Covered()
-                novel[k] = covered.novel(starts[a:z], ends[a:z])
+                if of[k] != component:
+                    component, covered = of[k], Covered()
+                novel[k] = covered.novel(pairs[a:z])
                 accepted[k] = novel[k] > 0 and (novel[k] >= least_bp or (total[k] and novel[k] / total[k] >= least_frac))
                 if accepted[k]:
-                    covered.add(starts[a:z], ends[a:z])
+                    covered.add(pairs[a:z])
             share = np.divide(novel, total, out=np.zeros(len(novel)), where=total != 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(novel), pa.array(share), pa.array(accepted)], ["query", "novel_ref_bp", "novel_ref_frac", "accepted"])
 
-    rows = candidates.repartition("ref").sortWithinPartitions("ref", "rank").select("query", "ref", "merged_ref_bp", "ref_intervals")
+    rows = candidates.join(overlap_components(candidates), "query", "left").withColumn("component", F.coalesce("component", "query"))
+    rows = rows.repartition("component").sortWithinPartitions("component", "rank").select("query", "component", "merged_ref_bp", "ref_intervals")
     return rows.mapInArrow(run, schemas.NOVELTY)
 
 
@@ -167,7 +183,7 @@ def chromosome_summary(placed: DataFrame, refs: DataFrame) -> DataFrame:
     b = F.col("best")
     kept = placed.filter("kept").select(b["ref"].alias("ref"), "order_in_ref", "new_name", "query", b["ref_start"].alias("s"), b["ref_end"].alias("e"), b["ref_intervals"].alias("ref_intervals"))
     spans = kept.select("ref", F.explode("ref_intervals").alias("i")).select("ref", "i.start", "i.end")
-    covered = intervals.covered_bp(intervals.union(spans, ["ref"]), ["ref"], "covered_ref_bp")
+    covered = intervals.covered_bp(intervals.spread_union(spans, ["ref"]), ["ref"], "covered_ref_bp")
     ordered = F.array_sort(F.collect_list(F.struct("order_in_ref", "new_name", "query")))
     sums = kept.groupBy("ref").agg(F.count(F.lit(1)).alias("kept_contigs"), F.min("s").alias("first_ref_start"), F.max("e").alias("last_ref_end"), ordered.alias("o"))
     sums = sums.withColumn("ordered_new_names", F.array_join(F.transform("o", lambda x: x["new_name"]), ",")).withColumn("ordered_original_contigs", F.array_join(F.transform("o", lambda x: x["query"]), ",")).drop("o")

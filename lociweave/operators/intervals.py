@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storing import stored
+
 BIN = 100_000
 #: A bin's width in mean lengths, where it follows the data.
 WIDTHS = 4
@@ -24,6 +26,51 @@ def union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end"
     return numbered.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def _swept(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with _part, the part of a range sort that they are in, and _group: the how manieth run of touching intervals of their keys in that part; 0 goes on from an earlier part.
+
+    Keys may not be null.  What an earlier part reaches is carried by a row a key and part, so a key of all rows is
+    the work of as many tasks as it has parts."""
+    ordered = rows.repartitionByRange(*keys, "start", "end").sortWithinPartitions(*keys, "start", "end").withColumn("_id", F.monotonically_increasing_id())
+    s = stored(ordered, "sorted").withColumn("_part", F.shiftright("_id", 33)).drop("_id")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = s.groupBy(*keys, "_part").agg(F.max("end").alias("reach")).withColumn("_carried", F.max("reach").over(earlier)).filter("_carried is not null").drop("reach")
+    s = s.join(F.broadcast(carried), [*keys, "_part"], "left")  # only keys that go over an edge: a row a part at most
+    by = Window.partitionBy(*keys, "_part").orderBy("start", "end")
+    before = F.greatest(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
+    s = s.withColumn("_new", new).withColumn("_group", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.drop("_carried", "_new")
+
+
+def _stitched(swept: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Groups of ``_swept``: those that end in their part (keys, _part, _group, start, end), and those at edges, with the start and end of the island that they make together (also low, high)."""
+    g = stored(swept.groupBy(*keys, "_part", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")), "groups")
+    last = g.groupBy(*keys, "_part").agg(F.max("_group").alias("_last"))
+    g = g.join(last, [*keys, "_part"])
+    edge = (F.col("_group") == 0) | (F.col("_group") == F.col("_last"))
+    by = Window.partitionBy(*keys).orderBy("_part", "_group")  # two rows a key and part at most
+    chains = g.filter(edge).drop("_last").withColumn("_chain", F.sum(F.when(F.col("_group") > 0, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*keys, "_chain")
+    return g.filter(~edge).drop("_last"), chains.withColumn("low", F.min("start").over(whole)).withColumn("high", F.max("end").over(whole)).drop("_chain")
+
+
+def spread_union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """``union`` for keys that may have very many rows each: parts of a range sort are merged alone, then what meets at their edges."""
+    rows = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")).filter("end > start")
+    inner, edges = _stitched(_swept(rows, keys), keys)
+    return inner.select(*keys, "start", "end").unionByName(edges.select(*keys, F.col("low").alias("start"), F.col("high").alias("end")).distinct())
+
+
+def islands(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of df (keys, start, end and others) that aren't empty, with island: where the merged interval they are in starts."""
+    swept = _swept(df.filter("end > start"), keys)
+    inner, edges = _stitched(swept, keys)
+    places = [*keys, "_part", "_group"]
+    found = inner.select(*places, F.col("start").alias("island")).unionByName(edges.select(*places, F.col("low").alias("island")))
+    return swept.join(found, places).drop("_part", "_group")
+
+
 def covered_bp(merged: DataFrame, keys: list[str], name: str = "bp") -> DataFrame:
     """Total length of disjoint intervals by key."""
     return merged.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias(name))

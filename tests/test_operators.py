@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lociweave import storing
 from lociweave.functions import sequence as fn
 from lociweave.operators import blocks, intervals, segment
-from lociweave.operators.assign import SortOptions, claim
+from lociweave.operators.assign import SortOptions, claim, overlap_components
 from lociweave.sources import readers
 
 from . import fixtures as fx
@@ -41,6 +41,35 @@ def test_interval_algebra_against_sets(spark):
     assert shared == {k: len(ca[k] & cb[k]) for k in ca if ca[k] & cb.get(k, set())}
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Range sorts of several parts, though there are few rows."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "5")
+    spark.conf.set(names[1], "false")
+    yield
+    for n, b in zip(names, before, strict=True):
+        spark.conf.set(n, b)
+
+
+def test_spread_union_and_islands(spark, many_parts):
+    """One key holds most rows, and single intervals reach over several parts."""
+    rng = random.Random(21)
+    for dense in (0.3, 3.0):
+        rows = [(1, s, s + rng.randint(0, 9)) for s in (rng.randint(0, int(2400 / dense)) for _ in range(400))] + random_sets(22, 8) + [(1, 100, 100 + int(900 / dense)), (9, 5, 6)]
+        df = spark.createDataFrame(rows, "k int, start long, end long")
+        want = sorted(tuple(r) for r in intervals.union(df, ["k"]).collect())
+        assert sorted(tuple(r) for r in intervals.spread_union(df, ["k"]).collect()) == want
+        numbered = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "k int, start long, end long, n int")
+        got = intervals.islands(numbered, ["k"]).collect()
+        assert sorted(r["n"] for r in got) == [n for n, (_, s, e) in enumerate(rows) if e > s]
+        for r in got:
+            assert r["island"] == next(s for k, s, e in want if k == r["k"] and s <= r["start"] and r["end"] <= e)
+        assert intervals._swept(df.filter("end > start and k = 1"), ["k"]).select("_part").distinct().count() > 2
+    assert intervals.spread_union(df.limit(0), ["k"]).count() == 0
+
+
 def loop_blocks(rows, gap):
     out = []
     for s, e, ref, strand, _ in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[4])):
@@ -165,6 +194,47 @@ def test_claim_takes_what_is_new(spark):
     assert got == {"a": (100, True), "b": (10, False), "c": (40, True), "d": (5, True)}
 
 
+def plain_claims(rows, o):
+    """Verdicts by sets of covered bases, reference by reference."""
+    covered, out = {}, {}
+    for ref, _, query, total, spans in sorted(rows, key=lambda r: (r[0], r[1])):
+        mine = {x for s, e in spans for x in range(s, e)}
+        novel = len(mine - covered.setdefault(ref, set()))
+        out[query] = (novel, novel > 0 and (novel >= o.min_novel_ref_bp or novel / total >= o.min_novel_ref_frac))
+        if out[query][1]:
+            covered[ref] |= mine
+    return out
+
+
+def test_claims_by_components(spark, many_parts):
+    """Contigs of one or several islands, chains over many of them, and a reference that holds nearly all."""
+    rng = random.Random(23)
+    o = SortOptions(min_novel_ref_bp=15, min_novel_ref_frac=0.5)
+    for wide in (300, 6000):
+        rows = []
+        for k in range(220):
+            spans = []
+            for _ in range(rng.choice((1, 1, 1, 2, 4))):
+                s = rng.randint(0, wide)
+                spans.append((s, s + rng.randint(1, 30)))
+            merged = []
+            for s, e in sorted(spans):
+                if merged and s <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+                else:
+                    merged.append((s, e))
+            rows.append(("r" if k % 12 else "s", k, f"q{k}", sum(e - s for s, e in merged), merged))
+        df = spark.createDataFrame(rows, "ref string, rank int, query string, merged_ref_bp long, ref_intervals array<struct<start:long,end:long>>")
+        assert {r["query"]: (r["novel_ref_bp"], r["accepted"]) for r in claim(df, o).collect()} == plain_claims(rows, o)
+        found = {r["query"]: r["component"] for r in overlap_components(df).collect()}
+        assert len(found) == len(rows)
+        for a, b in itertools.combinations(rows, 2):
+            if a[0] == b[0] and any(s < e2 and s2 < e for s, e in a[4] for s2, e2 in b[4]):
+                assert found[a[2]] == found[b[2]]
+        if wide == 6000:
+            assert len(set(found.values())) > 10  # of one reference
+
+
 def test_sequence_functions(spark):
     row = spark.range(1).select(fn.reverse_complement(F.lit("ACGTnRyX-")).alias("rc"), fn.slice_of(F.lit("abcdef"), F.lit(1), F.lit(4)).alias("cut"), fn.wrapped(F.lit("x" * 161)).alias("w"), fn.wrapped(F.lit("")).alias("none"), fn.boundary(F.lit(3), F.lit(4)).alias("b")).first()
     assert row["rc"] == "-XrYnACGT" and row["cut"] == "bcd" and row["w"] == "x" * 80 + "\n" + "x" * 80 + "\nx\n" and row["none"] == "" and row["b"] == 3
