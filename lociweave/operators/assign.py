@@ -96,10 +96,13 @@ def overlap_components(candidates: DataFrame) -> DataFrame:
 
     Intervals of a reference that touch make an island; a candidate of several islands joins them."""
     spans = candidates.select("query", "ref", F.explode("ref_intervals").alias("i")).select("query", "ref", "i.start", "i.end")
-    found = intervals.islands(spans, ["ref"]).select("query", F.concat_ws(":", "ref", "island").alias("node")).distinct()
+    largest = candidates.groupBy("ref").agg(F.sum(F.size("ref_intervals")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    found = intervals.islands(spans, ["ref"], spread=largest > intervals.ONE_TASK).select("query", F.concat_ws(":", "ref", "island").alias("node")).distinct()
     found = stored(found, "islands")
     first = found.groupBy("query").agg(F.min("node").alias("first"))
     links = found.join(first, "query").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    if not links.limit(1).count():
+        return first.select("query", F.col("first").alias("component"))
     roots = components(links)
     return first.join(roots, F.col("first") == F.col("node"), "left").select("query", F.coalesce("root", "first").alias("component"))
 
@@ -178,12 +181,12 @@ def place(assignments: DataFrame, refs: DataFrame, o: SortOptions) -> DataFrame:
     return a.withColumn("reverse_complemented", F.coalesce(turned, F.lit(False))).drop("_ref", "_base", "_salt")
 
 
-def chromosome_summary(placed: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ord, ref, ref_length, kept_contigs, covered_ref_bp, ref_cov, first_ref_start, last_ref_end, ordered names) of every reference record."""
+def chromosome_summary(placed: DataFrame, refs: DataFrame, spread: bool = False) -> DataFrame:
+    """(ord, ref, ref_length, kept_contigs, covered_ref_bp, ref_cov, first_ref_start, last_ref_end, ordered names) of every reference record; spread: for references of very many intervals."""
     b = F.col("best")
     kept = placed.filter("kept").select(b["ref"].alias("ref"), "order_in_ref", "new_name", "query", b["ref_start"].alias("s"), b["ref_end"].alias("e"), b["ref_intervals"].alias("ref_intervals"))
     spans = kept.select("ref", F.explode("ref_intervals").alias("i")).select("ref", "i.start", "i.end")
-    covered = intervals.covered_bp(intervals.spread_union(spans, ["ref"]), ["ref"], "covered_ref_bp")
+    covered = intervals.covered_bp((intervals.spread_union if spread else intervals.union)(spans, ["ref"]), ["ref"], "covered_ref_bp")
     ordered = F.array_sort(F.collect_list(F.struct("order_in_ref", "new_name", "query")))
     sums = kept.groupBy("ref").agg(F.count(F.lit(1)).alias("kept_contigs"), F.min("s").alias("first_ref_start"), F.max("e").alias("last_ref_end"), ordered.alias("o"))
     sums = sums.withColumn("ordered_new_names", F.array_join(F.transform("o", lambda x: x["new_name"]), ",")).withColumn("ordered_original_contigs", F.array_join(F.transform("o", lambda x: x["query"]), ",")).drop("o")

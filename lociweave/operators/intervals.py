@@ -26,6 +26,10 @@ def union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end"
     return numbered.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+#: Rows of a key up to which one task sweeps over them; this moves work, not results.
+ONE_TASK = 2_000_000
+
+
 def _swept(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with _part, the part of a range sort that they are in, and _group: the how manieth run of touching intervals of their keys in that part; 0 goes on from an earlier part.
 
@@ -62,8 +66,15 @@ def spread_union(df: DataFrame, keys: list[str], start: str = "start", end: str
     return inner.select(*keys, "start", "end").unionByName(edges.select(*keys, F.col("low").alias("start"), F.col("high").alias("end")).distinct())
 
 
-def islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of df (keys, start, end and others) that aren't empty, with island: where the merged interval they are in starts."""
+def islands(df: DataFrame, keys: list[str], spread: bool = True) -> DataFrame:
+    """Rows of df (keys, start, end and others) that aren't empty, with island: where the merged interval they are in starts.
+
+    Without spread, for keys of moderate size, a window by key does it."""
+    if not spread:
+        by = Window.partitionBy(*keys).orderBy("start", "end")
+        before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+        marked = df.filter("end > start").withColumn("_new", F.when(before.isNull() | (F.col("start") > before), F.col("start")))
+        return marked.withColumn("island", F.max("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     swept = _swept(df.filter("end > start"), keys)
     inner, edges = _stitched(swept, keys)
     places = [*keys, "_part", "_group"]

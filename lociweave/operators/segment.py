@@ -81,25 +81,22 @@ class Level:
 
 
 class Weights:
-    """Weight of each signature from a start on, added block by block."""
+    """Weight of each signature from a start on, in the blocks' order; added up when it is asked for."""
 
-    __slots__ = ("place", "sums", "levels")
+    __slots__ = ("sums", "upto", "levels")
 
-    def __init__(self) -> None:
-        self.place: dict[int, int] = {}
-        self.sums: list[float] = []
+    def __init__(self, start: int) -> None:
+        self.sums: dict[int, float] = {}
+        self.upto = start
         self.levels = 0  # that hold the start
 
-    def add(self, signature: int, weight: float) -> None:
-        k = self.place.get(signature)
-        if k is None:
-            self.place[signature] = len(self.sums)
-            self.sums.append(0.0 + weight)
-        else:
-            self.sums[k] += weight
-
-    def discordant(self) -> float:
-        return sum(self.sums) - max(self.sums)
+    def discordant(self, signatures: list[int], weights: list[float]) -> float:
+        sums, n = self.sums, len(signatures)
+        for k in range(self.upto, n):
+            h = signatures[k]
+            sums[h] = sums.get(h, 0.0) + weights[k]
+        self.upto = n
+        return sum(sums.values()) - max(sums.values())
 
 
 class RunningCuts:
@@ -119,12 +116,13 @@ class RunningCuts:
         self.rest = Level(0, [0], 1)  # of all signatures that haven't come
         self.levels, self.of = [self.rest], {}
         self.came, self.cuts, self.cost = [0], [0], [0.0]
-        self.weights = {0: Weights()}
+        self.blocks: tuple[list[int], list[float]] = ([], [])
+        self.weights = {0: Weights(0)}
         self.weights[0].levels = 1
 
     def _hold(self, level: Level, start: int) -> None:
         level.starts.append(start)
-        self.weights.setdefault(start, Weights()).levels += 1
+        self.weights.setdefault(start, Weights(start)).levels += 1
 
     def _drop(self, level: Level) -> None:
         for s in level.starts:
@@ -135,8 +133,8 @@ class RunningCuts:
 
     def add(self, signature: int, weight: float) -> None:
         whole = _whole(weight)
-        for w in self.weights.values():
-            w.add(signature, weight)
+        self.blocks[0].append(signature)
+        self.blocks[1].append(weight)
         before = self.of.get(signature, self.rest).now()
         own = Level(before.cost - whole, list(before.starts), 1)
         for s in own.starts:
@@ -153,7 +151,7 @@ class RunningCuts:
         best = None
         near = [x for x in takewhile(lambda x: x.cost <= least + self.slack, self.levels)]
         for start in near[0].starts if len(near) == 1 else sorted({s for x in near for s in x.starts}):
-            found = (self.cost[start] + self.weights[start].discordant() + (self.penalty if start else 0.0), self.cuts[start] + (1 if start else 0), start)
+            found = (self.cost[start] + self.weights[start].discordant(*self.blocks) + (self.penalty if start else 0.0), self.cuts[start] + (1 if start else 0), start)
             if best is None or found < best:
                 best = found
         self.cost.append(best[0])

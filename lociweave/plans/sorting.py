@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..files import make_parents, write_text
 from ..functions.sequence import reverse_complement
-from ..operators import assign, metrics
+from ..operators import assign, intervals, metrics
 from ..operators.assign import SortOptions
 from ..sinks import decimals, fasta_lines, or_dot, write_records, write_table
 from ..sources import readers
@@ -99,7 +99,9 @@ def run(spark: SparkSession, args) -> dict[str, str]:
     report = assignment_report(records, placed)
     write_table(report, outputs["contig_assignments"], ASSIGNMENT_COLUMNS, _assignment_line, ["record_ord"], args.parts)
     write_table(m.withColumn("less", -F.col("merged_query_bp")), outputs["contig_ref_matches"], MATCH_COLUMNS, _match_line, ["query", "less", "ref"], args.parts)
-    write_table(assign.chromosome_summary(placed, ref_records.join(refs.select("name"), "name", "left_semi")), outputs["chromosome_summary"], SUMMARY_COLUMNS, _summary_line, ["ord"], args.parts)
+    many = placed.filter("kept").groupBy(F.col("best")["ref"]).agg(F.sum(F.size(F.col("best")["ref_intervals"])).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    summary = assign.chromosome_summary(placed, ref_records.join(refs.select("name"), "name", "left_semi"), spread=many > intervals.ONE_TASK)
+    write_table(summary, outputs["chromosome_summary"], SUMMARY_COLUMNS, _summary_line, ["ord"], args.parts)
     status = {r["status"]: r["count"] for r in placed.groupBy("status").count().collect()}
     counts = {"status": status, "kept": status.get("kept", 0), "refs": ref_records.count(), "records": records.count(), "skipped": metrics.unknown_query_count(segments, contigs).first()["skipped"]}
     _run_summary(spark, outputs["run_summary"], args, o, outputs, counts)

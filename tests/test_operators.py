@@ -63,6 +63,7 @@ def test_spread_union_and_islands(spark, many_parts):
         assert sorted(tuple(r) for r in intervals.spread_union(df, ["k"]).collect()) == want
         numbered = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "k int, start long, end long, n int")
         got = intervals.islands(numbered, ["k"]).collect()
+        assert sorted(map(str, intervals.islands(numbered, ["k"], spread=False).select(*got[0].asDict()).collect())) == sorted(map(str, got))
         assert sorted(r["n"] for r in got) == [n for n, (_, s, e) in enumerate(rows) if e > s]
         for r in got:
             assert r["island"] == next(s for k, s, e in want if k == r["k"] and s <= r["start"] and r["end"] <= e)
@@ -206,8 +207,10 @@ def plain_claims(rows, o):
     return out
 
 
-def test_claims_by_components(spark, many_parts):
+@pytest.mark.parametrize("one_task", [0, intervals.ONE_TASK])
+def test_claims_by_components(spark, many_parts, monkeypatch, one_task):
     """Contigs of one or several islands, chains over many of them, and a reference that holds nearly all."""
+    monkeypatch.setattr(intervals, "ONE_TASK", one_task)
     rng = random.Random(23)
     o = SortOptions(min_novel_ref_bp=15, min_novel_ref_frac=0.5)
     for wide in (300, 6000):
