@@ -31,14 +31,14 @@ class SortOptions:
     orient_to_reference: bool = False
 
 
-_MATCH = ("ref", "ref_length", "raw_query_bp", "merged_query_bp", "query_cov", "merged_ref_bp", "ref_cov", "ref_start", "ref_end", "ref_midpoint", "orientation", "avg_identity", "ref_intervals")
+MATCH_FIELDS = ("ref", "ref_length", "raw_query_bp", "merged_query_bp", "query_cov", "merged_ref_bp", "ref_cov", "ref_start", "ref_end", "ref_midpoint", "orientation", "avg_identity")
 
 
 def best_and_second(metrics: DataFrame) -> DataFrame:
     """(query, best, second, best_ref_share, total_refs_matched): the two best references of each contig that has any."""
     order = Window.partitionBy("query").orderBy(F.desc("merged_query_bp"), F.desc("raw_query_bp"), F.desc("avg_identity"), F.asc("first_ord"))
     ranked = metrics.withColumn("rank", F.row_number().over(order))
-    match = F.struct(*_MATCH)
+    match = F.struct(*MATCH_FIELDS, "ref_intervals")
     sums = ranked.groupBy("query").agg(F.max(F.when(F.col("rank") == 1, match)).alias("best"), F.max(F.when(F.col("rank") == 2, match)).alias("second"), F.sum("merged_query_bp").alias("total"), F.count(F.lit(1)).alias("total_refs_matched"))
     return sums.select("query", "best", "second", ratio(F.col("best")["merged_query_bp"], F.col("total")).alias("best_ref_share"), "total_refs_matched")
 

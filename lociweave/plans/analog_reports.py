@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import assign, scaffold
+from ..operators import assign, scaffold, segment
 from ..operators.assign import SortOptions
 from ..sinks import formatted
 from ..sources import readers
@@ -55,7 +57,7 @@ def assignment_report(spark, sf_dir):
 )
 def match_report(spark, sf_dir):
     """The match report's fields, as written."""
-    return formatted(_metrics(spark, sf_dir), sorting.MATCH_COLUMNS, sorting._match_line)
+    return formatted(_metrics(spark, sf_dir).drop("ref_intervals"), sorting.MATCH_COLUMNS, sorting._match_line)
 
 
 @query(
@@ -157,6 +159,80 @@ def kept_assignments(spark, sf_dir):
     return readers.kept_assignments(t).select("ord", "contig", "new_name")
 
 
+def _said(template: str, *values: str) -> str:
+    """SQL for a report text with values in its places."""
+    texts = re.split(r"\{[^}]*\}", template)
+    parts = [f"'{texts[0]}'"]
+    for value, text in zip(values, texts[1:], strict=True):
+        parts += [value, f"'{text}'"]
+    return " || ".join(parts)
+
+
+_PENALTY = f"'{FIX.auto_breakpoint_penalty_bp:.1f}'"
+_REASON = f"""case when status = 'target_missing' then '{segment.MISSING}' when status = 'not_split_no_alignment' then '{segment.NO_ALIGNMENT}' when status = 'not_split_single_block' then '{segment.SINGLE_BLOCK}'
+  when status = 'not_split_single_target' then '{segment.SINGLE_TARGET}' when status = 'not_split_short_piece' then case when smooth then '{segment.SHORT_AUTO}' else '{segment.SHORT}' end
+  when status = 'not_split_auto_smooth' then case when n_groups < 2 then {_said(segment.SMOOTH, _fixed("discordant", 1), _PENALTY)} else {_said(segment.WEAK, "weakest", f"'{FIX.auto_min_piece_aligned_bp}'")} end
+  when smooth then {_said(segment.SPLIT_AUTO, "n_pieces", "n_blocks", "changes", _PENALTY)} else {_said(segment.SPLIT, "n_pieces", "n_blocks")} end"""
+
+
+@query(
+    _recursive(
+        _sql(
+            BLOCK_SQL,
+            _SEGMENTATION,
+            _PLANS,
+            f"""wk as (select contig, min(aligned_bp) as weakest from gs where smooth and (aligned_bp < {FIX.auto_min_piece_aligned_bp} or (query_end - query_start) / {CONTIG_LENGTH}.0 < {FIX.auto_min_piece_query_frac}) group by contig),
+dc as (select contig, sum(w) - max(w) as discordant from (select contig, ref, orientation, sum(identity_bp) / 100 as w from blk group by all) group by contig)""",
+            select=f"select p.name, p.part, p.ord, p.status, {_REASON} as reason from plans p left join wk on wk.contig = p.name left join dc on dc.contig = p.name",
+        )
+    )
+)
+def fix_reasons(spark, sf_dir):
+    """Why each contig was split or not, as the report says it."""
+    plans, _ = _plans(spark, sf_dir)
+    names = ["name", "part", "ord", "status", "reason"]
+    told = formatted(plans, names, lambda r: [r["name"], r["part"], r["ord"], r["status"], segment.reason(r, FIX)])
+    return told.select("name", F.col("part").cast("int"), F.col("ord").cast("bigint"), "status", "reason")
+
+
+@query(
+    _sql(
+        _ORDERS,
+        select="""select ref as scaffold, count(*) as contigs, cast(sum(length(seq) + case when left_name is null then 0 else greatest(0, ref_start - left_end - 1) end) as bigint) as scaffold_bp, cast(sum(length(seq)) as bigint) as sequence_bp,
+  cast(sum(case when left_name is null then 0 else greatest(0, ref_start - left_end - 1) end) as bigint) as gap_bp, count(*) - 1 as gaps, arg_min(ref_start, ord) as first_ref_start, arg_max(ref_start + 2, ord) as last_ref_end, string_agg(name, ',' order by ord) as ordered_contigs from l group by ref""",
+    )
+)
+def scaffold_summary(spark, sf_dir):
+    """The summary's rows, with inferred gaps."""
+    m = _orders(spark, sf_dir).withColumn("length", F.length("seq").cast("bigint"))
+    return scaffold.scaffolds(m, None, with_sequence=False).select(*scaffolding.SUMMARY_COLUMNS)
+
+
+_LINES = """pos as (select part, s_ord, off + i as place, substr(seq, i + 1, 1) as c from (
+    select 0 as part, min(ord) over (partition by ref) as s_ord, seq, case when left_name is null then 0 else 3 end + coalesce(sum(length(seq) + case when left_name is null then 0 else 3 end) over (partition by ref order by ord rows between unbounded preceding and 1 preceding), 0) as off from l), lateral (select unnest(generate_series(0, length(seq) - 1)) as i)
+  union all select 0, s_ord, off + i, 'N' from (
+    select min(ord) over (partition by ref) as s_ord, left_name, coalesce(sum(length(seq) + case when left_name is null then 0 else 3 end) over (partition by ref order by ord rows between unbounded preceding and 1 preceding), 0) as off from l), lateral (select unnest(generate_series(0, 2)) as i) where left_name is not null),
+heads as (select ref, min(ord) as s_ord, count(*) as n, sum(length(seq)) as bp, count(left_name) * 3 as gap from l group by ref)"""
+
+
+@query(
+    _sql(
+        _ORDERS,
+        _LINES,
+        select="""select s_ord as ord, cast(-1 as bigint) as line, '>' || ref || ' contigs=' || n || ' sequence_bp=' || cast(bp as bigint) || ' gap_bp=' || gap || ' gap_mode=fixed' as text from heads
+  union all select s_ord, cast(place // 80 as bigint), string_agg(c, '' order by place) from pos group by s_ord, place // 80""",
+    )
+)
+def scaffold_lines(spark, sf_dir):
+    """The lines of all scaffolds' records, made of pieces of their contigs and gaps."""
+    o = _orders(spark, sf_dir)
+    m = o.withColumn("length", F.length("seq").cast("bigint"))
+    rest = m.filter(F.lit(False)).withColumn("header", F.lit(""))
+    pieces = o.select("ord", F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("start"), F.substring("seq", k + 1, 1 if k < 2 else 1 << 30).alias("seq")) for k in range(3)])).alias("p")).select("ord", "p.*").filter("seq != ''")
+    lines = scaffolding.scaffold_lines(m, rest, pieces, 3)
+    return lines.select("ord", "line", F.explode(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("text")))).alias("x")).select("ord", (F.col("line") + F.col("x.i")).alias("line"), "x.text")
+
+
 @query(
     f"""with {_ORDERS},
 m as (select o.*, l.left_name from (select *, o_orderstatus from o join orders on o_orderkey = ord) o join (select ref, ord, lag(name) over (partition by ref order by ord) as left_name from o join orders on o_orderkey = ord where o_orderstatus <> 'O') l using (ref, ord)),

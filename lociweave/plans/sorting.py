@@ -70,7 +70,13 @@ def ordered_headers(kept: DataFrame, simple: bool) -> DataFrame:
 def assignment_report(records: DataFrame, placed: DataFrame) -> DataFrame:
     """A row for each record (ord, name, length), with its assignment and the new name of the contig it overlaps most."""
     other = placed.select(F.col("query").alias("overlap_best_contig"), F.when(F.col("kept"), F.col("new_name")).alias("overlap_best_new_name"))
-    return records.select("name", F.col("ord").alias("record_ord"), F.col("length").alias("record_length")).join(placed, F.col("name") == F.col("query")).join(other, "overlap_best_contig", "left")
+    narrow = placed.withColumn("best", _without_intervals("best")).withColumn("second", _without_intervals("second"))
+    return records.select("name", F.col("ord").alias("record_ord"), F.col("length").alias("record_length")).join(narrow, F.col("name") == F.col("query")).join(other, "overlap_best_contig", "left")
+
+
+def _without_intervals(match: str):
+    """The match's printed fields; its intervals would be sent to Python for nothing."""
+    return F.when(F.col(match).isNotNull(), F.struct(*[F.col(match)[k].alias(k) for k in assign.MATCH_FIELDS]))
 
 
 def _run_summary(spark: SparkSession, path: str, args, o: SortOptions, outputs: dict, counts: dict) -> None:
@@ -98,7 +104,7 @@ def run(spark: SparkSession, args) -> dict[str, str]:
     placed = assign_contigs(contigs, refs, m, o).cache()
     report = assignment_report(records, placed)
     write_table(report, outputs["contig_assignments"], ASSIGNMENT_COLUMNS, _assignment_line, ["record_ord"], args.parts)
-    write_table(m.withColumn("less", -F.col("merged_query_bp")), outputs["contig_ref_matches"], MATCH_COLUMNS, _match_line, ["query", "less", "ref"], args.parts)
+    write_table(m.drop("ref_intervals").withColumn("less", -F.col("merged_query_bp")), outputs["contig_ref_matches"], MATCH_COLUMNS, _match_line, ["query", "less", "ref"], args.parts)
     many = placed.filter("kept").groupBy(F.col("best")["ref"]).agg(F.sum(F.size(F.col("best")["ref_intervals"])).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     summary = assign.chromosome_summary(placed, ref_records.join(refs.select("name"), "name", "left_semi"), spread=many > intervals.ONE_TASK)
     write_table(summary, outputs["chromosome_summary"], SUMMARY_COLUMNS, _summary_line, ["ord"], args.parts)
