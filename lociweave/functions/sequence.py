@@ -68,7 +68,3 @@ def ratio(a: Column, b: Column) -> Column:
 def boundary(left_end: Column, right_start: Column) -> Column:
     """Half way between two blocks, rounded down, never below 0."""
     return F.greatest(F.lit(0), F.floor((left_end + right_start) / 2)).cast("bigint")
-
-
-def yes_no(flag: Column) -> Column:
-    return F.when(flag, F.lit("yes")).otherwise(F.lit("no"))

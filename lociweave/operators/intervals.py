@@ -112,7 +112,9 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = BI
 
 def intersect_bp(left: DataFrame, right: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """(keys, bp): how much two sets of disjoint intervals share; without a width bins follow the left side's lengths."""
-    width = width or bin_width(left)
+    if not width:
+        left, right = stored(left, "left"), stored(right, "right")  # else the left side would be computed twice
+        width = bin_width(left)
     return overlaps(left, right, keys, width).groupBy(*keys).agg(F.sum(F.col("o_end") - F.col("o_start")).alias("bp"))
 
 

@@ -9,10 +9,6 @@ from ..functions.sequence import half_open_1, ratio
 from . import intervals
 
 
-def known_queries(segments: DataFrame, contigs: DataFrame) -> DataFrame:
-    return segments.join(contigs.select(F.col("name").alias("query")).distinct(), "query", "left_semi")
-
-
 def unknown_query_count(segments: DataFrame, contigs: DataFrame) -> DataFrame:
     """One row: how many segments name a contig that the assembly doesn't have."""
     return segments.join(contigs.select(F.col("name").alias("query")).distinct(), "query", "left_anti").agg(F.count(F.lit(1)).alias("skipped"))

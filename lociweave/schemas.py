@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-SEGMENTS = "ord bigint, ref string, query string, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint, len_ref bigint, len_query bigint, identity double, ref_length bigint, query_length bigint, orientation string"
-FASTA = "ord bigint, name string, header string, seq string"
-FAI = "name string, length bigint, offset bigint, line_bases int, line_width int"
-ASSIGNMENTS = "contig string, new_name string, ref string, order_in_ref bigint, ref_start bigint, ref_end bigint"
 GROUPS = "contig string, part int, ref string, orientation string, query_start bigint, query_end bigint, aligned_bp bigint, identity_bp double, segment_count bigint, first_start bigint, last_end bigint, blocks bigint, discordant_bp double, changes bigint"
 NOVELTY = "query string, novel_ref_bp bigint, novel_ref_frac double, accepted boolean"

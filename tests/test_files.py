@@ -188,3 +188,15 @@ def test_reverse_of_pieces_is_the_reverse_of_the_whole(spark):
     df = df.select("k", (F.lit(len(s)) - F.col("start") - F.length("seq")).alias("start"), reverse_complement(F.col("seq")).alias("seq"))
     got = sinks.fasta_lines(spark.createDataFrame([(0, ">h")], "k int, header string"), df, ["k"]).orderBy("line").collect()
     assert "".join(r["text"].replace("\n", "") for r in got[1:]) == whole
+
+
+def test_stored_tables_are_removed(spark, tmp_path):
+    from lociweave import storing
+
+    before = storing.stored(spark.range(3), "kept")
+    with storing.removed_after(spark):
+        inner = storing.stored(spark.range(4), "gone")
+        assert inner.count() == 4
+        place = inner.inputFiles()[0]
+        assert files.exists(spark, place)
+    assert not files.exists(spark, place) and before.count() == 3 and not storing._OPEN
