@@ -8,6 +8,7 @@ ASCII, runs of bytes are runs of code points.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,9 +102,12 @@ def column_texts(column: pa.Array) -> Texts:
 
 
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after the last one the worker, which lives on, gives unused memory back."""
+    """The batches; after the last one the worker, which lives on, gives unused memory back: Arrow's, and that of freed arrays."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
 
 
 def blocks(texts: Texts, max_bytes: int = BLOCK_BYTES, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
