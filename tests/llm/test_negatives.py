@@ -102,9 +102,8 @@ def test_bounds_hold():
             assert (negatives.exact_scores(a, b, wanted)[wanted] == true[wanted]).all()
 
 
-def test_filter_passes_over_what_cannot_count(spark):
+def test_filter_passes_over_what_cannot_count():
     """Of tight clusters whole blocks are passed over."""
-    rng = np.random.default_rng(6)
     refs = np.eye(4)
     make = lambda centre, n, seed: centre + np.random.default_rng(seed).normal(size=(n, 4)) * 0.01
     raw = lambda x, t: np.asarray(x).astype(t).tobytes()
@@ -119,7 +118,7 @@ def test_filter_passes_over_what_cannot_count(spark):
     search.meet(packed(make(np.eye(4)[0] * 5, 200, 2), np.arange(200) + 100))
     before = search.scored
     search.meet(packed(make(np.eye(4)[1] * 5, 200, 3), np.arange(200) + 1000))
-    assert search.scored == before and rng is not None
+    assert search.scored == before > 0
 
 
 def test_windows():
