@@ -3,12 +3,13 @@ import random
 import time
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lociweave import storing
 from lociweave.functions import sequence as fn
-from lociweave.operators import blocks, intervals, segment
+from lociweave.operators import assign, blocks, intervals, segment
 from lociweave.operators.assign import SortOptions, claim, overlap_components
 from lociweave.sources import readers
 
@@ -302,3 +303,36 @@ def test_shared_folder_is_the_clusters_own_or_local():
         storing.shared_folder(session(None, "spark://host:7077"))
     one, again, other = (storing.shared_folder(session(None, f"local[{k}]")) for k in (2, 2, 4))
     assert one == again != other
+
+
+def test_best_overlap_against_sets(spark, monkeypatch):
+    """Every candidate against all stronger ones, some of them accepted; no row of a pair is made, however small the blocks are."""
+    rng = random.Random(31)
+    rows, sets = [], {}
+    for ref in ("a", "b"):
+        for rank in range(1, 61):
+            points = sorted(rng.sample(range(400), 2 * rng.randint(1, 6)))
+            spans = list(zip(points[::2], points[1::2], strict=True)) if rank % 9 else []
+            sets[f"{ref}{rank}"] = {x for s, e in spans for x in range(s, e)}
+            rows.append((f"{ref}{rank}", ref, rank, len(sets[f"{ref}{rank}"]), spans))
+    rows.append(("c1", "c", 1, 5, [(0, 5)]))
+    df = spark.createDataFrame(rows, "query string, ref string, rank int, merged_ref_bp long, ref_intervals array<struct<start:long,end:long>>").repartition(4)
+    accepted = {r[0] for r in rows if rng.random() < 0.6}
+    want = {}
+    for query, ref, rank, *_ in rows:
+        found = [(len(sets[o[0]] & sets[query]), -o[2], o[0]) for o in rows if o[1] == ref and o[2] < rank and o[0] in accepted]
+        if found and max(found)[0]:
+            want[query] = (max(found)[2], max(found)[0])
+    for n, held in ((8, 4_000_000), (3, 50), (1, 4_000_000)):
+        monkeypatch.setattr(assign, "BLOCKS", n)
+        monkeypatch.setattr(assign, "HELD", held)
+        best = assign.best_overlap(df, spark.createDataFrame([(a,) for a in sorted(accepted)], "query string"))
+        assert "explode(ref_intervals" not in best._jdf.queryExecution().toString()
+        assert {r["query"]: (r["overlap_best_contig"], r["overlap_best_bp"]) for r in best.collect()} == want
+    order = sorted((ref, 0, passing, rank, query, [s for s, _ in spans], [e for _, e in spans]) for query, ref, rank, _, spans in rows for passing in (False, True) if query in accepted or not passing)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("ref", "block", "passing", "rank", "query", "starts", "ends"), r, strict=True)) for r in order])
+    for at_once, cells in ((256, 4_000_000), (7, 1), (3, 2000)):
+        monkeypatch.setattr(assign, "AT_ONCE", at_once)
+        monkeypatch.setattr(assign, "CELLS", cells)
+        out = [r for b in assign._compared(batch.slice(k, 17) for k in range(0, batch.num_rows, 17)) for r in b.to_pylist()]
+        assert {r["query"]: (r["overlap_best_contig"], r["overlap_best_bp"]) for r in out} == want
