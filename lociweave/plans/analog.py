@@ -201,7 +201,9 @@ def interval_union_bp(spark, sf_dir):
 def _halves(spark, sf_dir):
     """All segments, as two sides: those of even and those of odd place."""
     s = segments(spark, sf_dir).select("ref", "ord", F.col("ref_start").alias("start"), (F.col("ref_end") + 1).alias("end"))
-    return intervals.union(s.filter("ord % 2 = 0"), ["ref"]), intervals.union(s.filter("ord % 2 = 1"), ["ref"])
+    # a reference has few places for all its rows
+    even, odd = (intervals.longest(s.filter(f"ord % 2 = {k}"), ["ref"]) for k in range(2))
+    return intervals.union(even, ["ref"]), intervals.union(odd, ["ref"])
 
 
 _HALVES = """hs as (select ref, ref_start as s, ref_end + 1 as e, case when ord % 2 = 0 then 'a' else 'b' end as side from segs),

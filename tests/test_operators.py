@@ -336,3 +336,18 @@ def test_best_overlap_against_sets(spark, monkeypatch):
         monkeypatch.setattr(assign, "CELLS", cells)
         out = [r for b in assign._compared(batch.slice(k, 17) for k in range(0, batch.num_rows, 17)) for r in b.to_pylist()]
         assert {r["query"]: (r["overlap_best_contig"], r["overlap_best_bp"]) for r in out} == want
+
+
+def test_longest_keeps_the_union(spark, tmp_path):
+    """Both halves of segments are reduced to a row a place before one task sorts those of a reference."""
+    from lociweave.plans import analog
+
+    rng = random.Random(41)
+    rows = [("r", s, s + rng.randint(-1, 4)) for s in (rng.randint(0, 90) for _ in range(3000))] + [(None, 5, 9), (None, 5, 7)]
+    df = spark.createDataFrame(rows, "k string, start long, end long").repartition(4)
+    longest = intervals.longest(df, ["k"])
+    assert longest.count() == len({r[:2] for r in rows if r[2] > r[1]})
+    assert intervals.union(longest, ["k"]).exceptAll(intervals.union(df, ["k"])).count() == 0 == intervals.union(df, ["k"]).exceptAll(intervals.union(longest, ["k"])).count()
+    for half in analog._halves(spark, "/root/testdata/sf0.001"):
+        plan = half._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan[plan.rindex("Window") :]
